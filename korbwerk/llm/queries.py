@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korbwerk.llm import line_dedup, mixing, url_filter
+from korbwerk.llm import line_dedup, mixing, ngram_join, url_filter
 from korbwerk.llm.common import table
 
 
@@ -24,10 +24,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op4_line_dedup": op4_line_dedup,
     "op6_mixing": op6_mixing,
+    "op7_ngram_join": op7_ngram_join,
 }
 
 
