@@ -19,9 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korbwerk.llm.common import Scratch, ascii_lower
+from korbwerk.llm.common import BLANK, Scratch, ascii_lower
 
-BLANK = " \t\n\x0b\x0c\r"
 BATCHES, FANOUT, HOT = 4, 2, 10_000
 OWN = ["n_lines", "n_dropped", "kept"]
 

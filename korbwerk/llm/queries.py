@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korbwerk.llm import line_dedup, mixing, ngram_join, url_filter
+from korbwerk.llm import decontaminate, line_dedup, mixing, ngram_join, url_filter
 from korbwerk.llm.common import table
 
 
@@ -28,11 +28,16 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op4_line_dedup": op4_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_ngram_join": op7_ngram_join,
+    "op10_decontamination": op10_decontamination,
 }
 
 
@@ -89,4 +94,11 @@ e AS (SELECT *, base <= lft AND last_ > lft AS edge, last_ <= lft AS below,
 o AS (SELECT *, lft - max(CASE WHEN inn THEN upto ELSE base END) OVER (PARTITION BY source, bucket) AS open_ FROM e),
 f AS (SELECT *, edge AND NOT inn AND abs(open_ - size) < open_ AND row_number() OVER (PARTITION BY source, bucket ORDER BY inn, abs(open_ - size), key, doc_id) = 1 AS fill FROM o)
 SELECT doc_id, size, source_size, target, CAST((epochs + CASE WHEN below OR (edge AND (inn OR fill)) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM f""",
+    "op10_decontamination": rf"""
+WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all({_lower("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM t),
+g AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda k: array_to_string(ws[k:k + 4], ' '))) AS s FROM w WHERE len(ws) > 0),
+n AS (SELECT id, count(*) AS n_shingles FROM g WHERE kind = 'i' GROUP BY id),
+m AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_contained FROM g d JOIN g i ON d.s = i.s WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
+SELECT doc_id, item_id, n_shingles, n_contained, n_contained / n_shingles AS containment FROM m JOIN n ON item_id = id WHERE n_contained >= 0.8 * n_shingles - 1e-9""",
 }
