@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korbwerk.llm import decontaminate, line_dedup, mixing, ngram_join, url_filter
+from korbwerk.llm import decontaminate, line_dedup, mixing, ngram_join, pii, url_filter
 from korbwerk.llm.common import table
 
 
@@ -28,6 +28,14 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["k"] < len(pii.KINDS))
+    count = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_ngram_join": op7_ngram_join,
+    "op9_personal_data": op9_personal_data,
     "op10_decontamination": op10_decontamination,
 }
 
