@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korbwerk.llm import decontaminate, line_dedup, mixing, ngram_join, pii, url_filter
+from korbwerk.llm import decontaminate, line_dedup, mixing, ngram_join, pii, token_files, url_filter
 from korbwerk.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.tokenised(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,6 +47,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op4_line_dedup": op4_line_dedup,
+    "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op7_ngram_join": op7_ngram_join,
     "op9_personal_data": op9_personal_data,
