@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korbwerk.llm import decontaminate, line_dedup, mixing, ngram_join, pii, token_files, url_filter
+from korbwerk.llm import decontaminate, language, line_dedup, mixing, ngram_join, pii, token_files, url_filter
 from korbwerk.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
+    return language.predict(docs, language.train(docs.where("not held_out")), keep=("doc_id", "held_out"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["k"] < len(pii.KINDS))
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op7_ngram_join": op7_ngram_join,
+    "op8_language": op8_language,
     "op9_personal_data": op9_personal_data,
     "op10_decontamination": op10_decontamination,
 }
