@@ -185,9 +185,10 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), pe
         from korbwerk.llm import tokens
 
         names = np.array([*model.langs, "und"], dtype=object)
+        source = "text" if "text" in keep else "_text"
         for batch in batches:
             langs, scores, found = [], [], []
-            for _, _, data, offsets in tokens.pieces(*tokens.as_bytes(batch.column("_text")), limit=PIECE):
+            for _, _, data, offsets in tokens.pieces(*tokens.as_bytes(batch.column(source)), limit=PIECE):
                 lang, score, row, begin, end, label, fits = model.judge(data, offsets, penalty)
                 row, begin, end, label = row[fits], begin[fits], end[fits], label[fits]
                 langs.append(names[lang])
@@ -207,7 +208,7 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), pe
 
     schema = docs.select(*keep).schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(judged, f"{fields}, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans)
+    return docs.select(*keep, *[F.col("text").alias("_text")] * ("text" not in keep)).mapInArrow(judged, f"{fields}, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -100,3 +100,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     inner = rows.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn("once", F.col("edge").isNotNull() & (F.col("bucket") < F.col("edge")))
     cols = ["doc_id", "source", "tie", "size", "source_size", "target", (F.col("epochs") + F.col("once").cast("int")).cast("int").alias("copies")]
     return inner.select(*cols).unionByName(edge.select(*cols)).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` as often as the mix takes them."""
+    taken = mix(docs, **options).groupBy("doc_id", "tie").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    taken = taken.withColumnRenamed("doc_id", "_id").withColumnRenamed("copies", "_copies")
+    rows = docs.withColumn("_tie", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("tie"))).dropDuplicates(["doc_id", "_tie"])
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -63,7 +63,7 @@ def _fingerprint(shingle_set: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, the class fingerprint (null without words), the number of shingles and the band hashes of each document."""
+    """doc_id, a hash of the text, the class fingerprint (null without words), the number of shingles and the band hashes of each document."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from korbwerk.llm.tokens import mix64
@@ -86,9 +86,9 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 for j in range(0, len(x), 1024):
                     np.minimum(low, (a * x[None, j : j + 1024] + b).min(axis=1), out=low)
                 hashed.append(mix64((low.astype(np.uint64).reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64) ^ salt).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashed, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashed, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp", "n", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(signed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary, n long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(signed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp binary, n long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -227,8 +227,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     labelled = labelled.select("fp", "class_id", F.coalesce("component", "fp").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     labelled = scratch.keep(labelled, "labelled")
     ids = labelled.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    labelled = scratch.keep(labelled.join(ids, "component").select("fp", "class_id", "component_id", "n_links"), "result")
-    found = signed.select("doc_id", "fp").join(labelled, "fp", "left")
+    labelled = scratch.keep(labelled.join(ids, "component").select("fp", "class_id", "component", "component_id", "n_links"), "result")
+    found = signed.select("doc_id", "text_hash", "fp").join(labelled, "fp", "left")
     alone = F.col("fp").isNull()
     return found.select(
         "doc_id",
@@ -236,4 +236,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         (alone | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
+        "component",
+        "text_hash",
     )
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` less near-duplicates: of each component the document with the smallest id (and, of equal ids, hash) stays; documents without words all stay, exact repeats of a row once."""
+    found = near_duplicates(docs, **options).where("kept")
+    worded = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*")
+    stays = Scratch(docs.sparkSession, "one-of-each").keep(worded.union(found.where(F.col("component").isNull()).select("doc_id", "text_hash").distinct()), "kept")
+    return with_text_hash(docs).join(stays.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_h"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_h")), "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
+
+
+def with_text_hash(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text_hash", F.xxhash64("text"))
