@@ -30,7 +30,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(64, dtype=np.uint64)
+_powers = np.ones(1, dtype=np.uint64)
 
 
 def _powers_upto(n: int) -> np.ndarray:
