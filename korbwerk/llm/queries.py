@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korbwerk.llm import decontaminate, embedding_dedup, language, line_dedup, mixing, ngram_join, pii, token_files, url_filter
+from korbwerk.llm import decontaminate, embedding_dedup, language, line_dedup, mixing, ngram_join, ngram_lm, pii, token_files, url_filter
 from korbwerk.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", ngram_lm.held_out(F.col("doc_id")))
+    return ngram_lm.score(docs, ngram_lm.train(docs.where("not held_out")), keep=("doc_id", "held_out"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_language_model": op2_language_model,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_files": op5_token_files,
