@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RANGE = r"(\d{1,2})\.(\d{1,2})\.(\d{2,4})?\s*(?:bis|-|–)\s*(?:\w+,?\s*)?(\d{1,2})\.(\d{1,2})\.?(\d{4})?"
+RANGE = r"(\d{1,2})\.(\d{1,2})\.(\d{2,4})?\s*(?:bis|-|–)\s*(?:[A-Za-zÄÖÜäöü]+,?\s*)?(\d{1,2})\.(\d{1,2})\.?(\d{4})?"
 
 
 def parse_date(text: Column) -> Column:
