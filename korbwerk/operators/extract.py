@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from korbwerk.functions import price as P
 
 PRICE = r"(?:^|[^\d,.])(\d{1,3}[,.]\d{2})\s*€"
+UNIT_PRICE = r"(?i)\(?\b1\s*(?:kg|l)\s*[=:]\s*\d+(?:[.,]\d+)?\s*€?\)?"
 NO_NAME = r"^(?:aktion|knaller|tiefpreis|angebot|gültig|je |ab |nur |statt |\(|\d|-)"
 
 
@@ -30,7 +31,7 @@ def card_offers(docs: DataFrame, key: str = "doc_id", text: str = "text", above:
     found = rows.select(
         key,
         "pos",
-        P.german_number(F.nullif(F.regexp_extract("line", PRICE, 1), F.lit(""))).alias("price"),
+        P.german_number(F.nullif(F.regexp_extract(F.regexp_replace("line", UNIT_PRICE, " "), PRICE, 1), F.lit(""))).alias("price"),
         F.last(F.when(usable, F.col("line")), ignorenulls=True).over(w.rowsBetween(-above, -1)).alias("name"),
         F.array_join(F.collect_list("line").over(w.rowsBetween(-above, below)), " ").alias("around"),
     ).where(F.col("price").isNotNull() & F.col("name").isNotNull())
