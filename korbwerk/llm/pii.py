@@ -115,13 +115,20 @@ def personal_data(docs: DataFrame, window: int = WINDOW, disclosure: float = DIS
     together = scratch.keep(together.where(F.col("texts") >= support), "together")
     entities = base.select("doc_id", "t1", "t2", F.explode("base").alias("b")).select("doc_id", "t1", "t2", F.concat(F.col("b.k"), F.lit(":"), ascii_lower(F.col("b.v"))).alias("entity"))
     entities = entities.join(_small(together.select("entity").distinct()), "entity", "left_semi").groupBy("entity").agg(F.count_distinct("doc_id", "t1", "t2").alias("held"))
-    asked = scratch.keep(together.select("term").distinct(), "asked")
+
+    def reveals(said: str, slack: float) -> Column:
+        """Whether a term that `said` documents hold discloses enough, with a tolerance in bits."""
+        information = F.log2(n_docs / F.col("held"))
+        disclosed = F.log2(n_docs * F.col("both") / (F.greatest(said, "both") * F.col("held").cast("double")))
+        return (information > 0) & (disclosed >= disclosure * information - slack)
+
+    # A term stands in at least as many documents as it stands near entities in, which already rules out the common ones.
+    seen = near.groupBy("term").agg(F.count_distinct("doc_id", "t1", "t2").alias("seen"))
+    possible = scratch.keep(together.join(entities, "entity").join(seen, "term").where(reveals("seen", 1e-6)), "possible")
+    asked = scratch.keep(possible.select("term").distinct(), "asked")
     said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
     said = said.join(_small(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("said"))
-    scored = together.join(entities, "entity").join(said, "term")
-    information = F.log2(n_docs / F.col("held"))
-    disclosed = F.log2(n_docs * F.col("both") / (F.greatest("said", "both") * F.col("held").cast("double")))
-    scored = scored.where((information > 0) & (disclosed >= disclosure * information)).select("entity", "term", (disclosed >= information - 1e-9).alias("full"))
+    scored = possible.join(said, "term").where(reveals("said", 0.0)).select("entity", "term", (F.greatest("said", "both") <= F.col("both")).alias("full"))
     scored = scratch.keep(scored, "scored")
 
     terms = near.join(_small(scored), ["entity", "term"]).groupBy("doc_id", "t1", "t2", "s", "e").agg(F.max("full").alias("full"))
