@@ -1,7 +1,8 @@
 """Token ids as flat binary files.
 
 A data set is a folder of shards in ascending doc_id order. Shard k has `part-k.bin`, the token ids of its documents
-as little-endian unsigned integers of `width` bytes without separators, and `part-k.idx`, the 64-bit little-endian
+as little-endian unsigned integers without separators, of 2 bytes if the vocabulary has at most 65536 ids and else
+of 4, and `part-k.idx`, the 64-bit little-endian
 offsets of its documents counted in ids from the start of the shard, one more than it has documents, and
 `part-k.doc`, their doc_ids as 64-bit little-endian integers. A manifest table has a row a shard: shard, docs, ids,
 and base, the ids in all shards before it, a prefix sum. The files are read by memory mapping.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from korbwerk.llm.common import Scratch
 
-TOKENIZER, END_ID, WIDTH = "word_bpe_49k.json", 1, 4
+TOKENIZER, END_ID = "word_bpe_49k.json", 1
 #: Words that an encoder keeps from batch to batch, and texts that it looks up at once.
 CACHE, BATCH = 500_000, 1024
 NO_ID = -(2**63)
@@ -95,6 +96,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def id_width(path: str) -> int:
+    """Bytes an id: the fewest of 2 and 4 that hold the tokenizer's whole vocabulary."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+
+
 def _storage(folder: str):
     """The file system of a folder's address and the path on it, for use inside tasks."""
     from pyarrow import fs
@@ -111,10 +119,11 @@ def mapped(folder: str, name: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=dtype)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, width: int = WIDTH, shards: int | None = None) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, width: int | None = None, shards: int | None = None) -> DataFrame:
     """Writes the data set and returns its manifest (shard, docs, ids, base)."""
     spark = docs.sparkSession
     tokenizer = tokenizer or tokenizer_path()
+    width = width or id_width(tokenizer)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -155,7 +164,7 @@ def new_folder(docs: DataFrame) -> str:
     return scratch.root
 
 
-def read(manifest: DataFrame, folder: str, width: int = WIDTH) -> DataFrame:
+def read(manifest: DataFrame, folder: str, width: int) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, from the files alone."""
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +181,8 @@ def read(manifest: DataFrame, folder: str, width: int = WIDTH) -> DataFrame:
     return manifest.repartition(max(1, manifest.count()), "shard").mapInArrow(get, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, width: int = WIDTH) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, width: int | None = None) -> DataFrame:
     """Writes `docs` to a folder of its own in the shared folder, and reads it back."""
-    folder = new_folder(docs)
+    folder, tokenizer = new_folder(docs), tokenizer or tokenizer_path()
+    width = width or id_width(tokenizer)
     return read(write(docs, folder, tokenizer, end_id, width), folder, width)
