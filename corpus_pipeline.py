@@ -20,8 +20,9 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those of which no language holds half of the letters."""
     model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
-    found = language.predict(docs, model, keep=docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    aside = {c: f"_{i}_{c}" for i, c in enumerate(docs.columns) if c in ("lang_pred", "score", "_text")}  # these are the prediction's names
+    found = language.predict(docs.withColumnsRenamed(aside), model, keep=[aside.get(c, c) for c in docs.columns])
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold at least 0.8 of a benchmark item's shingles."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ class EliasFano:
         return ((self._select(i, self.ones, False) - i).astype(np.uint64) << U64(self.bits)) | self.low(i)
 
     def find(self, x: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | int | None = None) -> np.ndarray:
-        """The place of each value within [lo, hi), by successor search from the start of its bucket; -1 where it doesn't occur."""
+        """The place of each value within [lo, hi), by successor search within its bucket; -1 where it doesn't occur."""
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
         high = (x >> U64(self.bits)).astype(np.int64)
@@ -71,12 +71,18 @@ class EliasFano:
         end = np.minimum(self._select(high, self.zeros, True) - high, self.n if hi is None else hi)
         i = np.maximum(i, lo)
         want, out = x & U64((1 << self.bits) - 1), np.full(len(x), -1, np.int64)
+        # Within a bucket the low bits ascend; dense buckets are halved, not scanned.
         open_ = np.flatnonzero(fits & (i < end))
-        while len(open_):
-            low = self.low(i[open_])
-            hit = low == want[open_]
-            out[open_[hit]] = i[open_[hit]]
-            open_ = open_[low < want[open_]]
-            i[open_] += 1
-            open_ = open_[i[open_] < end[open_]]
+        left, right = i[open_], end[open_]
+        target, limit = want[open_], right.copy()
+        todo = np.arange(len(open_))
+        while len(todo):
+            middle = (left[todo] + right[todo]) >> 1
+            less = self.low(middle) < target[todo]
+            left[todo[less]] = middle[less] + 1
+            right[todo[~less]] = middle[~less]
+            todo = todo[left[todo] < right[todo]]
+        inside = np.flatnonzero(left < limit)
+        inside = inside[self.low(left[inside]) == target[inside]]
+        out[open_[inside]] = left[inside]
         return out

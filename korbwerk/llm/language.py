@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, TRAIN_DOCS, PENALTY, SCRIPT_SHARE, PIECE = 1 << 16, 20_000, 12.0, 0.01, 6 << 20
+BUCKETS, TRAIN_DOCS, PENALTY, SCRIPT_SHARE, PIECE = 1 << 16, 20_000, 12.0, 0.01, 2 << 20
 #: First and last code points of letters by script; a fixed table of Unicode blocks.
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("greek", 0x1F00, 0x1FFF), ("cyrillic", 0x400, 0x52F),
@@ -179,7 +179,9 @@ def train(docs: DataFrame, label: str = "lang", train_docs: int = TRAIN_DOCS) ->
 
 
 def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), penalty: float = PENALTY, spans: bool = False) -> DataFrame:
-    """`keep` columns with lang_pred and score, and with spans array<struct<start, end, lang>> (code points, end exclusive) if asked for."""
+    """`keep` columns (but for those with the result's names) with lang_pred and score, and with spans array<struct<start, end, lang>> (code points, end exclusive) if asked for."""
+
+    keep = [k for k in keep if k not in ("lang_pred", "score", "_text", *["spans"] * spans)]
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from korbwerk.llm import tokens
@@ -187,24 +189,19 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), pe
         names = np.array([*model.langs, "und"], dtype=object)
         source = "text" if "text" in keep else "_text"
         for batch in batches:
-            langs, scores, found = [], [], []
-            for _, _, data, offsets in tokens.pieces(*tokens.as_bytes(batch.column(source)), limit=PIECE):
+            # A record batch a piece: what goes back is no larger at once than what is worked on.
+            for first, last, data, offsets in tokens.pieces(*tokens.as_bytes(batch.column(source)), limit=PIECE):
                 lang, score, row, begin, end, label, fits = model.judge(data, offsets, penalty)
-                row, begin, end, label = row[fits], begin[fits], end[fits], label[fits]
-                langs.append(names[lang])
-                scores.append(score)
+                arrays = [*[batch.column(k).slice(first, last - first) for k in keep], pa.array(names[lang], pa.string()), pa.array(score, pa.float64())]
                 if spans:
+                    row, begin, end, label = row[fits], begin[fits], end[fits], label[fits]
                     new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (label[1:] != label[:-1])))) if len(row) else np.zeros(0, int)
                     stop = np.concatenate((new[1:], [len(row)])) - 1 if len(new) else new
-                    lists: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
+                    lists: list[list[dict]] = [[] for _ in range(last - first)]
                     for r, s, e, k in zip(row[new].tolist(), begin[new].tolist(), end[stop].tolist(), label[new].tolist(), strict=True):
-                        if model.langs:
-                            lists[r].append({"start": s, "end": e, "lang": model.langs[k]})
-                    found += lists
-            arrays = [*[batch.column(k) for k in keep], pa.array(np.concatenate(langs) if langs else [], pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
-            if spans:
-                arrays.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "lang_pred", "score", *["spans"] * spans])
+                        lists[r].append({"start": s, "end": e, "lang": model.langs[k]})
+                    arrays.append(pa.array(lists, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
+                yield pa.RecordBatch.from_arrays(arrays, [*keep, "lang_pred", "score", *["spans"] * spans])
 
     schema = docs.select(*keep).schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)

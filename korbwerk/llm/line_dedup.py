@@ -92,10 +92,10 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     dropped = lines.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_semi").unionByName(lines.join(cold, ["h1", "h2"], "left_semi"))
     dropped = dropped.groupBy("doc_id", "_t1", "_t2").agg(F.collect_set("pos").alias("_drop"))
 
-    keyed = docs.withColumns({"_t1": name[1], "_t2": name[2]})
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *name, F.coalesce("text", F.lit("")).alias("_x"))
     same = keyed["doc_id"].eqNullSafe(dropped["doc_id"]) & (keyed["_t1"] == dropped["_t1"]) & (keyed["_t2"] == dropped["_t2"])
-    found = keyed.join(dropped, same, "left").select(*[keyed[c] for c in docs.columns], F.coalesce("_drop", F.array()).alias("_drop"), F.coalesce(keyed["text"], F.lit("")).alias("_x"))
+    found = keyed.join(dropped, same, "left").select("row", "_x", F.coalesce("_drop", F.array()).alias("_drop"))
     parts = F.split("_x", "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    found = found.withColumns({"n_lines": F.size(parts).cast("long"), "n_dropped": F.size("_drop").cast("long"), "kept": F.when(F.size("_drop") == 0, F.col("_x")).otherwise(kept)})
-    return found.drop("_drop", "_x")
+    counted = found.select("row", F.size(parts).cast("long").alias("n_lines"), F.size("_drop").cast("long").alias("n_dropped"), F.when(F.size("_drop") == 0, F.col("_x")).otherwise(kept).alias("kept"))
+    return counted.select("row.*", "n_lines", "n_dropped", "kept")

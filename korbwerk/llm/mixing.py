@@ -105,7 +105,6 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` as often as the mix takes them."""
     taken = mix(docs, **options).groupBy("doc_id", "tie").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    taken = taken.withColumnRenamed("doc_id", "_id").withColumnRenamed("copies", "_copies")
-    rows = docs.withColumn("_tie", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("tie"))).dropDuplicates(["doc_id", "_tie"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), F.coalesce(F.xxhash64(docs["text"]), F.lit(0)).alias("hash"))
+    rows = rows.join(taken, rows["id"].eqNullSafe(taken["doc_id"]) & (rows["hash"] == taken["tie"])).dropDuplicates(["id", "hash"])
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

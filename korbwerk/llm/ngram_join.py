@@ -246,8 +246,5 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     found = near_duplicates(docs, **options).where("kept")
     worded = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*")
     stays = Scratch(docs.sparkSession, "one-of-each").keep(worded.union(found.where(F.col("component").isNull()).select("doc_id", "text_hash").distinct()), "kept")
-    return with_text_hash(docs).join(stays.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_h"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_h")), "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
-
-
-def with_text_hash(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text_hash", F.xxhash64("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("hash"))
+    return rows.join(stays, rows["id"].eqNullSafe(stays["doc_id"]) & (rows["hash"] == stays["text_hash"]), "left_semi").dropDuplicates(["id", "hash"]).select("row.*")

@@ -222,12 +222,15 @@ class Trie:
     def word_stream(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all tokens, with each row's end token; whether a token begins a row; and the row ends."""
         some, back = np.unique(hashes, return_inverse=True)
-        ids = self.word_ids(some)[back]
+        return self.tokens_of(self.word_ids(some), back, counts)
+
+    def tokens_of(self, ids: np.ndarray, back: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same from the ids of the different words and each word's place among them."""
         ends = np.cumsum(counts + 1)
-        out = np.full(len(ids) + len(counts), self.end, np.int64)
+        out = np.full(len(back) + len(counts), self.end, np.int64)
         inner = np.ones(len(out), bool)
         inner[ends - 1] = False
-        out[inner] = ids
+        out[inner] = ids[back]
         first = np.zeros(len(out), bool)
         first[ends - counts - 1] = True
         return out, first, ends
@@ -409,25 +412,44 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, disco
     return trie
 
 
-def token_probabilities(trie: Trie, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Base counts and model probabilities of tokens."""
+def token_probabilities(trie: Trie, hashes: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Training counts and model probabilities of all tokens, and the row ends. Every table is asked once for each different word or n-gram."""
     order = len(trie.bases)
-    counts = np.where(ids == trie.end, trie.docs, trie.values(1, ids, "count", 0))
+    some, back = np.unique(hashes, return_inverse=True)
+    words = np.append(trie.word_ids(some), trie.end)
+    ids, first, ends = trie.tokens_of(words[:-1], back, per_row)
+    at = np.full(len(ids), len(some), np.int64)
+    inner = np.ones(len(ids), bool)
+    inner[ends - 1] = False
+    at[inner] = back
+    counts = trie.counts(1, words)[at]
+    weight = _code_value(trie.backoffs(1, words))
+    start, weight = weight[-1], weight[at]
     p = (counts + 1.0) / (trie.tokens + trie.words + bool(trie.docs) + 1.0)
     shorter = ids
     for level in range(2, order + 1):
         context = trie.context(shorter, first, level)
-        node = trie.next_nodes(shorter, ids, first, level)
-        back = _code_value(trie.backoffs(level - 1, context))
-        own = _code_value(trie.values(level, node, "prob", 65535))
-        p = np.where(context >= 0, own + back * p, p)
-        shorter = node
-    return counts, p
+        weight = np.concatenate(([1.0], weight[:-1]))
+        weight[first] = start if level == 2 else 1.0
+        known = np.flatnonzero((context >= 0) & (ids >= 0))
+        keys, back = np.unique(_key(context[known], ids[known]), return_inverse=True)
+        nodes = trie.nodes(level, (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        own = np.zeros(len(ids))
+        own[known] = _code_value(trie.values(level, nodes, "prob", 65535))[back]
+        p = np.where(context >= 0, own + weight * p, p)
+        shorter = np.full(len(ids), MISSING, np.int64)
+        shorter[known] = nodes[back]
+        if level < order:
+            weight = np.ones(len(ids))
+            weight[known] = _code_value(trie.backoffs(level, nodes))[back]
+    return counts, p, ends
 
 
 def score(docs: DataFrame, trie: Trie, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """`keep` columns with n_tokens, n_known, train_tokens, base_score and score of every text."""
 
+    keep = [k for k in keep if k not in ("n_tokens", "n_known", "train_tokens", "base_score", "score", "_text")]
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from korbwerk.llm import tokens
 
@@ -435,8 +457,7 @@ def score(docs: DataFrame, trie: Trie, keep: Sequence[str] = ("doc_id",)) -> Dat
             parts = []
             for _, _, data, offsets in tokens.pieces(*tokens.as_bytes(batch.column("_text")), limit=PIECE):
                 words, per_row = tokens.word_hashes(data, offsets)
-                ids, first, ends = trie.word_stream(words, per_row)
-                counts, p = token_probabilities(trie, ids, first)
+                counts, p, ends = token_probabilities(trie, words, per_row)
                 starts = ends - per_row - 1
                 base = np.log10((counts + 1.0) / (trie.tokens + trie.words + bool(trie.docs) + 1.0))
                 parts.append((per_row + 1, np.add.reduceat((counts > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)))
