@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from korbwerk.plans import core, extraction, quality, savings, scalar  # noqa: F401
+from korbwerk.plans import core, extraction, more, quality, savings, scalar  # noqa: F401
 from korbwerk.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
