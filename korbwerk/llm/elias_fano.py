@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 U64 = np.uint64
+#: A one in each byte, and in each byte's highest bit.
+EACH, TOP = U64(0x0101010101010101), U64(0x8080808080808080)
+#: At 256 * k + b, the position of the k-th one of the byte b.
+IN_BYTE = np.array([([p for p in range(8) if b >> p & 1] + [0] * 8)[k] for k in range(8) for b in range(256)], dtype=np.int64)
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:
@@ -36,16 +40,23 @@ class EliasFano:
     def _select(self, k: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
         """Positions of the k-th (from 0) ones, or zeros if `flip`, of the unary part."""
         word = np.searchsorted(before, k, "right") - 1
-        left, at = k - before[word], np.zeros(len(k), np.int64)
-        bits = self.high_words[word]
-        bits = ~bits if flip else bits.copy()
-        for step in (32, 16, 8, 4, 2, 1):
-            inside = np.bitwise_count(bits & U64((1 << step) - 1)).astype(np.int64)
-            on = left >= inside
-            left -= np.where(on, inside, 0)
-            at += np.where(on, step, 0)
-            bits >>= np.where(on, U64(step), U64(0))
-        return 64 * word + at
+        left = (k - before[word]).astype(np.uint64)
+        bits = ~self.high_words[word] if flip else self.high_words[word]
+        # Each byte of `upto` has the number of ones up to and with that byte; the byte looked for is the first with more than `left`.
+        upto = bits - ((bits >> U64(1)) & U64(0x5555555555555555))
+        upto = (upto & U64(0x3333333333333333)) + ((upto >> U64(2)) & U64(0x3333333333333333))
+        upto = ((upto + (upto >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * EACH
+        shift = np.bitwise_count(((left * EACH) | TOP) - upto & TOP).astype(np.uint64) << U64(3)
+        left -= ((upto << U64(8)) >> shift) & U64(255)
+        byte = (bits >> shift) & U64(255)
+        return 64 * word + shift.astype(np.int64) + IN_BYTE[((left << U64(8)) | byte).astype(np.int64)]
+
+    def _ones_from(self, at: np.ndarray) -> np.ndarray:
+        """Number of ones of the unary part from each position to the next zero; -1 where they reach the end of their word."""
+        off = (at & 63).astype(np.uint64)
+        bits = self.high_words[at >> 6] >> off
+        run = np.bitwise_count(bits & ~(bits + U64(1))).astype(np.int64)
+        return np.where(run + (at & 63) < 64, run, -1)
 
     def low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -59,6 +70,16 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, self.ones, False) - i).astype(np.uint64) << U64(self.bits)) | self.low(i)
 
+    def get_pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and at i + 1; the later one is looked for right behind the earlier one."""
+        at = self._select(i, self.ones, False)
+        word, off = (at + 1) >> 6, ((at + 1) & 63).astype(np.uint64)
+        bits = self.high_words[word] >> off
+        gap = np.bitwise_count(~bits & (bits - U64(1))).astype(np.int64)
+        after, far = at + 1 + gap, np.flatnonzero(bits == 0)
+        after[far] = self._select(i[far] + 1, self.ones, False)
+        return ((at - i).astype(np.uint64) << U64(self.bits)) | self.low(i), ((after - i - 1).astype(np.uint64) << U64(self.bits)) | self.low(i + 1)
+
     def find(self, x: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | int | None = None) -> np.ndarray:
         """The place of each value within [lo, hi), by successor search within its bucket; -1 where it doesn't occur."""
         if not self.n or not len(x):
@@ -67,8 +88,11 @@ class EliasFano:
         last = int(self.zeros[-1]) - 1
         fits = high <= last
         high = np.minimum(high, last)
-        i = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, True) + 1 - high, 0)
-        end = np.minimum(self._select(high, self.zeros, True) - high, self.n if hi is None else hi)
+        start = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, True) + 1, 0)
+        i, run = start - high, self._ones_from(start)
+        far = np.flatnonzero(run < 0)
+        run[far] = self._select(high[far], self.zeros, True) - start[far]
+        end = np.minimum(i + run, self.n if hi is None else hi)
         i = np.maximum(i, lo)
         want, out = x & U64((1 << self.bits) - 1), np.full(len(x), -1, np.int64)
         # Within a bucket the low bits ascend; dense buckets are halved, not scanned.

@@ -190,8 +190,7 @@ class Trie:
             place = self._sequence(level, s, "context").find(context[mine].astype(np.uint64))
             held = place >= 0
             mine, place = mine[held], place[held]
-            pointers = self._sequence(level, s, "pointer")
-            lo, hi = pointers.get(place).astype(np.int64), pointers.get(place + 1).astype(np.int64)
+            lo, hi = (x.astype(np.int64) for x in self._sequence(level, s, "pointer").get_pair(place))
             relative = place.astype(np.uint64) * np.uint64(self.words + 1) + word[mine].astype(np.uint64)
             found = self._sequence(level, s, "child").find(relative, lo, hi)
             out[mine] = np.where(found >= 0, found + self.bases[level - 1][s], MISSING)
