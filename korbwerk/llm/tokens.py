@@ -14,8 +14,10 @@ import pyarrow as pa
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: What a byte adds to its word's hash: its lower case and one, 0 for white space.
+_VALUE = np.arange(1, 257, dtype=np.uint64)
+_VALUE[65:91] += np.uint64(32)
+_VALUE[_IS_SPACE] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are worked on in pieces of about so many bytes; a longer text makes a piece of its own.
 PIECE = 2 << 20
@@ -74,12 +76,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if len(starts) == 0:
         return np.zeros(0, np.uint64), np.zeros(rows, np.int64)
     within = np.arange(n, dtype=np.int64)
-    run = np.cumsum(begin) - 1
-    within -= starts[np.maximum(run, 0)]
-    value = _LOWER[data].astype(np.uint64) + np.uint64(1)
-    value[space] = 0
-    np.maximum(within, 0, out=within)
+    within[starts[0] :] -= np.repeat(starts, np.diff(starts, append=n))
     within[space] = 0
+    value = _VALUE[data]
     value *= _powers_upto(int(within.max()) + 1)[within]
     return mix64(np.add.reduceat(value, starts)), np.diff(np.searchsorted(starts, offsets))
 
