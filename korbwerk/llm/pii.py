@@ -1,27 +1,35 @@
 """Personal data: pattern spans, and an information-theoretic search for terms that give them away.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a protected entity.
-Terms (words of letters) that stand within `WINDOW` characters of an entity are candidates; the corpus says how
-strongly a term reveals the entity: with document frequencies df over all N documents,
+Every term of a document that holds an entity is a candidate; all documents say how strongly it reveals the entity.
+With document frequencies df over all N documents,
 
     information(entity) = log2(N / df(entity))
     disclosed(entity; term) = log2(N * df(term, entity) / (df(term) * df(entity)))
 
-A term that discloses at least the share `disclosure` of an entity's information, seen so in at least `support`
-different texts, becomes a span of kind `term` where it stands by that entity. `sanitised` generalises pattern
-spans to their kind and terms to a placeholder, and removes terms that disclose everything.
+A term discloses an entity if it gives away at least the share `disclosure` of its information, and if so many common
+documents have a probability of at most `chance` (the lesser of Markov's and Chernoff's bounds) were the two
+independent. Entities of one text can pass that where N is 20 or more. Each occurrence of a disclosing term in a document that holds the entity becomes a
+span of kind `term`. `sanitised` generalises pattern spans to their kind and terms to a placeholder, and removes terms
+that disclose everything.
+
+Terms are words of 4 letters and more, shorter ones of at least 2 that begin with a capital or are Hangul, and the
+overlapping pairs of letters of scripts written without spaces (Han, kana; a lone letter stands for itself). Case is
+ignored in all counts, so a short capitalised word is as common as its lower-case twin.
 
 All of it is built-in expressions. The patterns are written with possessive repeats and look-behinds so that they
 find what the plain patterns find in linear time on any text, without deep recursion.
 
 Defined cases. Null texts are empty and have no spans. Repeated rows count as documents each and get the same
-spans; exact copies of a text count once for `support`. Null ids are allowed. An empty table gives an empty
+spans. Null ids are allowed. An empty table gives an empty
 result. Extra columns are not carried along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korbwerk.llm.common import Scratch, ascii_lower
@@ -37,8 +45,12 @@ PATTERNS = {
 #: What a text without a match lacks, cheaper to look for than the pattern.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20\-]?[0-9][\x20\-]?[0-9][\x20\-]?[0-9]", "phone": r"\+[0-9]"}
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-WINDOW, TERM, DISCLOSURE, SUPPORT = 80, r"\p{L}{4,}", 0.85, 3
-BROADCAST_ROWS = 1_000_000
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+LETTER = r"[\p{L}\p{M}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]"
+TERM = rf"{UNSPACED}++|(?<!{LETTER})(?:{LETTER}{{4,}}+|(?:\p{{Lu}}{LETTER}|\p{{IsHangul}}{{2}}){LETTER}?+(?!{LETTER}))"
+#: All words that a term may be, for the counts over all documents.
+ANY_TERM = rf"{UNSPACED}++|{LETTER}{{2,}}+"
+DISCLOSURE, CHANCE = 0.85, 0.05
 SPANS = "array<struct<s:int,e:int,v:string>>"
 
 
@@ -91,56 +103,74 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def personal_data(docs: DataFrame, window: int = WINDOW, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def _entity(x: Column) -> Column:
+    return F.concat(x["k"].cast("string"), F.lit(":"), ascii_lower(x["v"]))
+
+
+def _blanked(text: Column, base: Column) -> Column:
+    """The text with its spans overwritten by spaces, so that offsets stay and no term lies in a span."""
+
+    def step(acc: Column, x: Column) -> Column:
+        put = F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], acc["at"]), F.lit(0))))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), put.alias("out"))
+
+    return F.aggregate(F.array_sort(base), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+
+
+def _split_run(run: Column) -> Column:
+    """Places (from 0) and texts of the terms of a match: overlapping pairs of letters of unspaced scripts, else the match."""
+    pairs = F.transform(F.sequence(F.lit(0), F.length(run) - 2), lambda i: F.struct(i.alias("i"), F.substr(run, i + 1, F.lit(2)).alias("v")))
+    return F.when(run.rlike(f"^{UNSPACED}") & (F.length(run) > 2), pairs).otherwise(F.array(F.struct(F.lit(0).alias("i"), run.alias("v"))))
+
+
+def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
     """doc_id, text hash (t1, t2) and spans array<struct<s, k, e, full>> of every document; k = 4 for terms, full where a term discloses all."""
     scratch = Scratch(docs.sparkSession, "personal")
     text = F.coalesce(F.col("text"), F.lit(""))
-    name = ["doc_id", F.xxhash64(text).alias("t1"), F.length(text).alias("t2")]
-    base = docs.select(*name, text.alias("text"), base_spans(text).alias("base"))
-    around = F.transform(
-        "base",
-        lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["k"].alias("k"), F.greatest(x["s"] - window, F.lit(0)).alias("from"), F.substr("text", F.greatest(x["s"] - window, F.lit(0)) + 1, x["e"] - F.greatest(x["s"] - window, F.lit(0)) + window).alias("near")),
-    )
-    base = scratch.keep(base.select("doc_id", "t1", "t2", around.alias("base")), "base")
+    base = docs.select("doc_id", F.xxhash64(text).alias("t1"), F.length(text).alias("t2"), text.alias("text"), base_spans(text).alias("base"))
+    base = scratch.keep(base.select("doc_id", "t1", "t2", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "base")
     n_docs = F.lit(float(max(1, base.count())))
 
-    near = base.select("doc_id", "t1", "t2", F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("taken"), F.explode("base").alias("b"))
-    near = near.select("doc_id", "t1", "t2", "taken", F.concat(F.col("b.k"), F.lit(":"), ascii_lower(F.col("b.v"))).alias("entity"), F.col("b.from").alias("from"), F.length("b.near").alias("wide"), F.explode(matches(F.col("b.near"), TERM)).alias("m"))
-    # A word cut by the window's edge is no term; nor is one inside a span.
-    near = near.where(((F.col("from") == 0) | (F.col("m.s") > 0)) & (F.col("m.e") < F.col("wide")))
-    near = near.select("doc_id", "t1", "t2", "taken", "entity", F.lower("m.v").alias("term"), (F.col("from") + F.col("m.s")).alias("s"), (F.col("from") + F.col("m.e")).alias("e"))
-    near = scratch.keep(near.where(~F.exists("taken", lambda x: (x["s"] < F.col("e")) & (F.col("s") < x["e"]))).drop("taken"), "near")
-
-    together = near.groupBy("entity", "term").agg(F.count_distinct("doc_id", "t1", "t2").alias("both"), F.count_distinct("t1", "t2").alias("texts"))
-    together = scratch.keep(together.where(F.col("texts") >= support), "together")
-    entities = base.select("doc_id", "t1", "t2", F.explode("base").alias("b")).select("doc_id", "t1", "t2", F.concat(F.col("b.k"), F.lit(":"), ascii_lower(F.col("b.v"))).alias("entity"))
-    entities = entities.join(_small(together.select("entity").distinct()), "entity", "left_semi").groupBy("entity").agg(F.count_distinct("doc_id", "t1", "t2").alias("held"))
-
-    def reveals(said: str, slack: float) -> Column:
-        """Whether a term that `said` documents hold discloses enough, with a tolerance in bits."""
-        information = F.log2(n_docs / F.col("held"))
-        disclosed = F.log2(n_docs * F.col("both") / (F.greatest(said, "both") * F.col("held").cast("double")))
-        return (information > 0) & (disclosed >= disclosure * information - slack)
-
-    # A term stands in at least as many documents as it stands near entities in, which already rules out the common ones.
-    seen = near.groupBy("term").agg(F.count_distinct("doc_id", "t1", "t2").alias("seen"))
-    possible = scratch.keep(together.join(entities, "entity").join(seen, "term").where(reveals("seen", 1e-6)), "possible")
-    asked = scratch.keep(possible.select("term").distinct(), "asked")
-    said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
-    said = said.join(_small(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("said"))
-    scored = possible.join(said, "term").where(reveals("said", 0.0)).select("entity", "term", (F.greatest("said", "both") <= F.col("both")).alias("full"))
-    scored = scratch.keep(scored, "scored")
-
-    terms = near.join(_small(scored), ["entity", "term"]).groupBy("doc_id", "t1", "t2", "s", "e").agg(F.max("full").alias("full"))
-    terms = terms.groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct("s", F.lit(len(KINDS)).alias("k"), "e", "full")).alias("terms"))
-    same = base["doc_id"].eqNullSafe(terms["doc_id"]) & (base["t1"] == terms["t1"]) & (base["t2"] == terms["t2"])
-    pattern = F.transform(base["base"], lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(False).alias("full")))
-    return base.join(terms, same, "left").select(base["doc_id"], base["t1"], base["t2"], F.concat(pattern, F.coalesce("terms", F.array().cast("array<struct<s:int,k:int,e:int,full:boolean>>"))).alias("spans"))
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """A broadcast hint where the table is counted and small, else the table as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    # Exact copies are worked on once and count n times.
+    holders = base.where(F.size("base") > 0).groupBy("t1", "t2").agg(F.count("*").alias("n"), F.first("base").alias("base"), F.first("text").alias("text"))
+    holders = scratch.keep(holders, "holders")
+    entities = holders.select("t1", "t2", "n", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    held = entities.groupBy("entity").agg(F.sum("n").alias("held"))
+    entities = scratch.keep(entities.join(held, "entity"), "entities")
+
+    rest = holders.select("t1", "t2", _blanked(F.col("text"), F.col("base")).alias("rest"))
+    zipped = F.arrays_zip(F.split("rest", TERM, -1).alias("gap"), F.regexp_extract_all("rest", F.lit(TERM), F.lit(0)).alias("hit"))
+    words = rest.select("t1", "t2", F.posexplode(zipped).alias("at", "x")).select("t1", "t2", "at", F.length("x.gap").alias("gap"), F.col("x.hit").alias("hit"))
+    before = Window.partitionBy("t1", "t2").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    words = words.withColumn("s", F.col("gap") + F.coalesce(F.sum(F.col("gap") + F.length("hit")).over(before), F.lit(0))).where(F.col("hit").isNotNull())
+    words = words.select("t1", "t2", "s", F.explode(_split_run(F.col("hit"))).alias("x"))
+    words = words.select("t1", "t2", (F.col("s") + F.col("x.i")).cast("int").alias("s"), (F.col("s") + F.col("x.i") + F.length("x.v")).cast("int").alias("e"), F.lower("x.v").alias("term"))
+    words = scratch.keep(words, "words")
+
+    runs = F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit(ANY_TERM), F.lit(0)), lambda x: F.transform(_split_run(x), lambda y: y["v"])))
+    # Most texts have no unspaced script; what they hold is found faster.
+    found = F.when(text.rlike(UNSPACED), runs).otherwise(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}]{2,}+"), F.lit(0)))
+    said = docs.select(F.explode(F.array_distinct(found)).alias("term")).groupBy("term").agg(F.count("*").alias("said"))
+
+    information = F.log2(n_docs / F.col("held"))
+    # No term of more documents than this discloses enough even if it stands in all documents of the entity.
+    possible = F.log2(n_docs / F.greatest("said", "held")) >= disclosure * information - 1e-6
+    near = words.select("t1", "t2", "term").distinct().join(said, "term").join(entities, ["t1", "t2"]).where((information > 0) & possible)
+    near = scratch.keep(near.select("t1", "t2", "n", "entity", "held", "term", "said"), "near")
+
+    scored = near.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.first("held").alias("held"), F.first("said").alias("said"))
+    scored = scored.withColumn("said", F.greatest("said", "both"))
+    disclosed = F.log2(n_docs * F.col("both") / (F.col("said") * F.col("held").cast("double")))
+    expected = F.col("said") * F.col("held").cast("double") / n_docs
+    ratio = F.log(expected / F.col("both"))
+    by_chance = F.least(ratio, F.col("both") * (ratio + 1) - expected)
+    scored = scored.where((disclosed >= disclosure * information) & (expected < F.col("both")) & (by_chance <= math.log(chance)))
+    scored = scratch.keep(scored.select("entity", "term", (F.col("said") <= F.col("both")).alias("full")), "scored")
+
+    marked = near.join(scored, ["entity", "term"]).groupBy("t1", "t2", "term").agg(F.max("full").alias("full"))
+    terms = words.join(marked, ["t1", "t2", "term"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("s", F.lit(len(KINDS)).alias("k"), "e", "full")).alias("terms"))
+    pattern = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(False).alias("full")))
+    return base.drop("text").join(terms, ["t1", "t2"], "left").select("doc_id", "t1", "t2", F.concat(pattern, F.coalesce("terms", F.array().cast("array<struct<s:int,k:int,e:int,full:boolean>>"))).alias("spans"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:

@@ -364,6 +364,21 @@ def test_disclosing_terms(spark, odd):
     assert pii.personal_data(odd).count() == len(ODD)
 
 
+def test_terms_of_single_texts(spark, sf_dir):
+    far = "and so the talk went on about nothing at all " * 4
+    rows = [(1, f"Falkenrath met Li and 王小明 {far}m@x.org {far}falkenrath"), (2, f"Falkenrath went home {far}")] + [(10 + i, far + ("li an" if i < 9 else "")) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [r["text"][s["s"] : s["e"]] for s in sorted(r.spans)] for r in df.join(pii.personal_data(df, disclosure=0.8), "doc_id").collect()}
+    assert got.pop(1) == ["Falkenrath", "王小", "小明", "m@x.org", "falkenrath"] and not any(got.values())
+    rare = spark.createDataFrame([(r[0], r[1].replace("li an", "")) for r in rows], "doc_id long, text string")
+    assert "Li" in {r[1][s["s"] : s["e"]] for r in [rows[0]] for s in pii.personal_data(rare).where("doc_id = 1").first().spans}
+    for r in queries.op9_personal_data(spark, sf_dir).where("n_email + n_ip + n_card + n_phone > 0").collect():
+        if "term" in r.spans:
+            break
+    else:
+        raise AssertionError("no term found")
+
+
 # --- 10
 
 
