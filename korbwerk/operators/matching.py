@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCEPT_COST, LINK_DISTANCE = 650.0, 185.0
@@ -118,17 +118,39 @@ def price_groups(boxes: DataFrame, apart: float = 24.0) -> DataFrame:
     return boxes.groupBy("page_key").applyInPandas(solve, "page_key long, box_id long, group_id long")
 
 
-def similar_names(products: DataFrame, least: float = 0.92, band: int = 8) -> DataFrame:
+def gram_size(least: float, shortest: int) -> int:
+    """The longest q for which names of at least `shortest` characters with a ratio of `least` must share a q-gram."""
+    fits = lambda q: all(shared_grams(q, least, n) > 0 for n in (2 * shortest, 10**6))
+    return max(q for q in range(1, shortest + 1) if q == 1 or fits(q))
+
+
+def shared_grams(q: int, least: float, both):
+    """What q-grams two names of `both` characters together share at least: of the matched half, each unmatched character and the end break q - 1."""
+    return both * (least / 2) - (q - 1) * (both * (1 - least) + 1)
+
+
+def similar_names(products: DataFrame, least: float = 0.92) -> DataFrame:
     """(left_id, right_id, ratio): pairs of different names that are nearly equal by matching blocks.
 
-    Equal names are compared once. Candidates share a word and a band of lengths, so no pair of all names is formed.
+    Equal names are compared once. Candidates share one of their rarest q-grams and are of similar length; q, the number
+    of q-grams looked at and the lengths follow from `least`, so that no pair is missed and no pair of all names formed.
     """
     from korbwerk.functions.text import plain_key
 
-    names = products.select("product_id", plain_key(F.col("product_name")).alias("name")).where(F.length("name") >= 8).groupBy("name").agg(F.min("product_id").alias("id"))
-    words = names.select("id", "name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
-    a, b = words.alias("a"), words.alias("b")
-    close = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") < F.col("b.id")) & (F.abs(F.length("a.name") - F.length("b.name")) <= band)
+    shortest = 8
+    q = gram_size(least, shortest)
+    names = products.select("product_id", plain_key(F.col("product_name")).alias("name")).where(F.length("name") >= shortest).groupBy("name").agg(F.min("product_id").alias("id"))
+    grams = names.select("id", "name", F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - q + 1), lambda i: F.substr("name", i, F.lit(q)))).alias("gram"))
+    # The k-th occurrence of a gram in a name is a gram of its own, so shared ones count as often as they are shared.
+    grams = grams.withColumn("k", F.row_number().over(Window.partitionBy("id", "gram").orderBy("name")))
+    grams = grams.join(grams.groupBy("gram", "k").agg(F.count("*").alias("common")), ["gram", "k"])
+    place = F.row_number().over(Window.partitionBy("id").orderBy("common", "gram", "k"))
+    # The other name has at least this share of the length, else too little could match.
+    needed = F.greatest(F.lit(1), F.ceil(shared_grams(q, least, F.length("name") * (1 + least / (2 - least))) - 1e-6))
+    rare = grams.withColumn("place", place).where(F.col("place") <= F.length("name") - q + 1 - needed + 1)
+    a, b = rare.alias("a"), rare.alias("b")
+    la, lb = F.length("a.name"), F.length("b.name")
+    close = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")) & (F.least(la, lb) * 2 >= least * (la + lb) - 1e-6)
     pairs = a.join(b, close).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.col("a.name").alias("l"), F.col("b.name").alias("r")).distinct()
 
     @F.pandas_udf("double")

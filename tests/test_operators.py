@@ -41,6 +41,21 @@ def test_similar_names(spark):
     assert [(r.left_id, r.right_id) for r in matching.similar_names(names).collect()] == [(1, 3)]
 
 
+def test_similar_names_equal_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rng = np.random.default_rng(7)
+    names = ["kartoffelsalat", "kartofelsalat", "vollkornbrot", "vollkornbrote", "weizenmehl type405", "weizenmehltype405", "aaaaaaaaaaaa", "aaaaaaaaaaaaa", "ab" * 60, "ab" * 65]
+    for _ in range(120):
+        name = "".join(rng.choice(list("abcde "), rng.integers(8, 60)))
+        at = int(rng.integers(0, len(name)))
+        names += [name, name[:at] + "x" + name[at + 1 :], name[:at] + name[at + 1 :], name[:at] + "yz" + name[at:]]
+    names = [x for x in dict.fromkeys(" ".join(x.split()) for x in names) if len(x) >= 8]
+    got = matching.similar_names(spark.createDataFrame(list(enumerate(names)), "product_id long, product_name string")).collect()
+    want = {(i, j) for j, y in enumerate(names) for i, x in enumerate(names[:j]) if SequenceMatcher(None, x, y).ratio() >= 0.92}
+    assert len(want) > 100 and sorted((r.left_id, r.right_id) for r in got) == sorted(want)
+
+
 def plan_tables(spark, offers):
     stores = spark.createDataFrame([(1, "A", 50.0, 7.01), (2, "B", 50.0, 7.02)], "store_id long, store_name string, lat double, lon double")
     users = spark.createDataFrame([(1, 50.0, 7.0)], "user_id long, lat double, lon double")
