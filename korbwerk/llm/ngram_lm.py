@@ -8,8 +8,8 @@ logarithms. A lookup finds the context, takes its range from the pointers and do
 
 Each level is counted over the whole training text in one pass: a task counts its own text, sends sorted and packed
 counts to shards that split all n-grams evenly by hash, and a shard's task sums them and writes one file into the
-shared folder, to be memory-mapped by the tasks of the next pass. N-grams of order 2 and more that occur once are
-pruned; an n-gram is only counted if its context was kept, which loses none that occurs twice.
+shared folder, to be memory-mapped by the tasks of the next pass. N-grams of order 2 and more that occur
+fewer than `min_count` times are pruned; one is only counted if its context was kept, which loses none that is frequent enough.
 
 Probabilities are interpolated with absolute discounting: p(w | context) = max(c - D, 0) / c(context) + b(context) *
 p(w | shorter context), where b is what discounting and pruning leave, and level 1 is (c + 1) / (N + V + 1). A text

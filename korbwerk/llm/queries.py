@@ -17,7 +17,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", ngram_lm.held_out(F.col("doc_id")))
-    return ngram_lm.score(docs, ngram_lm.train(docs.where("not held_out")), keep=("doc_id", "held_out"))
+    return ngram_lm.score(docs, ngram_lm.train(docs.where("not held_out"), min_count=1), keep=("doc_id", "held_out"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

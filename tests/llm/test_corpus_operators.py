@@ -158,6 +158,15 @@ def test_language_model(spark, docs):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, rel=0.003) and r.n_tokens == len(words(text)) + 1
 
 
+def test_language_model_query_keeps_single_ngrams(spark, sf_dir, monkeypatch):
+    made, train = [], ngram_lm.train
+    monkeypatch.setattr(ngram_lm, "train", lambda *a, **b: made.append(train(*a, **b)) or made[-1])
+    assert queries.op2_language_model(spark, sf_dir).count() == 200
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where(~ngram_lm.held_out(F.col("doc_id"))).collect()
+    seqs = [[None, *words(r.text), None] for r in rows]
+    assert made[0].bases[1][-1] == len({p for s in seqs for p in zip(s, s[1:], strict=False)})
+
+
 def test_language_model_odd(spark, odd, none):
     trie = ngram_lm.train(odd.drop(*CLASH), shards=3)
     got = ngram_lm.score(odd, trie).collect()
