@@ -11,7 +11,7 @@ narrow pass.
 
 Defined cases. Null texts and texts without a letter are `und` with score 0. A text whose letters are all in
 scripts of no learned language gets the language with most training documents, score 0. With no labelled rows all
-texts are `und`. Ties go to the language that sorts first. Repeated rows get equal results; an empty table gives an
+texts are `und`; with more than MAX_LANGS labels training fails. Ties go to the language that sorts first. Repeated rows get equal results; an empty table gives an
 empty result; extra columns are not carried along unless named in `keep`.
 """
 
@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, TRAIN_DOCS, PENALTY, SCRIPT_SHARE, PIECE = 1 << 16, 20_000, 12.0, 0.01, 2 << 20
+#: The model has BUCKETS values a language and is held by the driver and every worker, so labels are bounded.
+MAX_LANGS = 2000
 #: First and last code points of letters by script; a fixed table of Unicode blocks.
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("greek", 0x1F00, 0x1FFF), ("cyrillic", 0x400, 0x52F),
@@ -98,10 +100,11 @@ class Model:
         """The best label of each word; rows begin at `first` and have `counts` words. All rows advance together, the longest last."""
         order = np.argsort(-counts, kind="stable")
         first, counts = first[order], counts[order]
-        n_lang, out = scores.shape[1], np.zeros(len(scores), np.uint8)
-        came = np.empty((len(scores), n_lang), np.uint8)
+        n_lang, out = scores.shape[1], np.zeros(len(scores), np.int32)
+        kind = np.uint8 if n_lang <= 256 else np.uint16
+        came = np.empty((len(scores), n_lang), kind)
         active = np.searchsorted(-counts, -np.arange(1, (counts[0] if len(counts) else 0) + 1), "right")
-        own = np.arange(n_lang, dtype=np.uint8)
+        own = np.arange(n_lang, dtype=kind)
         best = scores[first[: active[0]]] if len(active) else None
         for t in range(1, len(active)):
             a = active[t]
@@ -110,10 +113,10 @@ class Model:
             jump = np.take_along_axis(stay, top[:, None], 1) - penalty
             moved = jump > stay
             at = first[:a] + t
-            came[at] = np.where(moved, top[:, None].astype(np.uint8), own)
+            came[at] = np.where(moved, top[:, None].astype(kind), own)
             best[:a] = np.where(moved, jump, stay) + scores[at]
         if len(active):
-            last = best.argmax(axis=1).astype(np.uint8)
+            last = best.argmax(axis=1).astype(np.int32)
             for t in range(len(active) - 1, -1, -1):
                 a = active[t]
                 at = first[:a] + t
@@ -128,7 +131,7 @@ class Model:
         buckets, starts, row, script, begin, end = word_features(data, offsets)
         lang, score = np.full(rows, -1), np.zeros(rows)
         if not len(starts) or not self.langs:
-            return lang, score, row, begin, end, np.zeros(len(row), np.uint8), np.zeros(len(row), bool)
+            return lang, score, row, begin, end, np.zeros(len(row), np.int32), np.zeros(len(row), bool)
         letters = np.diff(np.concatenate((starts, [len(buckets)])))
         scores = np.add.reduceat(self.scores[buckets], starts, axis=0)
         fits = self.candidates[script]
@@ -149,7 +152,9 @@ class Model:
 def train(docs: DataFrame, label: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
     """Fits a model on rows with a label, at most about `train_docs` a language."""
     docs = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in docs.groupBy(label).count().collect()}
+    sizes = {r[0]: r[1] for r in docs.groupBy(label).count().limit(MAX_LANGS + 1).collect()}
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"there are more than {MAX_LANGS} languages")
     if not sizes:
         return Model(pd.DataFrame({"lang": [], "bucket": [], "n": []}), {})
     share = F.element_at(F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, train_docs / v))]), F.col(label))
