@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,9 +36,11 @@ def id_crc(doc_id: Column, mod: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a local one in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="korbwerk-")
         spark.conf.set("spark.checkpoint.dir", found)
         _delete_on_exit(spark, found)
@@ -66,6 +69,12 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def folder(self, name: str) -> str:
+        """A folder of this name, for files that are not tables."""
+        fs, p = _fs(self.spark, self.path(name))
+        fs.mkdirs(p)
+        return self.path(name)
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))

@@ -11,35 +11,61 @@ EACH, TOP = U64(0x0101010101010101), U64(0x8080808080808080)
 IN_BYTE = np.array([([p for p in range(8) if b >> p & 1] + [0] * 8)[k] for k in range(8) for b in range(256)], dtype=np.int64)
 
 
-def _pack(bits: np.ndarray) -> np.ndarray:
-    """Bits, lowest first, as 64-bit words with one spare word at the end."""
-    raw = np.packbits(bits, bitorder="little")
+#: Low bits are packed for so many values at once, a multiple of 64.
+BLOCK = 1 << 16
+
+
+def _words(raw: list[np.ndarray]) -> np.ndarray:
+    """Bytes, lowest first, as 64-bit words with one spare word at the end."""
+    raw = np.concatenate(raw) if raw else np.zeros(0, np.uint8)
     out = np.zeros(len(raw) // 8 + 2, dtype="<u8")
     out.view(np.uint8)[: len(raw)] = raw
     return out
 
 
-def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
-    """Arrays of a non-decreasing sequence of values below `universe`: low bits in full, high parts in unary."""
+def _before(high: np.ndarray, zeros: bool) -> np.ndarray:
+    """Number of ones, or zeros, of the unary part before each of its words."""
+    ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)))
+    return (64 * np.arange(len(ones), dtype=np.int64) - ones if zeros else ones).astype("<u4")
+
+
+def build(values: np.ndarray, universe: int, searched: bool = True) -> dict[str, np.ndarray]:
+    """Arrays of a non-decreasing sequence of fewer than 2**31 values below `universe`: low bits in full, high parts in unary, and the directory with which values are searched, or else with which places are."""
     n = len(values)
     low_bits = max(0, (max(1, universe) // max(1, n)).bit_length() - 1)
     high = (values >> U64(low_bits)).astype(np.int64)
     unary = np.zeros(n + (int(universe) >> low_bits) + 2, dtype=np.uint8)
     unary[high + np.arange(n)] = 1
-    lows = ((values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & U64(1)).astype(np.uint8)
-    return {"meta": np.array([n, low_bits], dtype="<i8"), "low": _pack(lows.ravel()), "high": _pack(unary)}
+    each, lows = np.arange(low_bits, dtype=np.uint64), []
+    for at in range(0, n if low_bits else 0, BLOCK):
+        lows.append(np.packbits(((values[at : at + BLOCK, None] >> each) & U64(1)).astype(np.uint8).ravel(), bitorder="little"))
+    unary = _words([np.packbits(unary, bitorder="little")])
+    return {"meta": np.array([n, low_bits], dtype="<i8"), "low": _words(lows), "high": unary, "zeros" if searched else "ones": _before(unary, searched)}
 
 
 class EliasFano:
+    """Searches the arrays where they lie: with their directory, nothing is copied."""
+
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
         self.n, self.bits = (int(x) for x in arrays[f"{name}.meta"])
         self.low_words, self.high_words = arrays[f"{name}.low"], arrays[f"{name}.high"]
-        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(self.high_words), dtype=np.int64)))
-        self.ones, self.zeros = ones, 64 * np.arange(len(ones), dtype=np.int64) - ones
+        self._zeros, self._ones = arrays.get(f"{name}.zeros"), arrays.get(f"{name}.ones")
+
+    @property
+    def zeros(self) -> np.ndarray:
+        if self._zeros is None:
+            self._zeros = _before(self.high_words, True)
+        return self._zeros
+
+    @property
+    def ones(self) -> np.ndarray:
+        if self._ones is None:
+            self._ones = _before(self.high_words, False)
+        return self._ones
 
     def _select(self, k: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
         """Positions of the k-th (from 0) ones, or zeros if `flip`, of the unary part."""
-        word = np.searchsorted(before, k, "right") - 1
+        word = np.searchsorted(before, k.astype(np.uint32), "right") - 1
         left = (k - before[word]).astype(np.uint64)
         bits = ~self.high_words[word] if flip else self.high_words[word]
         # Each byte of `upto` has the number of ones up to and with that byte; the byte looked for is the first with more than `left`.

@@ -21,6 +21,8 @@ _VALUE[_IS_SPACE] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are worked on in pieces of about so many bytes; a longer text makes a piece of its own.
 PIECE = 2 << 20
+#: Words are hashed in blocks of at most so many bytes, so what is held besides a text is a few numbers a word.
+BLOCK = 1 << 18
 SHINGLE = 5
 _SHINGLE_BASE = np.uint64(0xD1342543DE82EF95)
 
@@ -32,15 +34,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(1, dtype=np.uint64)
+def _geometric(base: int) -> np.ndarray:
+    """The powers of a number modulo 2**64, as many as a block of text may need."""
+    grown = np.full(BLOCK, base % 2**64, dtype=np.uint64)
+    grown[0] = 1
+    return np.multiply.accumulate(grown)
 
 
-def _powers_upto(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        grown = np.full(max(n, 2 * len(_powers)), _BASE, dtype=np.uint64)
-        grown[0] = 1
-        _powers = np.multiply.accumulate(grown)
+_powers: list[np.ndarray] = []
+
+
+def _both_powers() -> list[np.ndarray]:
+    """Powers of the base and of its inverse."""
+    if not _powers:
+        _powers.extend((_geometric(int(_BASE)), _geometric(pow(int(_BASE), -1, 2**64))))
     return _powers
 
 
@@ -62,25 +69,39 @@ def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = PIECE) -> Iterato
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the number of words of each row."""
+    """Hashes of all words in order, and the number of words of each row.
+
+    A block's bytes are weighed by ascending powers and summed up from its start; a word's hash is the difference of
+    two of these sums, divided by the power at its first byte. White space adds nothing. Sums over the parts of a word
+    that runs across blocks are added, each with the power of its distance from the word's start.
+    """
     n, rows = len(data), len(offsets) - 1
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(rows, np.int64)
-    space = _IS_SPACE[data]
-    begin = np.empty(n, dtype=bool)
-    begin[0] = True
-    begin[1:] = space[:-1]
-    begin[offsets[:-1][offsets[:-1] < n]] = True
-    begin &= ~space
-    starts = np.flatnonzero(begin)
-    if len(starts) == 0:
+    up, down = _both_powers()
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[offsets] = True
+    starts, sums = [], []
+    open_word = False
+    for at in range(0, n, BLOCK):
+        part = data[at : at + BLOCK]
+        space = _IS_SPACE[part]
+        begin = np.empty(len(part), dtype=bool)
+        begin[0], begin[1:] = not open_word, space[:-1]
+        begin |= edge[at : at + len(part)]
+        begin &= ~space
+        first = np.flatnonzero(begin)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUE[part] * up[: len(part)], out=total[1:])
+        if len(sums) and not begin[0] and not space[0]:
+            head = int(total[first[0] if len(first) else len(part)])
+            sums[-1][-1] = (int(sums[-1][-1]) + head * pow(int(_BASE), at - int(starts[-1][-1]), 2**64)) % 2**64
+        if len(first):
+            ends = np.append(first[1:], len(part))
+            sums.append((total[ends] - total[first]) * down[first])
+            starts.append(first + at)
+        open_word = not space[-1]
+    if not starts:
         return np.zeros(0, np.uint64), np.zeros(rows, np.int64)
-    within = np.arange(n, dtype=np.int64)
-    within[starts[0] :] -= np.repeat(starts, np.diff(starts, append=n))
-    within[space] = 0
-    value = _VALUE[data]
-    value *= _powers_upto(int(within.max()) + 1)[within]
-    return mix64(np.add.reduceat(value, starts)), np.diff(np.searchsorted(starts, offsets))
+    return mix64(np.concatenate(sums)), np.diff(np.searchsorted(np.concatenate(starts), offsets))
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

@@ -96,6 +96,9 @@ def test_elias_fano(values, others):
     asked = np.array([*values, *others], dtype=np.uint64)
     for x, i in zip(asked.tolist(), ef.find(asked).tolist(), strict=True):
         assert (i >= 0) == (x in set(values)) and (i < 0 or int(v[i]) == x)
+    pairs = elias_fano.EliasFano({f"a.{k}": x for k, x in elias_fano.build(v, 2**64, searched=False).items()}, "a")
+    if len(v) > 1:
+        assert [x.tolist() for x in pairs.get_pair(np.arange(len(v) - 1))] == [v[:-1].tolist(), v[1:].tolist()]
 
 
 def test_elias_fano_dense_buckets():
@@ -104,19 +107,25 @@ def test_elias_fano_dense_buckets():
     assert (ef.find(v) == np.arange(len(v))).all() and (ef.find(np.array([5000, 10**9 + 1], np.uint64)) == -1).all()
 
 
+@pytest.mark.parametrize("block", [3, 16, tokens.BLOCK])
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="abAB \n\t\x0bé中", max_size=30), min_size=1, max_size=6))
-def test_word_hashes(texts):
+def test_word_hashes(block, texts):
     import pyarrow as pa
 
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokens, "BLOCK", block)
+        patch.setattr(tokens, "_powers", [])
+        cut = tokens.word_hashes(*tokens.as_bytes(pa.array(texts)))
+    assert [x.tolist() for x in cut] == [x.tolist() for x in tokens.word_hashes(*tokens.as_bytes(pa.array(texts)))]
     hashes, counts = tokens.word_hashes(*tokens.as_bytes(pa.array(texts)))
     every = [w for t in texts for w in words(t)]
     assert counts.tolist() == [len(words(t)) for t in texts]
     assert len(set(zip(every, hashes.tolist(), strict=True))) == len(set(every)) == len(set(hashes.tolist()))
 
 
-def lm_plain(rows):
-    """(text -> score, base) of a trigram model with absolute discounting, trained on all rows."""
+def lm_plain(rows, least=1):
+    """(text -> score, base) of a trigram model with absolute discounting, trained on all rows, of n-grams that occur `least` times."""
     seqs = [[*words(t), None] for t in rows]
     c = [collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()]
     for s in seqs:
@@ -127,7 +136,7 @@ def lm_plain(rows):
                 c[3][s[k - 2] if k > 1 else None, s[k - 1], t] += k > 1
                 c[3][None, s[k - 1], t] += k == 1
     n, v = sum(c[1].values()), len(c[1])
-    kept = {k: {g: x for g, x in c[k].items() if x >= 2} for k in (2, 3)}
+    kept = {k: {g: x for g, x in c[k].items() if x >= least} for k in (2, 3)}
     used = collections.Counter()
     for k in (2, 3):
         for g, x in kept[k].items():
@@ -149,10 +158,11 @@ def lm_plain(rows):
     return score
 
 
-def test_language_model(spark, docs):
+@pytest.mark.parametrize(("least", "shards"), [(1, 5), (1, None), (2, 3)])
+def test_language_model(spark, docs, least, shards):
     some = docs.where("length(text) < 2000")
-    trie = ngram_lm.train(some, shards=5)
-    plain = lm_plain([r.text for r in some.collect()])
+    trie = ngram_lm.train(some, shards=shards, min_count=least)
+    plain = lm_plain([r.text for r in some.collect()], least)
     for r, (_, text) in zip(ngram_lm.score(some, trie).orderBy("doc_id").collect(), sorted((r.doc_id, r.text) for r in some.collect()), strict=True):
         score, base = plain(text)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, rel=0.003) and r.n_tokens == len(words(text)) + 1
@@ -167,6 +177,18 @@ def test_language_model_query_keeps_single_ngrams(spark, sf_dir, monkeypatch):
     assert made[0].bases[1][-1] == len({p for s in seqs for p in zip(s, s[1:], strict=False)})
 
 
+def test_language_model_query_equals_plain(spark, sf_dir):
+    """The registered query on whole texts, held-out ones too."""
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    train = [t for i, t in rows if not held(i)]
+    plain, known = lm_plain(train), {w for t in train for w in words(t)}
+    for r, (i, text) in zip(queries.op2_language_model(spark, sf_dir).orderBy("doc_id").collect(), rows, strict=True):
+        score, base = plain(text)
+        assert (r.held_out, r.n_tokens, r.n_known) == (held(i), len(words(text)) + 1, sum(w in known for w in words(text)) + 1)
+        assert r.train_tokens == sum(len(words(t)) + 1 for t in train) and r.base_score == pytest.approx(base) and r.score == pytest.approx(score, rel=0.003)
+
+
 def test_language_model_odd(spark, odd, none):
     trie = ngram_lm.train(odd.drop(*CLASH), shards=3)
     got = ngram_lm.score(odd, trie).collect()
@@ -179,6 +201,46 @@ def test_language_model_odd(spark, odd, none):
 # --- 3
 
 
+def cosine_plain(rows):
+    """(n_links, component_id) by id of vectors (id, list) that all have a direction and different ids."""
+    unit = np.array([v for _, v in rows])
+    unit = unit / np.linalg.norm(unit, axis=1)[:, None]
+    linked, ids = unit @ unit.T >= 0.95, np.array([i for i, _ in rows])
+    label, before = ids, None
+    while before is None or (label != before).any():
+        before, label = label, np.where(linked, label[None, :], ids.max() + 1).min(axis=1)
+    return {i: (int(n) - 1, int(c)) for i, n, c in zip(ids.tolist(), linked.sum(axis=1), label, strict=True)}
+
+
+def test_embeddings_table(spark):
+    """The registered query on the table of sf0.01, whole, against brute force; extra columns with the operator's own names do no harm."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect() if r.embedding and all(x is not None and math.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    want = cosine_plain(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in queries.op3_embedding_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert {i: got[i] for i in want} == want and all(got[i] == (0, i) for i in got.keys() - want.keys())
+    clash = table.limit(40).withColumns({c: F.lit("clash") for c in (*CLASH, "key", "unit", "copies", "pass", "code")})
+    assert embedding_dedup.near_duplicates(clash).count() == 40
+
+
+def test_embeddings_of_one_topic(spark):
+    """Near pairs inside one tight group of vectors, which short prefixes do not tell apart."""
+    rng = np.random.default_rng(9)
+    topic = rng.standard_normal(48)
+    unit = lambda x: x / np.linalg.norm(x)
+    group = [unit(unit(topic) + 0.5 * unit(rng.standard_normal(48))) for _ in range(1500)]
+    near = [unit(x + 0.28 * unit(rng.standard_normal(48))) for x in group[:300]]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([*group, *near, *rng.standard_normal((300, 48))])]
+    want = cosine_plain(rows)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=64, margin=16).collect()}
+    assert all(got[i] <= n for i, (n, _) in want.items()) and sum(got.values()) >= 0.9 * sum(n for n, _ in want.values()) > 300
+
+
+def test_passes_follow_the_data():
+    f = embedding_dedup.passes_for
+    assert f({0: 10}) == 1 and f({3: 10}) < f({3: 10, 20: 10}) < f({20: 10}) < f({30: 10}) and f({}) == 1
+
+
 def test_embeddings(spark, sf_dir):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((60, 16))
@@ -412,3 +474,30 @@ def test_needed_hits_keep_recall():
         need, drawn, held = decontaminate.needed_hits(size), min(size, decontaminate.SKETCH), math.ceil(0.8 * size - 1e-9)
         missed = sum(math.comb(held, h) * math.comb(size - held, drawn - h) for h in range(need) if 0 <= drawn - h <= size - held) / math.comb(size, drawn)
         assert missed <= 1 - decontaminate.RECALL + 1e-12
+
+
+# --- recall against brute force on the tables themselves
+
+
+@pytest.mark.parametrize("rounds", [1, ngram_join.ROUNDS])
+def test_near_duplicates_chains(spark, rounds):
+    """Buckets that hold several groups, chains of links, and texts that only share a part."""
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+    rows = []
+    for g in range(6):
+        text = base[:100] + [f"g{g}x{i}" for i in range(18)]
+        for i in range(8):
+            rows.append((len(rows), " ".join(text[3 * i :] + [f"e{g}y{j}" for j in range(3 * i)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_duplicates(df, rounds=rounds, tile_classes=8).collect()
+    assert sorted(((r.doc_id, r.n_links, r.component_id) for r in got), key=str) == near_plain(rows)
+
+
+def test_near_duplicates_recall_on_documents(spark):
+    """Links of the documents of sf0.01 whose ids are divisible by 50, against all documents."""
+    rows = [(r.doc_id, shingles(r.text)) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    want = {i: sum(1 for j, b in rows if j != i and a and b and len(a & b) >= 0.8 * len(a | b)) for i, a in rows if i % 50 == 0}
+    got = {r.doc_id: r.n_links for r in queries.op7_ngram_join(spark, "/root/testdata/sf0.01").collect() if r.doc_id % 50 == 0}
+    assert got.keys() == want.keys() and all(got[i] <= want[i] for i in want)
+    assert sum(got.values()) >= 0.99 * sum(want.values()) > 0
