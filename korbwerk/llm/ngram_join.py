@@ -3,11 +3,19 @@
 1. One pass over the texts gives each document the 128-bit fingerprint of its shingle set and its band hashes.
    Documents with equal sets are one class; from here on there is one row a class.
 2. Band hashes are shuffled; classes that share one are candidates. Bands and rows follow from the wanted recall at
-   the threshold (`banding`). A band bucket gives links to its smallest class only, never all its pairs.
-3. Candidate links are joined into groups, so that each class's shingle set is shipped once. A group is cut into
-   tiles of bounded weight, and every pair of tiles is verified by one task, which returns link counts per class
-   and a spanning forest of the verified links, not the pairs.
-4. Verified links are joined into components.
+   the threshold (`banding`).
+3. Candidates are verified within their band bucket, on full shingle sets, before anything is grouped: every class
+   is compared with the bucket's smallest one. Classes that reach the threshold leave the bucket; the rest goes on
+   with its own smallest class, for ROUNDS rounds. Jaccard distance is a metric, so a class that links with one that
+   left is itself within twice the distance of the class that both were compared with. Such pairs, of a similarity
+   of at least 2 * threshold - 1, are therefore tied together, and no link is lost. Buckets that are not empty after
+   all rounds are tied together whole.
+4. Ties are joined into groups. A group is cut into tiles of bounded weight, and every pair of tiles is verified by
+   one task, which returns link counts per class and a spanning forest of the verified links, not the pairs.
+5. Verified links are joined into components.
+
+Joins on a key that very many rows share (a class of a third of all documents, a bucket of a third of all classes)
+are between tables that are written out, so that adaptive execution can split what is hot.
 
 Defined cases. Words are A-Z lower-cased runs of non-white-space; a text of one to four words has one shingle of
 all its words; texts that are null, empty or blank have no shingles and link with nothing. Repeated rows, and rows
@@ -19,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +40,8 @@ from korbwerk.llm.components import components
 THRESHOLD, RECALL, ROWS = 0.8, 0.999, 6
 #: A tile holds about so many classes and shingles.
 TILE_CLASSES, TILE_SHINGLES = 256, 1 << 20
+#: Rounds of comparisons within band buckets, and the parts into which those with one class are dealt.
+ROUNDS, PARTS = 4, 1024
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -147,6 +158,64 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     return kept
 
 
+CHECKED = "fp binary, center binary, near boolean, linked boolean"
+
+
+def _compare(threshold: float):
+    """Rows sorted by (center, part, role): the set of a center (role 0), then those to be compared with it -> for each whether it is near enough to be tied to the center, and whether it is linked with it."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            fps, centers, near, linked = [], [], [], []
+            for center, role, fp, raw in zip(*[batch.column(c).to_pylist() for c in ("center", "role", "fp", "shingles")], strict=True):
+                if role == 0:
+                    at, own = center, np.frombuffer(raw, np.uint64)
+                    continue
+                assert at == center
+                other = np.frombuffer(raw, np.uint64)
+                place = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                common = int((own[place] == other).sum())
+                union = len(own) + len(other) - common
+                fps.append(fp)
+                centers.append(center)
+                near.append(common >= (2 * threshold - 1) * union - 1e-6)
+                linked.append(common >= threshold * union - 1e-6)
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(centers, pa.binary()), pa.array(near, pa.bool_()), pa.array(linked, pa.bool_())], ["fp", "center", "near", "linked"])
+
+    return compare
+
+
+def _ties(classes: DataFrame, sets: DataFrame, scratch: Scratch, threshold: float, rounds: int) -> DataFrame:
+    """Links (u, v) that join all classes which share a band and may reach the threshold; `sets` has the shingle set of each class in a bucket."""
+    left = scratch.keep(classes.select("fp", "n", F.posexplode("bands").alias("band", "hash")), "banded")
+    ties = []
+    for i in range(rounds + 1):
+        buckets = left.groupBy("band", "hash").agg(F.min(F.struct("fp", "n")).alias("c"), F.count("*").alias("size")).where("size > 1")
+        buckets = scratch.keep(buckets.select("band", "hash", F.col("c.fp").alias("center"), F.col("c.n").alias("center_n")), f"buckets{i}")
+        asked = left.join(buckets, ["band", "hash"]).where(F.col("fp") != F.col("center"))
+        asked = scratch.keep(asked.select("band", "hash", "fp", "n", "center", "center_n"), f"asked{i}")
+        pairs = asked.select("fp", "n", "center", "center_n").distinct()
+        if i == rounds:
+            ties.append(pairs.select(F.col("fp").alias("u"), F.col("center").alias("v")))
+            break
+        if asked.isEmpty():
+            break
+        # Sets whose sizes differ too much are not near; nothing is read for them.
+        sized = F.least("n", "center_n") >= (2 * threshold - 1) * F.greatest("n", "center_n") - 1e-6
+        pairs = pairs.where(sized).select("fp", "center", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int").alias("part"))
+        pairs = scratch.keep(pairs, f"pairs{i}")
+        keys = pairs.select(F.col("center").alias("fp"), "part").distinct()
+        centers = keys.join(sets, "fp").select(F.col("fp").alias("center"), "part", F.lit(0).alias("role"), "fp", "shingles")
+        others = pairs.join(sets, "fp").select("center", "part", F.lit(1).alias("role"), "fp", "shingles")
+        rows = centers.unionByName(others).repartition("center", "part").sortWithinPartitions("center", "part", "role")
+        checked = scratch.keep(rows.mapInArrow(_compare(threshold), CHECKED), f"checked{i}")
+        ties.append(checked.where("near").select(F.col("fp").alias("u"), F.col("center").alias("v")))
+        gone = checked.where("linked").select("fp", "center")
+        left = scratch.keep(asked.join(gone, ["fp", "center"], "left_anti").select("fp", "n", "band", "hash"), f"left{i}")
+    return reduce(DataFrame.union, ties) if ties else classes.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
+
+
 VERIFIED = "fp binary, links long, other binary"
 
 
@@ -195,27 +264,30 @@ def _verify(threshold: float):
     return verify
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, tile_classes: int = TILE_CLASSES, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, tile_classes: int = TILE_CLASSES, tile_shingles: int = TILE_SHINGLES, rounds: int = ROUNDS
+) -> DataFrame:
     """Per document: class_id (smallest id among documents with the same shingle set), n_links (other documents with Jaccard at least `threshold`), component_id and kept (one document of each component)."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngrams")
     bands = banding(threshold, recall, rows)
     signed = scratch.keep(signatures(docs, bands, rows), "signed")
     worded = signed.where(F.col("fp").isNotNull())
-    classes = worded.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min("n").alias("n"), F.first("bands").alias("bands"))
+    # One document, by id and text, stands for its class: its text gives the shingle set.
+    classes = worded.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "text_hash")).alias("own"), F.count("*").alias("copies"), F.min("n").alias("n"), F.first("bands").alias("bands"))
     classes = scratch.keep(classes, "classes")
 
-    banded = classes.select("fp", F.posexplode("bands").alias("band", "hash"))
-    buckets = banded.groupBy("band", "hash").agg(F.min("fp").alias("center"), F.count("*").alias("size")).where("size > 1")
-    candidates = banded.join(buckets, ["band", "hash"]).where(F.col("fp") != F.col("center")).select(F.col("fp").alias("u"), F.col("center").alias("v"))
-    groups = scratch.keep(components(candidates, scratch, "candidates").withColumnRenamed("node", "fp").withColumnRenamed("component", "grp"), "groups")
+    banded = classes.select("fp", "own", F.posexplode("bands").alias("band", "hash"))
+    shared = banded.groupBy("band", "hash").agg(F.count("*").alias("size"), F.min("fp").alias("least")).where("size > 1")
+    wanted = banded.join(scratch.keep(shared.select("band", "hash"), "shared"), ["band", "hash"], "left_semi").select("fp", "own").distinct()
+    wanted = scratch.keep(wanted.select("fp", F.col("own.doc_id").alias("id"), F.col("own.text_hash").alias("hash")), "wanted")
+    texts = docs.select("doc_id", "text").join(wanted.select("id", "hash"), docs["doc_id"].eqNullSafe(wanted["id"]) & (F.xxhash64(docs["text"]) == wanted["hash"]), "left_semi")
+    sets = scratch.keep(shingle_sets(texts).dropDuplicates(["fp"]), "sets")
 
-    weighed = groups.join(classes.select("fp", "class_id", "copies", "n"), "fp")
+    ties = _ties(classes.join(wanted.select("fp"), "fp", "left_semi"), sets, scratch, threshold, rounds)
+    groups = scratch.keep(components(ties, scratch, "ties").withColumnRenamed("node", "fp").withColumnRenamed("component", "grp"), "groups")
+    weighed = scratch.keep(groups.join(classes.select("fp", "copies", "n"), "fp"), "weighed")
     tiles = weighed.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / tile_classes), F.ceil(F.sum("n") / tile_shingles)).cast("int").alias("tiles"))
-    members = weighed.join(tiles, "grp").select("grp", "fp", "class_id", "copies", "tiles", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile"))
-    members = scratch.keep(members, "members")
-    wanted = members.select("class_id").distinct()
-    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["class_id"]), "left_semi")
-    sets = shingle_sets(texts).dropDuplicates(["fp"])
+    members = weighed.join(scratch.keep(tiles, "tiles"), "grp").select("grp", "fp", "copies", "tiles", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile"))
     pairs = members.join(sets, "fp").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     pairs = pairs.select("grp", F.least("tile", "k").alias("i"), F.greatest("tile", "k").alias("j"), "tile", "fp", "copies", "shingles")
     pairs = pairs.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
@@ -223,10 +295,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     counts = verified.where(F.col("other").isNull()).groupBy("fp").agg(F.sum("links").alias("links"))
     joined = components(verified.where(F.col("other").isNotNull()).select(F.col("fp").alias("u"), F.col("other").alias("v")), scratch, "links")
-    labelled = classes.select("fp", "class_id", "copies").join(joined.withColumnRenamed("node", "fp"), "fp", "left").join(counts, "fp", "left")
+    joined = joined.withColumnRenamed("node", "fp")
+    labelled = classes.select("fp", "class_id", "copies").join(joined, "fp", "left").join(counts, "fp", "left")
     labelled = labelled.select("fp", "class_id", F.coalesce("component", "fp").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     labelled = scratch.keep(labelled, "labelled")
-    ids = labelled.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    ids = scratch.keep(labelled.groupBy("component").agg(F.min("class_id").alias("component_id")), "ids")
     labelled = scratch.keep(labelled.join(ids, "component").select("fp", "class_id", "component", "component_id", "n_links"), "result")
     found = signed.select("doc_id", "text_hash", "fp").join(labelled, "fp", "left")
     alone = F.col("fp").isNull()
