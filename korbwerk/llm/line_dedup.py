@@ -1,9 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a table of (line hash, number of documents) sorted by hash. A new batch of documents is counted, what the
-runs already know to be frequent is anti-joined away, and the rest is written as a run of level 0. When a level
-holds `fanout` runs they are merged into one of the next level. Lines whose counts over all runs reach `min_docs`
-are dropped from every document.
+A run is a table of (line hash, number of documents), bucketed and sorted by hash; all runs have the same buckets. A
+new batch of documents is counted into a run of its own, lines that one of the runs before already knows to be frequent
+are anti-joined away, and the rest is written as a run of level 0. When a level holds `fanout` runs they are merged
+into one of the next level. As buckets match, these joins and merges read run beside run and exchange nothing. Lines
+whose counts over all runs reach `min_docs` are dropped from every document.
 
 All joins are on 128-bit hashes. Very frequent lines would make one task of a join hot, so lines that take more
 than 1/HOT of all (document, line) pairs, of which there are at most HOT, are broadcast and the rest shuffled.
@@ -16,6 +17,8 @@ documents. An empty table gives an empty result. Extra columns stay; clashing on
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,35 +42,67 @@ class LineRuns:
 
     def __init__(self, scratch: Scratch, min_docs: int, fanout: int = FANOUT):
         self.scratch, self.min_docs, self.fanout = scratch, min_docs, fanout
+        self.buckets = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
-        self.written = 0
-
-    def _read(self, names: list[str]) -> DataFrame:
-        return self.scratch.spark.read.schema("h1 long, h2 long, docs long").parquet(*[self.scratch.path(n) for n in names])
 
-    def _write(self, counts: DataFrame, level: int) -> None:
-        name, self.written = f"level{level}-run{self.written}", self.written + 1
-        counts.select("h1", "h2", "docs").sortWithinPartitions("h1", "h2").write.parquet(self.scratch.path(name))
+    def _table(self, counts: DataFrame) -> str:
+        name = f"lines_{uuid.uuid4().hex}"
+        written = counts.select("h1", "h2", "docs").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        written.option("path", self.scratch.path(name)).saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.scratch.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.scratch.drop(name)
+
+    def both(self, one: str, two: str) -> DataFrame:
+        """The counts of two runs together."""
+        one, two = self.scratch.spark.table(one), self.scratch.spark.table(two).withColumnRenamed("docs", "more")
+        found = one.join(two.hint("merge"), ["h1", "h2"], "full_outer")
+        return found.select("h1", "h2", (F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("docs"))
+
+    def _merged(self, runs: list[str]) -> str:
+        while len(runs) > 1:
+            one, two, *rest = runs
+            runs = [*rest, self._table(self.both(one, two))]
+            self._drop(one)
+            self._drop(two)
+        return runs[0]
+
+    @property
+    def runs(self) -> list[str]:
+        return [n for level in self.levels for n in level]
+
+    def _put(self, name: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             merged, self.levels[level] = self.levels[level], []
-            self._write(self._read(merged).groupBy("h1", "h2").agg(F.sum("docs").alias("docs")), level + 1)
-            for old in merged:
-                self.scratch.drop(old)
+            self._put(self._merged(merged), level + 1)
 
-    def counts(self) -> DataFrame | None:
-        names = [n for level in self.levels for n in level]
-        return self._read(names).groupBy("h1", "h2").agg(F.sum("docs").alias("docs")) if names else None
+    def unknown(self, batch: str) -> DataFrame:
+        """The rows of a table of counts that no run knows to be frequent."""
+        counts = self.scratch.spark.table(batch)
+        for run in self.runs:
+            known = self.scratch.spark.table(run).where(F.col("docs") >= self.min_docs).select("h1", "h2")
+            counts = counts.join(known.hint("merge"), ["h1", "h2"], "left_anti")
+        return counts
+
+    def add(self, counts: DataFrame) -> None:
+        batch = self._table(counts)
+        self._put(self._table(self.unknown(batch)), 0)
+        self._drop(batch)
 
     def frequent(self) -> DataFrame:
-        return self.counts().where(F.col("docs") >= self.min_docs)
+        """The lines that reach `min_docs`, after all runs have been merged into one."""
+        self.levels = [[self._merged(self.runs)]]
+        return self.scratch.spark.table(self.runs[0]).where(F.col("docs") >= self.min_docs)
 
-    def add(self, counts: DataFrame) -> None:
-        if self.counts() is not None:
-            counts = counts.join(self.frequent(), ["h1", "h2"], "left_anti")
-        self._write(counts, 0)
+    def clear(self) -> None:
+        for name in self.runs:
+            self._drop(name)
+        self.levels = [[]]
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -86,6 +121,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         once = lines.where(F.col("batch") == b).dropDuplicates(["h1", "h2", "doc_id", "_t1", "_t2"])
         runs.add(once.groupBy("h1", "h2").agg(F.count("*").alias("docs")))
     frequent = scratch.keep(runs.frequent(), "frequent")
+    runs.clear()
 
     hot_at = F.lit(max(min_docs, lines.count() // HOT))
     hot, cold = frequent.where(F.col("docs") >= hot_at), frequent.where(F.col("docs") < hot_at)
@@ -96,6 +132,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     same = keyed["doc_id"].eqNullSafe(dropped["doc_id"]) & (keyed["_t1"] == dropped["_t1"]) & (keyed["_t2"] == dropped["_t2"])
     found = keyed.join(dropped, same, "left").select("row", "_x", F.coalesce("_drop", F.array()).alias("_drop"))
     parts = F.split("_x", "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
+    stays = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop"))
+    kept = F.transform(F.array(parts), lambda lines: F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n"))[0]
     counted = found.select("row", F.size(parts).cast("long").alias("n_lines"), F.size("_drop").cast("long").alias("n_dropped"), F.when(F.size("_drop") == 0, F.col("_x")).otherwise(kept).alias("kept"))
     return counted.select("row.*", "n_lines", "n_dropped", "kept")

@@ -274,6 +274,20 @@ def test_lines(spark, odd, none):
     assert line_dedup.drop_repeated_lines(none).count() == 0
 
 
+def test_line_runs_join_and_merge_without_exchange(spark):
+    runs = line_dedup.LineRuns(Scratch(spark, "runs"), 3, fanout=3)
+    counts = lambda lo, hi: spark.range(lo, hi).select(*line_dedup.hashes(F.col("id").cast("string"))).groupBy("h1", "h2").agg(F.lit(2).cast("long").alias("docs"))
+    for lo in (0, 50, 100, 60, 70):
+        runs.add(counts(lo, lo + 100))
+    assert [len(x) for x in runs.levels] == [2, 1]
+    for df in (runs.unknown(runs.runs[0]), runs.both(*runs.runs[:2])):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    want = {i for i in range(200) if sum(lo <= i < lo + 100 for lo in (0, 50, 100, 60, 70)) >= 2}
+    assert runs.frequent().count() == len(want)
+    runs.clear()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lines_")]
+
+
 # --- 5
 
 
