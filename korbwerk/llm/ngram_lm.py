@@ -46,7 +46,7 @@ SCALE = 4096.0
 #: A task sends its counts on when it holds so many different n-grams.
 HELD, PIECE = 2_000_000, 4 << 20
 #: Tokens of the training text for which there is a shard of each level above the first, and the fewest shards.
-SHARD_TOKENS, LEAST_SHARDS = 4_000_000, 16
+SHARD_TOKENS, LEAST_SHARDS = 2_000_000, 4
 MISSING = -1
 
 
@@ -424,7 +424,7 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, disco
     packet = "shard int, k binary, c binary"
 
     def dealt(df: DataFrame, n: int) -> DataFrame:
-        return df.repartition(n, "shard").sortWithinPartitions("shard")
+        return df.repartitionById(n, F.col("shard")).sortWithinPartitions("shard")  # hashes would put some shards together
 
     def bases(rows, n: int) -> list[int]:
         sizes = dict(rows)
