@@ -128,7 +128,9 @@ SELECT doc_id, size, source_size, target, CAST((epochs + CASE WHEN below OR (edg
     "op10_decontamination": rf"""
 WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
 w AS (SELECT kind, id, regexp_extract_all({_lower("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM t),
-g AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda k: array_to_string(ws[k:k + 4], ' '))) AS s FROM w WHERE len(ws) > 0),
+z AS (SELECT DISTINCT least(len(ws), 5) AS width FROM w WHERE kind = 'i' AND len(ws) > 0),
+g AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(ws) - width + 2), lambda k: array_to_string(ws[k:k + width - 1], ' '))) AS s
+  FROM w JOIN z ON len(ws) >= width AND (kind = 'd' OR width = least(len(ws), 5))),
 n AS (SELECT id, count(*) AS n_shingles FROM g WHERE kind = 'i' GROUP BY id),
 m AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_contained FROM g d JOIN g i ON d.s = i.s WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
 SELECT doc_id, item_id, n_shingles, n_contained, n_contained / n_shingles AS containment FROM m JOIN n ON item_id = id WHERE n_contained >= 0.8 * n_shingles - 1e-9""",

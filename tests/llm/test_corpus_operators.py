@@ -469,15 +469,22 @@ def test_terms_of_single_texts(spark, sf_dir):
 
 def test_contamination(spark, docs, odd, none):
     rng = np.random.default_rng(4)
-    items = [(i, " ".join(f"q{x}" for x in rng.integers(0, 10**6, n))) for i, n in enumerate((1, 4, 5, 6, 12, 20, 33, 60, 200))]
+    items = [(i, " ".join(f"q{x}" for x in rng.integers(0, 10**6, n))) for i, n in enumerate((1, 2, 3, 4, 5, 6, 12, 20, 33, 60, 200))]
     texts = []
     for i, text in items:
         w = text.split()
         texts += [f"{LONG} {text} tail", " ".join(w[: len(w) // 2]), " ".join(w[: max(1, int(len(w) * 0.9))]), text.upper()]
     rows = list(enumerate(texts))
-    items += [(50, None), (51, ""), (52, items[4][1]), (None, items[5][1])]
-    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    want = {(d, i) for d, t in rows for i, q in items if shingles(q) and len(shingles(t) & shingles(q)) >= 0.8 * len(shingles(q))}
+    items += [(50, None), (51, ""), (52, items[6][1]), (None, items[7][1])]
+    # Two texts of one id that hold half an item each are not a hit.
+    half = items[9][1].split()
+    rows += [(900, " ".join(half[:32])), (900, " ".join(half[28:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("h", "hash", "item", "words", "n", "w0")})
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumns({c: F.lit("clash") for c in ("h", "item", "words", "n", "w0")})
+    runs = lambda t, k: {tuple(words(t)[i : i + k]) for i in range(len(words(t)) - k + 1)}
+    cut = {i: (min(5, len(words(q))), runs(q, min(5, len(words(q))))) for i, q in items if words(q)}
+    want = {(d, i) for d, t in rows for i, (k, q) in cut.items() if len(runs(t, k) & q) >= 0.8 * len(q)}
+    assert {i for d, i in want if d % 4 == 0} >= {0, 1, 2, 3, 4} and not any(d == 900 for d, _ in want)
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == want
     assert decontaminate.contaminated(none, bench).count() == 0 == decontaminate.contaminated(df, bench.limit(0)).count()
     assert {r.doc_id for r in decontaminate.contaminated(odd, spark.createDataFrame([(1, "THE same five words here")], "item_id long, text string")).collect()} == {None, 6}
