@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from korbwerk.llm.common import Scratch
 from korbwerk.llm.components import components
 
-THRESHOLD, RECALL, BITS, BLOCK, MARGIN, TILE = 0.95, 0.98, 48, 2048, 512, 1024
+THRESHOLD, RECALL, BITS, BLOCK, MARGIN, TILE = 0.95, 0.98, 48, 2048, 512, 256
 #: Passes after which the data are asked how many are needed.
 FIRST_PASSES = 4
 
