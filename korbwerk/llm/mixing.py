@@ -6,37 +6,43 @@ documents in key order until the rest of the budget is filled.
 
 The order within a source is never sorted in one task: keys are cut into `buckets` monotone ranges, the ranges'
 word sums are prefix-summed (at most `buckets` rows a source), and only the one range in which the budget ends is
-prefix-summed row by row. Sources number few; what is computed over all of them has one row each.
+prefix-summed row by row. Targets are computed over one row a source, at most MAX_SOURCES of them.
+
+Weights are a column of the documents, or a default made of the text alone (`quality`).
 
 Defined cases. Null texts have size 0 and are taken 0 words; a null source is a source of its own, after all
-others; null ids share one key and are ordered by text. Rows with equal ids draw equal keys and stand next to
-each other, ordered by size, then text. An empty table gives an empty result. Columns other than doc_id, text
-and source pass through untouched; the operator's own columns replace clashing ones.
+others; null ids draw their key from the text. Rows with equal ids draw equal keys and stand next to
+each other, ordered by size, then text. No document is taken more than `cap` times, whatever its size. Weights that
+are null, NaN or not positive count as the least of the default. An empty table gives an empty result. Columns other
+than doc_id, text and source pass through untouched; the operator's own columns replace clashing ones.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korbwerk.llm.common import Scratch, word_count
 
 WEIGHTS, SHARE, CAP, BUCKETS = (3, 1, 2), 1.5, 2.0, 512
-#: The plan has one row a source; above so many sources it is joined by shuffle.
-BROADCAST_ROWS = 100_000
-OWN = ["size", "source_size", "target", "taken", "copies"]
+#: What is computed over all sources meets in one task and is broadcast; more sources are an error.
+MAX_SOURCES = 100_000
+LEAST_WEIGHT = 0.25
+OWN = ["size", "source_size", "target", "taken", "copies", "key", "tie", "bucket", "epochs", "left", "edge", "base", "once"]
 
 
-def uniform(doc_id: Column) -> Column:
-    """A number in (0, 1) from the first 48 bits of the id's md5."""
-    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 12)
+def uniform(doc_id: Column, text: Column) -> Column:
+    """A number in (0, 1) from the first 48 bits of the id's md5; of the text's where the id is null."""
+    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), text, F.lit("")).cast("binary")), 1, 12)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(2**48)
 
 
 def quality(text: Column) -> Column:
     """Document quality weight from 0.25 to 1: texts broken into unusually short or long words weigh less."""
     mean = F.length(text) / F.greatest(word_count(text), F.lit(1))
-    return F.when(mean.between(3.0, 12.0), 1.0).when(mean.between(2.0, 25.0), 0.5).otherwise(0.25)
+    return F.when(mean.between(3.0, 12.0), 1.0).when(mean.between(2.0, 25.0), 0.5).otherwise(LEAST_WEIGHT)
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -59,35 +65,34 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, buckets: int = BUCKETS, weight: Column | None = None) -> DataFrame:
-    """Every document with its size, its source's size and target, the words taken and the number of copies.
+def _drawn(docs: DataFrame, buckets: int, weight: Column | str | None) -> DataFrame:
+    """`docs` with size, key, tie and bucket, all of which follow from the row alone."""
+    given = None if weight is None else (F.col(weight) if isinstance(weight, str) else weight).cast("double")
+    weigh = quality(F.col("text")) if given is None else F.when((given > 0) & ~F.isnan(given), given).otherwise(LEAST_WEIGHT)
+    docs = docs.withColumn("size", word_count(F.col("text"))).withColumn("key", -F.log(uniform(F.col("doc_id"), F.col("text"))) / weigh)
+    return docs.withColumn("tie", F.coalesce(F.xxhash64("text"), F.lit(0))).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
 
-    Whole documents are taken. Within the range in which the budget ends, the document that straddles it is taken if that ends nearer to the target; then the one
-    untaken document of that range that best fits what is left, if it brings the source nearer.
-    """
-    docs = docs.drop(*OWN)
-    keyed = docs.select("doc_id", "source", "text").select(
-        "doc_id",
-        "source",
-        word_count(F.col("text")).alias("size"),
-        (-F.log(uniform(F.col("doc_id"))) / (quality(F.col("text")) if weight is None else weight)).alias("key"),
-        F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"),
-    )
-    scratch = Scratch(docs.sparkSession, "mixing")
-    keyed = scratch.keep(keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int")), "keyed")
+
+def _plan(keyed: DataFrame, scratch: Scratch, weights, share: float, cap: float) -> DataFrame:
+    """One row a source: p_source, source_size, target, whole epochs, the words left after these, and the range in which these end, with the words before it."""
     ranges = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-    targets = source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
+    ranges = scratch.keep(ranges, "ranges")
+    sources = scratch.keep(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), "sources")
+    if sources.count() > MAX_SOURCES:
+        raise ValueError(f"there are more than {MAX_SOURCES} sources")
+    targets = source_targets(sources, weights, share, cap)
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0))
     targets = targets.withColumn("left", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0)))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("base", F.coalesce(F.sum("words").over(upto), F.lit(0)))
     ends = ranges.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
     ends = ends.where((F.col("base") <= F.col("left")) & (F.col("base") + F.col("words") > F.col("left"))).select(F.col("r.source").alias("source"), "bucket", "base")
+    plan = targets.alias("t").join(ends.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left")
+    return scratch.keep(plan.select(F.col("t.source").alias("p_source"), "source_size", "target", "epochs", "left", F.col("bucket").alias("edge"), "base"), "plan")
 
-    plan = targets.alias("t").join(ends.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left").select(F.col("t.source").alias("p_source"), "source_size", "target", "epochs", "left", F.col("bucket").alias("edge"), "base")
-    plan = scratch.keep(plan, "plan")
-    rows = keyed.join(F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan, keyed["source"].eqNullSafe(plan["p_source"])).drop("p_source")
 
+def _edge(rows: DataFrame) -> DataFrame:
+    """Rows of the ranges in which budgets end, with whether each is taken once more."""
     run = Window.partitionBy("source").orderBy("key", "doc_id", "size", "tie")
     edge = rows.where(F.col("bucket") == F.col("edge"))
     edge = edge.withColumn("upto", F.col("base") + F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)))
@@ -95,16 +100,56 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     whole = Window.partitionBy("source").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edge = edge.withColumn("open", F.col("left") - F.max(F.when(F.col("in"), F.col("upto")).otherwise(F.col("base"))).over(whole))
     fit = Window.partitionBy("source").orderBy("in", F.abs(F.col("open") - F.col("size")), "key", "doc_id", "tie")
-    edge = edge.withColumn("fill", ~F.col("in") & (F.row_number().over(fit) == 1) & (F.abs(F.col("open") - F.col("size")) < F.col("open")))
-    edge = edge.withColumn("once", F.col("in") | F.col("fill"))
-    inner = rows.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn("once", F.col("edge").isNotNull() & (F.col("bucket") < F.col("edge")))
-    cols = ["doc_id", "source", "tie", "size", "source_size", "target", (F.col("epochs") + F.col("once").cast("int")).cast("int").alias("copies")]
-    return inner.select(*cols).unionByName(edge.select(*cols)).withColumn("taken", F.col("copies") * F.col("size"))
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` as often as the mix takes them."""
-    taken = mix(docs, **options).groupBy("doc_id", "tie").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), F.coalesce(F.xxhash64(docs["text"]), F.lit(0)).alias("hash"))
-    rows = rows.join(taken, rows["id"].eqNullSafe(taken["doc_id"]) & (rows["hash"] == taken["tie"])).dropDuplicates(["id", "hash"])
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    fill = ~F.col("in") & (F.row_number().over(fit) == 1) & (F.abs(F.col("open") - F.col("size")) < F.col("open"))
+    return edge.withColumn("once", F.col("in") | fill)
+
+
+def _copies(once: Column, cap: float) -> Column:
+    return F.least(F.col("epochs") + once.cast("int"), F.lit(math.floor(cap + 1e-9))).cast("int")
+
+
+#: Whether a row outside of the range in which its source's budget ends is taken once more.
+BELOW = F.col("edge").isNotNull() & (F.col("bucket") < F.col("edge"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, buckets: int = BUCKETS, weight: Column | str | None = None) -> DataFrame:
+    """Every document with its size, its source's size and target, the words taken and the number of copies.
+
+    Whole documents are taken. Within the range in which the budget ends, the document that straddles it is taken if that ends nearer to the target; then the one
+    untaken document of that range that best fits what is left, if it brings the source nearer.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    keyed = scratch.keep(_drawn(_own_aside(docs), buckets, weight).select("doc_id", "source", "size", "key", "tie", "bucket"), "keyed")
+    plan = _plan(keyed, scratch, weights, share, cap)
+    rows = keyed.join(F.broadcast(plan), keyed["source"].eqNullSafe(plan["p_source"])).drop("p_source")
+    cols = ["doc_id", "source", "tie", "size", "source_size", "target"]
+    inner = rows.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).select(*cols, _copies(BELOW, cap).alias("copies"))
+    return inner.unionByName(_edge(rows).select(*cols, _copies(F.col("once"), cap).alias("copies"))).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, buckets: int = BUCKETS, weight: Column | str | None = None) -> DataFrame:
+    """The rows of `docs` as often as the mix takes them.
+
+    A row outside of its source's last range is repeated where it is read; only those ranges are shuffled. Rows of
+    equal id, source and text draw alike: so many of them as the mix takes are taken, in order of their other columns.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    drawn = _drawn(_own_aside(docs).withColumn("_row", F.struct(*[docs[c] for c in docs.columns])), buckets, weight).select("_row", "doc_id", "source", "size", "key", "tie", "bucket")
+    keyed = scratch.keep(drawn.drop("_row"), "keyed")
+    plan = _plan(keyed, scratch, weights, share, cap)
+    planned = lambda df: df.join(F.broadcast(plan), df["source"].eqNullSafe(plan["p_source"])).drop("p_source")
+    edge = _edge(planned(keyed)).groupBy("source", "doc_id", "tie", "epochs").agg(F.count_if("once").alias("some"))
+    edge = scratch.keep(edge.select(F.col("source").alias("e_source"), F.col("doc_id").alias("e_id"), F.col("tie").alias("e_tie"), "some"), "edge")
+    rows = planned(drawn)
+    inner = rows.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).select("_row", _copies(BELOW, cap).alias("_n"))
+    last = rows.where(F.col("bucket") == F.col("edge"))
+    last = last.join(edge, last["source"].eqNullSafe(edge["e_source"]) & last["doc_id"].eqNullSafe(edge["e_id"]) & (last["tie"] == edge["e_tie"]))
+    place = F.row_number().over(Window.partitionBy("source", "doc_id", "tie").orderBy(F.xxhash64("_row")))
+    last = last.withColumn("once", place <= F.col("some")).select("_row", _copies(F.col("once"), cap).alias("_n"))
+    taken = inner.unionByName(last).where("_n > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
+
+
+def _own_aside(docs: DataFrame) -> DataFrame:
+    """Without columns that have the names of the operator's own."""
+    return docs.drop(*[c for c in docs.columns if c in OWN])

@@ -9,9 +9,9 @@ With document frequencies df over all N documents,
 
 A term discloses an entity if it gives away at least the share `disclosure` of its information, and if so many common
 documents have a probability of at most `chance` (the lesser of Markov's and Chernoff's bounds) were the two
-independent. Entities of one text can pass that where N is 20 or more. Each occurrence of a disclosing term in a document that holds the entity becomes a
-span of kind `term`. `sanitised` generalises pattern spans to their kind and terms to a placeholder, and removes terms
-that disclose everything.
+independent. Entities of one text can pass that where N is 20 or more. Each occurrence of a disclosing term in a
+document that holds the entity becomes a span of kind `term`. Pattern spans are generalised to their kind and terms to
+a placeholder; terms that disclose everything are removed (`sanitised`).
 
 Terms are words of 4 letters and more, shorter ones of at least 2 that begin with a capital or are Hangul, and the
 overlapping pairs of letters of scripts written without spaces (Han, kana; a lone letter stands for itself). Case is
@@ -54,18 +54,48 @@ DISCLOSURE, CHANCE = 0.85, 0.05
 SPANS = "array<struct<s:int,e:int,v:string>>"
 
 
+#: Arrays are scanned in slices of so many elements, so that long ones take linear time.
+SLICE = 512
+
+
+def bound(value: Column, use) -> Column:
+    """`use` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, combine) -> Column:
+    """For each whole number of an array what those before it come to by `combine` (a sum or a maximum of numbers from 0 on), and last what all come to."""
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def joined(acc: Column, part: Column) -> Column:
+        moved = F.transform(part["out"], lambda y: combine(acc["at"], y))
+        return F.struct(combine(acc["at"], part["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def scanned(xs: Column) -> Column:
+        zero = F.lit(0).alias("at")
+        starts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(SLICE))
+        parts = F.transform(starts, lambda i: F.aggregate(F.slice(xs, i, SLICE), F.struct(zero, F.array().cast("array<int>").alias("out")), step))
+        return F.aggregate(parts, F.struct(zero, F.array().cast("array<array<int>>").alias("out")), joined, lambda acc: F.array_append(F.flatten(acc["out"]), acc["at"]))
+
+    return bound(values, scanned)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches of a pattern as (s, e, v): code-point offsets and text, from the lengths of what stands between them."""
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")).cast("array<struct<gap:string,hit:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.coalesce(F.length(x["hit"]), F.lit(0))
-        found = F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("v")))))
-        return F.struct(e.alias("at"), found.alias("out"))
+    def placed(pairs: Column) -> Column:
+        lengths = F.transform(pairs, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0)))
+
+        def out(ends: Column) -> Column:
+            every = F.transform(pairs, lambda x, i: F.struct((F.get(ends, i + 1) - F.length(x["hit"])).alias("s"), F.get(ends, i + 1).alias("e"), x["hit"].alias("v")))
+            return F.filter(every, lambda x: x["v"].isNotNull())
 
-    zipped = zipped.cast("array<struct<gap:string,hit:string>>")
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), step, lambda acc: acc["out"])
+        return bound(running(lengths, lambda a, x: a + x), out)
+
+    return bound(zipped, placed)
 
 
 def luhn(digits: Column) -> Column:
@@ -107,14 +137,22 @@ def _entity(x: Column) -> Column:
     return F.concat(x["k"].cast("string"), F.lit(":"), ascii_lower(x["v"]))
 
 
-def _blanked(text: Column, base: Column) -> Column:
-    """The text with its spans overwritten by spaces, so that offsets stay and no term lies in a span."""
+def _rewritten(text: Column, spans: Column, put) -> Column:
+    """The text with what `put` gives for each span (from a place on, of a span) instead of the spans, which are taken in order; of overlapping ones the part before the first one's end is gone."""
 
-    def step(acc: Column, x: Column) -> Column:
-        put = F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], acc["at"]), F.lit(0))))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), put.alias("out"))
+    def done(xs: Column) -> Column:
+        def pieces(ends: Column) -> Column:
+            each = F.transform(xs, lambda x, i: F.concat(F.substr(text, F.get(ends, i) + 1, F.greatest(x["s"] - F.get(ends, i), F.lit(0))), put(F.get(ends, i), x)))
+            return F.concat(F.array_join(each, ""), F.substr(text, F.element_at(ends, -1) + 1))
+
+        return bound(running(F.transform(xs, lambda x: x["e"]), lambda a, x: F.greatest(a, x)), pieces)
+
+    return bound(F.array_sort(spans), done)
 
-    return F.aggregate(F.array_sort(base), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+
+def _blanked(text: Column, base: Column) -> Column:
+    """The text with its spans overwritten by spaces, so that offsets stay and no term lies in a span."""
+    return _rewritten(text, base, lambda at, x: F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], at), F.lit(0))))
 
 
 def _split_run(run: Column) -> Column:
@@ -124,11 +162,12 @@ def _split_run(run: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
-    """doc_id, text hash (t1, t2) and spans array<struct<s, k, e, full>> of every document; k = 4 for terms, full where a term discloses all."""
+    """doc_id, spans array<struct<s, k, e, full>>, clean and sha256 of every document; k = 4 for terms, full where a term discloses all; clean is the sanitised text, null where there is no span, and sha256 that of the document's text after sanitising."""
     scratch = Scratch(docs.sparkSession, "personal")
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", F.xxhash64(text).alias("t1"), F.length(text).alias("t2"), text.alias("text"), base_spans(text).alias("base"))
-    base = scratch.keep(base.select("doc_id", "t1", "t2", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "base")
+    base = base.select("doc_id", "t1", "t2", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"), F.when(F.size("base") == 0, F.sha2("text", 256)).alias("same"))
+    base = scratch.keep(base, "base")
     n_docs = F.lit(float(max(1, base.count())))
 
     # Exact copies are worked on once and count n times.
@@ -169,17 +208,15 @@ def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, chance: float
 
     marked = near.join(scored, ["entity", "term"]).groupBy("t1", "t2", "term").agg(F.max("full").alias("full"))
     terms = words.join(marked, ["t1", "t2", "term"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("s", F.lit(len(KINDS)).alias("k"), "e", "full")).alias("terms"))
+    terms = scratch.keep(terms, "terms")
     pattern = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(False).alias("full")))
-    return base.drop("text").join(terms, ["t1", "t2"], "left").select("doc_id", "t1", "t2", F.concat(pattern, F.coalesce("terms", F.array().cast("array<struct<s:int,k:int,e:int,full:boolean>>"))).alias("spans"))
+    spans = F.concat(pattern, F.coalesce("terms", F.array().cast("array<struct<s:int,k:int,e:int,full:boolean>>")))
+    found = base.join(terms, ["t1", "t2"], "left").select("doc_id", spans.alias("spans"), "text", "same")
+    clean = F.when(F.col("text").isNotNull(), sanitised(F.col("text"), F.col("spans")))
+    return found.withColumn("clean", clean).select("doc_id", "spans", "clean", F.coalesce("same", F.sha2("clean", 256)).alias("sha256"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with spans generalised to [kind], and fully disclosing terms removed; of overlapping spans the first in order stands for those that begin inside it."""
     names = F.array(*[F.lit(f"[{x}]") for x in (*KINDS, "term")])
-
-    def step(acc: Column, x: Column) -> Column:
-        inside = x["s"] < acc["at"]
-        put = F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), F.when(x["full"], F.lit("")).otherwise(F.get(names, x["k"])))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(inside, acc["out"]).otherwise(put).alias("out"))
-
-    return F.aggregate(F.array_sort(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    return _rewritten(text, spans, lambda at, x: F.when((x["s"] < at) | x["full"], F.lit("")).otherwise(F.get(names, x["k"])))

@@ -51,7 +51,9 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["k"] < len(pii.KINDS))
     count = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long")
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+    removed = F.size(F.filter("spans", lambda x: x["full"])).cast("long")
+    more = [(F.size("spans").cast("long") - removed).alias("n_generalised"), removed.alias("n_removed"), F.col("sha256").alias("sanitised_sha256")]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"), *more)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +108,7 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id""",
     "op6_mixing": rf"""
 WITH k0 AS (SELECT doc_id, source, CAST({_WORDS} AS BIGINT) AS size, length(text) / greatest({_WORDS}, 1) AS mean,
-    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE AS u FROM documents),
+    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE AS u FROM documents),
 k AS (SELECT doc_id, source, size, -ln(u) / (CASE WHEN mean BETWEEN 3.0 AND 12.0 THEN 1.0 WHEN mean BETWEEN 2.0 AND 25.0 THEN 0.5 ELSE 0.25 END)::DOUBLE AS key FROM k0),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
 s1 AS (SELECT source, source_size, 2.0::DOUBLE * source_size AS cap,

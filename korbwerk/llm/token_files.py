@@ -5,15 +5,16 @@ as little-endian unsigned integers without separators, of 2 bytes if the vocabul
 of 4, and `part-k.idx`, the 64-bit little-endian
 offsets of its documents counted in ids from the start of the shard, one more than it has documents, and
 `part-k.doc`, their doc_ids as 64-bit little-endian integers. A manifest table has a row a shard: shard, docs, ids,
-and base, the ids in all shards before it, a prefix sum. The files are read by memory mapping.
+width (bytes an id), and base, the ids in all shards before it, a prefix sum. The files are read by memory mapping, of
+a remote store by ranges.
 
 Rows are range-partitioned by id, so a shard is written by one task, under a name of the attempt that is moved into
 place when complete; a task that is run again puts the same bytes there. Only the manifest (one row a shard) is
 summed in one place.
 
-No token of the tokenizer spans white space, so a lower-cased text is cut there and each word looked up in a bounded
-cache that the tokenizer fills; texts with characters for which its normaliser does more than lower-case go to the
-tokenizer whole.
+Texts go to the tokenizer whole. Only where the loaded file says that no token spans white space and that nothing but
+lower-casing is done to plain characters (`word_wise`), a text of these is cut at white space and its words are looked
+up in a bounded cache that the tokenizer fills.
 
 Defined cases. Null texts are empty and hold the end id only. Rows with equal ids are ordered by text; null ids come
 first and are written as NO_ID. An empty table gives an empty manifest. Extra columns are ignored.
@@ -21,6 +22,7 @@ first and are written as NO_ID. An empty table gives an empty manifest. Extra co
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -51,6 +53,22 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: The steps before the model of a tokenizer whose words may be encoded one by one.
+WORD_WISE = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def word_wise(spec: dict) -> bool:
+    """Whether a tokenizer's file has these steps before its model, nothing after it, and no added tokens but special ones."""
+    steps = {k: (spec.get(k) or {}).get("normalizers" if k == "normalizer" else "pretokenizers") for k in WORD_WISE}
+    return steps == WORD_WISE and not spec.get("post_processor") and all(t["special"] and not t["lstrip"] and not t["rstrip"] for t in spec.get("added_tokens", []))
+
+
 class Encoder:
     """Encodes texts as the tokenizer does with add_special_tokens=False."""
 
@@ -60,7 +78,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.cache = Tokenizer.from_file(path), cache, {}
-        self.plain = regex.compile(PLAIN)
+        self.plain = regex.compile(PLAIN) if word_wise(json.loads(self.tokenizer.to_str())) else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _learn(self, words: list[str]) -> None:
@@ -71,7 +89,7 @@ class Encoder:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         cut: list[list[str] | None] = []
         for text in texts:
-            plain = self.plain.fullmatch(text) and not any(t in text for t in self.special)
+            plain = self.plain and self.plain.fullmatch(text) and not any(t in text for t in self.special)
             cut.append(text.lower().split() if plain else None)
         new = set().union(*[c for c in cut if c]) - self.cache.keys()
         # A letter and a mark after it are never one token, so the word may be known without the mark.
@@ -110,17 +128,31 @@ def _storage(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
-def mapped(folder: str, name: str, dtype: str) -> np.ndarray:
-    """A file's numbers: memory-mapped where the folder is a file path, else read through its file system."""
-    storage, path = _storage(folder)
-    if storage.type_name == "local":
-        return np.memmap(f"{path}/{name}", dtype=dtype, mode="r") if os.path.getsize(f"{path}/{name}") else np.zeros(0, dtype)
-    with storage.open_input_file(f"{path}/{name}") as f:
-        return np.frombuffer(f.read(), dtype=dtype)
+class Numbers:
+    """A file's numbers by ranges: memory-mapped where the folder is a file path, else read through its file system."""
+
+    def __init__(self, folder: str, name: str, dtype: str):
+        storage, path = _storage(folder)
+        self.dtype, self.local = np.dtype(dtype), storage.type_name == "local"
+        if self.local:
+            self.size = os.path.getsize(f"{path}/{name}") // self.dtype.itemsize
+            self.data = np.memmap(f"{path}/{name}", dtype=dtype, mode="r") if self.size else np.zeros(0, dtype)
+        else:
+            self.file = storage.open_input_file(f"{path}/{name}")
+            self.size = self.file.size() // self.dtype.itemsize
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        if self.local:
+            return self.data[part]
+        first, last, _ = part.indices(self.size)
+        return np.frombuffer(self.file.read_at(max(0, last - first) * self.dtype.itemsize, first * self.dtype.itemsize), self.dtype)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, width: int | None = None, shards: int | None = None) -> DataFrame:
-    """Writes the data set and returns its manifest (shard, docs, ids, base)."""
+    """Writes the data set and returns its manifest (shard, docs, ids, width, base)."""
     spark = docs.sparkSession
     tokenizer = tokenizer or tokenizer_path()
     width = width or id_width(tokenizer)
@@ -149,12 +181,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
                     out.write(np.array(numbers, dtype="<i8").tobytes())
             for kind in ("bin", "idx", "doc"):
                 storage.move(f"{path}/.{attempt}.{kind}", f"{path}/part-{shard:06d}.{kind}")
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "docs": [len(offsets) - 1], "ids": [at]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "docs": [len(offsets) - 1], "ids": [at], "width": pa.array([width], pa.int32())})
         else:
             storage.delete_file(f"{path}/.{attempt}.bin")
 
     scratch = Scratch(spark, "tokens")
-    manifest = scratch.keep(ordered.mapInArrow(put, "shard int, docs long, ids long"), "shards")
+    manifest = scratch.keep(ordered.mapInArrow(put, "shard int, docs long, ids long, width int"), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return scratch.keep(manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long")), "manifest")
 
@@ -164,18 +196,16 @@ def new_folder(docs: DataFrame) -> str:
     return scratch.root
 
 
-def read(manifest: DataFrame, folder: str, width: int) -> DataFrame:
+def read(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, from the files alone."""
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, base in zip(batch.column("shard").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                offsets, names = mapped(folder, f"part-{shard:06d}.idx", "<i8"), mapped(folder, f"part-{shard:06d}.doc", "<i8")
-                ids = mapped(folder, f"part-{shard:06d}.bin", f"<u{width}")
+            for shard, base, width in zip(*[batch.column(c).to_pylist() for c in ("shard", "base", "width")], strict=True):
+                offsets, names, ids = (Numbers(folder, f"part-{shard:06d}.{kind}", t) for kind, t in (("idx", "<i8"), ("doc", "<i8"), ("bin", f"<u{width}")))
                 for i in range(0, len(names), ROWS):
-                    ends = offsets[i : i + ROWS + 1]
+                    ends, found = offsets[i : i + ROWS + 1], names[i : i + ROWS]
                     crc = [zlib.crc32(ids[a:b].astype("<u4", copy=False).tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                    found = names[i : i + ROWS]
                     yield pa.RecordBatch.from_arrays([pa.array(found, mask=found == NO_ID), pa.array(base + ends[:-1]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return manifest.repartition(max(1, manifest.count()), "shard").mapInArrow(get, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -184,5 +214,4 @@ def read(manifest: DataFrame, folder: str, width: int) -> DataFrame:
 def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, width: int | None = None) -> DataFrame:
     """Writes `docs` to a folder of its own in the shared folder, and reads it back."""
     folder, tokenizer = new_folder(docs), tokenizer or tokenizer_path()
-    width = width or id_width(tokenizer)
-    return read(write(docs, folder, tokenizer, end_id, width), folder, width)
+    return read(write(docs, folder, tokenizer, end_id, width), folder)

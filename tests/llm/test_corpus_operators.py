@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -84,6 +85,15 @@ def test_url_tables(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_url_vocabulary(spark):
+    terms = spark.createDataFrame([("Casino", 1.0), ("casino", 0.2), ("deal", 0.6), ("win", 0.4), ("track", 0.3), (None, 1.0), ("", 1.0), ("zero", 0.0), ("nan", float("nan"))], "term string, weight double")
+    assert url_filter.vocabulary(terms) == {"casino": 1.0, "deal": 0.6, "win": 0.4, "track": 0.3}
+    df = spark.createDataFrame([(1, "http://x.com/casino", "h"), (2, "http://x.com/deal-win", "h"), (3, "http://x.com/deal-track", "h"), (4, None, "h")], "page_id long, url string, hit string").withColumns({c: F.lit("clash") for c in ("t", "in", "st", "host", "rule", "_row", "_judged", "weight")})
+    got = url_filter.judge_urls(df, keep=("page_id", "hit", "t", "in", "st", "rule"), weights=terms).orderBy("page_id").collect()
+    assert [(r.verdict, r.hit, r.t, r["in"], r.st, r.rule) for r in got] == [(v, "h", "clash", "clash", "clash", None) for v in ("block", "block", "allow", "allow")]
+    assert [r.verdict for r in url_filter.judge_urls(df, weights={}).collect()] == ["allow"] * 4
+
+
 # --- 2
 
 
@@ -314,6 +324,14 @@ def test_encoder(text):
     assert np.frombuffer(got, "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_get_whole_texts():
+    """A tokenizer that keeps case and has tokens across spaces is used as it is."""
+    encode = token_files.Encoder(token_files.tokenizer_path("byte_bpe_50k.json"))
+    texts = ["Hello World, hello world", "  two  spaces", "Ünï"]
+    assert encode.plain is None
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # --- 6
 
 
@@ -327,7 +345,25 @@ def test_mixing(spark, odd, none, docs):
         assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df).collect()))
     for s, (_, target) in sources.items():
         assert abs(sum(r.taken for r in got if r.source == s) - target) <= max(r["size"] for r in got if r.source == s) / 2 + 1
-    assert mixing.mix(none).count() == 0 and mixing.mixed(odd).columns == odd.columns
+    assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
+
+
+def test_mixed_rows(spark, odd, docs):
+    """`mixed` gives each row as often as `mix` says; rows of one id and text keep their other columns; empty texts are not taken thrice."""
+    for df in (odd, docs):
+        assert mixing.mixed(df).columns == df.columns
+        want = collections.Counter()
+        for r in mixing.mix(df).collect():
+            want[r.doc_id, r.source, r["size"]] += r.copies
+        got = collections.Counter((r.doc_id, r.source, len(words(r.text))) for r in mixing.mixed(df).collect())
+        assert got == +want
+    rows = [(1, "a b c", "s", "x", 1), (1, "a b c", "s", "y", 2), (1, "a b c", "t", "z", 3)] + [(None, None, "s", "n", 0)] * 3 + [(i, "w " * i, "s", "o", i) for i in range(2, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, weight int")
+    for share in (0.5, 1.5, 2.0):
+        got = collections.Counter(tuple(r) for r in mixing.mixed(df, share=share, weight="weight").collect())
+        copies = mixing.mix(df, share=share, weight="weight")
+        assert all(n <= (6 if r[0] is None else 2) for r, n in got.items()) and sum(got.values()) == copies.agg(F.sum("copies")).first()[0]
+    assert {r[3] for r in got} == {"x", "y", "z", "n", "o"} - ({"n"} if not any(r[0] is None for r in got) else set())
 
 
 # --- 7 and components
@@ -391,6 +427,61 @@ def test_language(spark, docs, odd, none):
     assert {r.lang_pred for r in language.predict(odd, language.train(none)).collect()} == {"und"}
 
 
+def language_plain(train, texts):
+    """(language, score) of each text by per-word trigram scores and a best path, all in plain Python."""
+    def grams(word):
+        w = [0, *[ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in word], 0]
+        for a, b, c in zip(w, w[1:], w[2:], strict=False):
+            yield ((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9) * 0xD6E8FEB86659FD93 % 2**64) >> 48
+
+    split = lambda t: ["".join(g) for ok, g in itertools.groupby(t or "", str.isalpha) if ok]
+    langs, counts = sorted({x for _, x in train}), collections.defaultdict(collections.Counter)
+    for text, lang in train:
+        for word in split(text):
+            counts[lang].update(grams(word))
+    total = {x: sum(counts[x].values()) + 0.1 * language.BUCKETS for x in langs}
+    out = []
+    for text in texts:
+        paths = None
+        for word in split(text):
+            own = [sum(math.log((counts[x][g] + 0.1) / total[x]) for g in grams(word)) for x in langs]
+            if paths is None:
+                paths = [(v, [i]) for i, v in enumerate(own)]
+                continue
+            top = max(range(len(langs)), key=lambda i: paths[i][0])
+            moved = [paths[top][0] - language.PENALTY > paths[i][0] for i in range(len(langs))]
+            paths = [(max(paths[i][0], paths[top][0] - language.PENALTY) + own[i], (paths[top] if moved[i] else paths[i])[1] + [i]) for i in range(len(langs))]
+        if paths is None:
+            out.append(("und", 0.0))
+            continue
+        best, letters = max(paths, key=lambda p: p[0])[1], collections.Counter()
+        for word, i in zip(split(text), best, strict=True):
+            letters[i] += len(word)
+        lang = max(range(len(langs)), key=lambda i: letters[i])
+        out.append((langs[lang], letters[lang] / letters.total()))
+    return out
+
+
+def test_language_query_equals_plain(spark, sf_dir):
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    rows = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    some = [r for r in rows if len(r.text or "") < 4000]
+    want = language_plain([(r.text, r.lang) for r in rows if not held(r.doc_id) and r.lang is not None and r.text is not None], [r.text for r in some])
+    got = {r.doc_id: r for r in queries.op8_language(spark, sf_dir).collect()}
+    assert len(got) == len(rows) and all(got[r.doc_id].held_out == held(r.doc_id) for r in rows)
+    same = [got[r.doc_id].lang_pred == lang and got[r.doc_id].score == pytest.approx(score, abs=0.02) for r, (lang, score) in zip(some, want, strict=True)]
+    assert sum(same) >= 0.99 * len(same)
+
+
+def test_language_more_labels_than_a_byte(spark):
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + k)}qz" for k in range(20)), f"l{i:03d}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.predict(df, language.train(df)).collect()}
+    assert got == {i: x for i, _, x in rows}
+    with pytest.raises(ValueError, match="more than 2000"):
+        language.train(spark.range(2001).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.col("id").cast("string").alias("lang")))
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 7), min_size=1, max_size=5), st.randoms(use_true_random=False))
 def test_viterbi(sizes, rnd):
@@ -398,8 +489,6 @@ def test_viterbi(sizes, rnd):
     first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     label = language.Model.labels(None, first, np.array(sizes), scores, 7.0)
     worth = lambda row, path: sum(row[i][x] for i, x in enumerate(path)) - 7.0 * sum(a != b for a, b in zip(path, path[1:], strict=False))
-    import itertools
-
     for at, n in zip(first, sizes, strict=True):
         row = scores[at : at + n]
         best = max((worth(row, p) for p in itertools.product(range(3), repeat=n)), default=0)
@@ -442,13 +531,59 @@ def test_disclosing_terms(spark, odd):
     rows = [(i, f"Agent Falkenrath wrote to m@x.org re no {i} and that was all") for i in range(4)] + [(10 + i, "that was all about nothing") for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = pii.personal_data(df)
-    shown = df.join(got, "doc_id").select("doc_id", "text", "spans", pii.sanitised(F.col("text"), F.col("spans")).alias("clean")).orderBy("doc_id").collect()
+    shown = df.join(got, "doc_id").select("doc_id", "text", "spans", F.coalesce("clean", "text").alias("clean"), "sha256").orderBy("doc_id").collect()
+    assert all(r.sha256 == hashlib.sha256(r.clean.encode()).hexdigest() for r in shown)
     assert {r["text"][s["s"] : s["e"]] for r in shown[:4] for s in r.spans} == {"m@x.org", "Agent", "Falkenrath", "wrote"}
     assert all(r.spans == [] and r.clean == r["text"] for r in shown[4:])
     assert shown[0].clean == "   to [email] re no 0 and that was all"
     assert pii.personal_data(odd).count() == len(ODD)
 
 
+def test_long_text_full_of_matches(spark):
+    text = " ".join(f"a{i}@b.c 1.2.3.{i % 256} word" for i in range(20_000))
+    got = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(got.spans) == 40_000 and got.clean == " ".join(["[email] [ip] word"] * 20_000)
+
+
+def disclosed_plain(rows, disclosure=pii.DISCLOSURE, chance=pii.CHANCE):
+    """By row number, the (start, end) of all disclosing terms: words of at least four letters, of texts without unspaced scripts."""
+    spans, said, per = [], collections.Counter(), []
+    for text in rows:
+        text = text or ""
+        base = [tuple(map(int, x.split(":")[1:])) + (x.split(":")[0],) for x in pii_plain(text).split(",") if x]
+        blank = list(text)
+        for s, e, _ in base:
+            blank[s:e] = " " * (e - s)
+        spans.append([(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]{4,}", "".join(blank))])
+        said.update({w.lower() for w in re.findall(r"[^\W\d_]{2,}", text)})
+        per.append({f"{k}:{text[s:e].lower()}" for s, e, k in base})
+    n, held, both = len(rows), collections.Counter(), collections.Counter()
+    for entities, words_ in zip(per, spans, strict=True):
+        held.update(entities)
+        both.update((x, w) for x in entities for w in {w for _, _, w in words_})
+    found = set()
+    for (x, w), c in both.items():
+        s = max(said[w], c)
+        expected = s * held[x] / n
+        if math.log2(n * c / (s * held[x])) >= disclosure * math.log2(n / held[x]) > 0 and expected < c and min(math.log(expected / c), c * (math.log(expected / c) + 1) - expected) <= math.log(chance):
+            found.add((x, w))
+    return [{(s, e) for s, e, w in mine if any((x, w) in found for x in entities)} for mine, entities in zip(spans, per, strict=True)]
+
+
+def test_disclosing_terms_equal_plain(spark):
+    rng = np.random.default_rng(3)
+    common = [f"{a}{b}wort" for a in "abcdefgh" for b in "xyz"]
+    rows = []
+    for i in range(120):
+        text = " ".join(rng.choice(common, 12))
+        if i % 4 == 0:
+            text += f" Person{'abcdefgh'[i % 8]}name schrieb an p{i % 8}@x.org und {'einmal' if i % 16 else 'zweimal'} Tel +49 30 12345{i % 24:02d}"
+        rows.append(text)
+    got = pii.personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    want = disclosed_plain(rows)
+    assert {r.doc_id: {(x.s, x.e) for x in r.spans if x.k == len(pii.KINDS)} for r in got} == dict(enumerate(want)) and any(want)
+
+
 def test_terms_of_single_texts(spark, sf_dir):
     far = "and so the talk went on about nothing at all " * 4
     rows = [(1, f"Falkenrath met Li and 王小明 {far}m@x.org {far}falkenrath"), (2, f"Falkenrath went home {far}")] + [(10 + i, far + ("li an" if i < 9 else "")) for i in range(90)]
