@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before it kept; all but the last
 return the columns of documents.
+
+Defined cases. Documents whose text is null, empty or without a letter of a learned language's script go in the first
+stage, with every other column null they are treated the same. Of equal texts, and of rows with equal ids and texts,
+one stays. Ties are broken by id, then by a hash of the text. Documents with null ids stay and come first in the token
+files. An empty table gives an empty result. Extra columns are carried along, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -12,17 +17,15 @@ from pyspark.sql import functions as F
 from korbwerk.llm import decontaminate, language, mixing, ngram_join, token_files
 from korbwerk.llm.common import Scratch, table
 
-#: A document stays if at least this share of its letters is in its language.
-MIN_SCORE = 0.5
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those of which no language holds half of the letters."""
+    """Drops documents without a letter, and those without one in the script of a learned language; texts in several languages stay."""
     model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
     aside = {c: f"_{i}_{c}" for i, c in enumerate(docs.columns) if c in ("lang_pred", "score", "_text")}  # these are the prediction's names
     found = language.predict(docs.withColumnsRenamed(aside), model, keep=[aside.get(c, c) for c in docs.columns])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") > 0)).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
