@@ -108,8 +108,9 @@ def _copies(once: Column, cap: float) -> Column:
     return F.least(F.col("epochs") + once.cast("int"), F.lit(math.floor(cap + 1e-9))).cast("int")
 
 
-#: Whether a row outside of the range in which its source's budget ends is taken once more.
-BELOW = F.col("edge").isNotNull() & (F.col("bucket") < F.col("edge"))
+def _below() -> Column:
+    """Whether a row outside of the range in which its source's budget ends is taken once more."""
+    return F.col("edge").isNotNull() & (F.col("bucket") < F.col("edge"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, buckets: int = BUCKETS, weight: Column | str | None = None) -> DataFrame:
@@ -123,7 +124,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     plan = _plan(keyed, scratch, weights, share, cap)
     rows = keyed.join(F.broadcast(plan), keyed["source"].eqNullSafe(plan["p_source"])).drop("p_source")
     cols = ["doc_id", "source", "tie", "size", "source_size", "target"]
-    inner = rows.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).select(*cols, _copies(BELOW, cap).alias("copies"))
+    inner = rows.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).select(*cols, _copies(_below(), cap).alias("copies"))
     return inner.unionByName(_edge(rows).select(*cols, _copies(F.col("once"), cap).alias("copies"))).withColumn("taken", F.col("copies") * F.col("size"))
 
 
@@ -141,7 +142,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = C
     edge = _edge(planned(keyed)).groupBy("source", "doc_id", "tie", "epochs").agg(F.count_if("once").alias("some"))
     edge = scratch.keep(edge.select(F.col("source").alias("e_source"), F.col("doc_id").alias("e_id"), F.col("tie").alias("e_tie"), "some"), "edge")
     rows = planned(drawn)
-    inner = rows.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).select("_row", _copies(BELOW, cap).alias("_n"))
+    inner = rows.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).select("_row", _copies(_below(), cap).alias("_n"))
     last = rows.where(F.col("bucket") == F.col("edge"))
     last = last.join(edge, last["source"].eqNullSafe(edge["e_source"]) & last["doc_id"].eqNullSafe(edge["e_id"]) & (last["tie"] == edge["e_tie"]))
     place = F.row_number().over(Window.partitionBy("source", "doc_id", "tie").orderBy(F.xxhash64("_row")))
