@@ -58,3 +58,22 @@ MEDIA_PRIORITY = {"prospect_crop": 100, "pdf_embedded": 150, "retailer_cdn": 200
 
 # Names that no product has.
 SUSPICIOUS_NAMES = (r"\bkassenbon\b", r"\bqr[- ]?code\b", r"\bgewinnspiel\b", r"\bartikel\s+preis\b", r"\b[2-5]er[- ]?set\b", r"^\d+(?:[.,]\d+)?\s*%", r"\bhochladen\b", r"\bscannen\b")
+
+# Wording of promotions (searched without regard to case).
+PROMOTION_PATTERNS = {
+    "percent": (r"(?:-|−)\s*(\d{1,2}(?:[.,]\d+)?)\s*%", r"\b(\d{1,2}(?:[.,]\d+)?)\s*%\s*(?:rabatt|günstiger|guenstiger|sparen|ersparnis)\b"),
+    "fewer": (r"\b(\d{1,2})\s*für\s*(\d{1,2})(?![.,]\d)\b", r"\b(\d{1,2})\s*(?:zum\s+preis\s+von|zahlen\s+nur)\s*(\d{1,2})(?![.,]\d)\b"),
+    "plus": r"\b(\d{1,2})\s*\+\s*(\d{1,2})\s*(?:gratis|kostenlos)\b",
+    "fixed": r"\b(\d{1,2})\s*(?:stück\s*)?(?:für|nur)\s*(?:€\s*)?(\d{1,3}[,.]\d{2})\s*€?\b",
+    "tier": r"\b(?:ab|ar)\s*(\d{1,2})\s*(?:stück|stk\.?)\b[^\d€]{0,24}(\d{1,3}[,.]\d{2})\s*€?",
+    "piece": r"(?:\bje(?:\s+(?:stück|stk\.?|packung|croissant|brötchen|artikel))?\s*|\beinzelpreis\s*)(?:€\s*)?(\d{1,3}[,.]\d{2})\s*€?",
+    "special": r"SPECIAL_PRICE\s+kind=([a-z0-9_+-]+)\s+label=(.+?)\s+price=(\d{1,3}[.,]\d{2})(?:\s|$)",
+}
+PROMOTION_CONFIDENCE = {"member_price": 1.0, "lidl_plus": 1.0, "tier_price": 0.99, "free_item": 0.99, "fixed_bundle": 0.98}
+MOST_PIECES, MOST_PIECE_PRICE, LEAST_PROMOTION_CONFIDENCE = 24, 500.0, 0.98
+
+# Percentages read as reductions, tolerance of former prices that end in 9 cents, and of equal prices.
+LEAST_PERCENT, MOST_PERCENT = 0.5, 90.0
+NINTH_OFF, NINTH_SHARE = 0.06, 0.035
+CLOSE_OFF, CLOSE_SHARE = 0.031, 0.0075
+LEAST_PRICE, MOST_PACKAGE_PRICE, MOST_PRICE = 0.05, 500.0, 5000.0

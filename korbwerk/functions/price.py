@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from korbwerk import constants as K
+
 
 def half_up(x: Column, digits: int) -> Column:
     return F.floor(x * 10**digits + 0.5) / float(10**digits)
@@ -38,11 +40,11 @@ def unit_price(price: Column, quantity: Column, unit: Column) -> Column:
 def expected_price(quantity: Column, unit: Column, per_unit: Column) -> Column:
     """What a package should cost by its unit price; null beyond 0.05 to 500."""
     x = half_up(in_base(quantity, unit) * per_unit + 1e-9, 2)
-    return F.when(x.between(0.05, 500.0), x)
+    return F.when(x.between(K.LEAST_PRICE, K.MOST_PACKAGE_PRICE), x)
 
 
 def close(a: Column, b: Column) -> Column:
-    return F.abs(a - b) <= F.greatest(F.lit(0.031), F.least(a, b) * 0.0075)
+    return F.abs(a - b) <= F.greatest(F.lit(K.CLOSE_OFF), F.least(a, b) * K.CLOSE_SHARE)
 
 
 def package(text: Column) -> Column:
@@ -65,8 +67,8 @@ def stated_unit_price(text: Column) -> Column:
 
 def discount_percent(text: Column) -> Column:
     """A reduction such as -25 % between 0.5 and 90."""
-    x = german_number(F.coalesce(_found(text, r"[-−]\s*(\d{1,2}(?:[.,]\d+)?)\s*%"), _found(text, r"(?i)\b(\d{1,2}(?:[.,]\d+)?)\s*%\s*(?:rabatt|günstiger|guenstiger|sparen|ersparnis)\b")))
-    return F.when(x.between(0.5, 90.0), half_up(x, 1))
+    found = [german_number(_found(text, "(?iu)" + p)) for p in K.PROMOTION_PATTERNS["percent"]]
+    return F.coalesce(*[F.when(x.between(K.LEAST_PERCENT, K.MOST_PERCENT), half_up(x, 1)) for x in found])
 
 
 def former_price(price: Column, percent: Column) -> Column:
@@ -75,7 +77,7 @@ def former_price(price: Column, percent: Column) -> Column:
     ninth = F.greatest(F.floor(raw * 10) / 10.0 - 0.01, F.lit(0.0))
     choices = F.array(*[F.struct(F.abs(ninth + k / 10 - raw).alias("off"), half_up(ninth + k / 10, 2).alias("at")) for k in (0, 1)])
     best = F.array_min(choices)
-    return F.when(best["off"] <= F.greatest(F.lit(0.06), raw * 0.035), best["at"]).otherwise(half_up(raw, 2))
+    return F.when(best["off"] <= F.greatest(F.lit(K.NINTH_OFF), raw * K.NINTH_SHARE), best["at"]).otherwise(half_up(raw, 2))
 
 
 def gtin(text: Column) -> Column:

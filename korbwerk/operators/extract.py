@@ -45,18 +45,21 @@ def week_sections(docs: DataFrame, key: str = "doc_id", text: str = "text", head
     return lines(docs, key, text).withColumn("section", F.last(F.nullif(F.regexp_extract("line", heading, 1), F.lit("")), ignorenulls=True).over(w))
 
 
-def json_nodes(df: DataFrame, key: str, text: str, depth: int = 6) -> DataFrame:
-    """(key, path, value): every node of JSON texts down to `depth` levels; objects and arrays are unfolded level by level as variants."""
-    level = df.select(key, F.lit("$").alias("path"), F.try_parse_json(text).alias("value")).where("value IS NOT NULL")
-    found = level
-    for _ in range(depth):
-        kind = F.schema_of_variant("value")
-        inner = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        inner.createOrReplaceTempView("_korbwerk_nodes")
-        spark: SparkSession = df.sparkSession
-        level = spark.sql(f"SELECT n.`{key}`, concat(n.path, coalesce(concat('.', e.key), concat('[', e.pos, ']'))) AS path, e.value FROM _korbwerk_nodes n, LATERAL variant_explode(n.value) e")
-        found = found.unionByName(level)
-    return found.select(key, "path", F.to_json("value").alias("value"))
+#: What a JSON text may be nested; deeper ones are refused by the parser itself.
+MAX_DEPTH = 1000
+_NODES = """
+WITH RECURSIVE nodes (id, path, value) MAX RECURSION LEVEL {depth} AS (
+  SELECT id, '$', value FROM {roots}
+  UNION ALL
+  SELECT n.id, concat(n.path, coalesce(concat('.', e.key), concat('[', e.pos, ']'))), e.value FROM nodes n, LATERAL variant_explode_outer(n.value) e
+  WHERE e.pos IS NOT NULL
+) SELECT id, path, to_json(value) AS value FROM nodes"""
+
+
+def json_nodes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, path, value): every node of JSON texts, however deep; objects and arrays are unfolded level by level as variants until none is left."""
+    roots = df.select(F.col(key).alias("id"), F.try_parse_json(text).alias("value")).where("value IS NOT NULL")
+    return df.sparkSession.sql(_NODES.replace("{depth}", str(MAX_DEPTH)), roots=roots).withColumnRenamed("id", key)
 
 
 def first_of(nodes: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
@@ -71,7 +74,7 @@ def first_of(nodes: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
 def link_offers(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, rank, url, score): links of a page ranked as leaflet candidates, PDF files and leaflet words first."""
     urls = F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
-    rows = pages.select(key, F.posexplode(urls).alias("pos", "url")).dropDuplicates([key, "url"])
+    rows = pages.select(key, F.posexplode(urls).alias("pos", "url")).groupBy(key, "url").agg(F.min("pos").alias("pos"))
     low = F.lower("url")
     score = F.when(low.rlike(r"\.pdf(?:[?#]|$)"), 50).otherwise(0) + F.when(low.rlike("prospekt|angebot|flyer|leaflet"), 20).otherwise(0) - F.when(low.rlike("agb|datenschutz|impressum"), 40).otherwise(0)
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "pos"))

@@ -40,16 +40,31 @@ def selected_stores(users: DataFrame, favourites: DataFrame, stores: DataFrame)
     return found.where(~F.coalesce(far, F.lit(False))).select("user_id", "store_id")
 
 
+def _cells(lat: Column, lon: Column, km: Column, size: float) -> Column:
+    """All cells of `size` degrees that a circle can touch, as an array of (cy, cx)."""
+    up = km / 111.0
+    # A degree of longitude is shortest at the circle's edge that is nearest to a pole.
+    across = up / F.cos(F.radians(F.least(F.abs(lat) + up, F.lit(89.0))))
+    ys = F.sequence(F.floor((lat - up) / size), F.floor((lat + up) / size))
+    xs = F.sequence(F.floor((lon - across) / size), F.floor((lon + across) / size))
+    return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(y.alias("cy"), x.alias("cx")))))
+
+
+def within(left: DataFrame, right: DataFrame, km: Column | float, on: Sequence[str] = (), size: float = 0.25) -> DataFrame:
+    """Pairs l, r (as structs) of places with coordinates at most `km` of the left one apart, and equal in the columns `on`; joined by cells of latitude and longitude."""
+    km = km if isinstance(km, Column) else F.lit(float(km))
+    at = lambda k: (F.floor(F.col("lat") / size), F.floor(F.col("lon") / size))[k]
+    placed = lambda df: df.where("lat IS NOT NULL AND lon IS NOT NULL")
+    l = placed(left).select(F.struct("*").alias("l"), *on, km.alias("_km"), F.inline(_cells(F.col("lat"), F.col("lon"), km, size)))  # noqa: E741
+    r = placed(right).select(F.struct("*").alias("r"), *on, at(0).alias("cy"), at(1).alias("cx"))
+    km_apart = geo.haversine_km(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon"))
+    return l.join(r, [*on, "cy", "cx"]).withColumn("km", km_apart).where(F.col("km") <= F.col("_km")).select("l", "r", "km")
+
+
 def stores_in_radius(places: DataFrame, stores: DataFrame, key: str) -> DataFrame:
-    """(key, store_id, km): stores with coordinates within a place's radius."""
-    p, s = places.alias("p"), stores.where("active AND lat IS NOT NULL").alias("s")
-    at = [F.col("p.lat"), F.col("p.lon"), F.col("s.lat"), F.col("s.lon")]
-    # Cells of half a degree that the radius can reach make this an equi-join.
-    deg = F.col("p.radius_km") / 111.0
-    cell = lambda c: F.floor(c * 2)
-    cells = p.withColumn("cell", F.explode(F.sequence(cell(F.col("p.lat") - deg), cell(F.col("p.lat") + deg))))
-    found = cells.join(s.withColumn("cell", cell(F.col("s.lat"))), "cell").where(geo.near(*at, F.col("p.radius_km")))
-    return found.select(F.col(f"p.{key}").alias(key), F.col("s.store_id").alias("store_id"), geo.haversine_km(*at).alias("km"))
+    """(key, store_id, km): active stores with coordinates within a place's radius."""
+    found = within(places.select(key, "lat", "lon", "radius_km"), stores.where("active").select("store_id", "lat", "lon"), F.col("radius_km"))
+    return found.select(F.col(f"l.{key}").alias(key), F.col("r.store_id").alias("store_id"), "km")
 
 
 def rate(part: Column, whole: Column, digits: int = 1, empty: float = 0.0) -> Column:

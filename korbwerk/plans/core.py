@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korbwerk.functions import geo, text
+from korbwerk import constants as K
+from korbwerk.functions import text
 from korbwerk.operators import relational as R
 from korbwerk.plans.registry import query
 from korbwerk.plans.views import AS_OF, Views, as_of, cents
@@ -107,13 +108,17 @@ def j11(v: Views) -> DataFrame:
     return R.stores_in_radius(regions(v), v.stores, "region_id").groupBy("region_id").agg(F.count("*").alias("stores"), F.round(F.min("km"), 6).alias("nearest_km"))
 
 
-@query("j12_same_store", f" SELECT a.store_id, min(s.store_id) AS known_id FROM stores a JOIN stores s ON a.retailer = s.retailer AND s.store_id <> a.store_id, LATERAL (SELECT a.lat AS lat, a.lon AS lon) p WHERE {KM} < 3.0 GROUP BY 1")
+_FOUND = ", found AS (SELECT store_id + 1000000 AS found_id, retailer, lat + (store_id % 5) * 0.0004::DOUBLE AS lat, lon FROM stores WHERE store_id % 2 = 0)"
+
+
+@query("j12_same_store", f"{_FOUND} SELECT p.found_id, min(s.store_id) AS known_id FROM found p JOIN stores s ON p.retailer = s.retailer WHERE {KM} < {K.SAME_STORE_KM} GROUP BY 1")
 def j12(v: Views) -> DataFrame:
-    s = v.stores.where("lat IS NOT NULL").select("store_id", "retailer", "lat", "lon")
-    a, b = s.alias("a"), s.alias("b")
-    km = geo.haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
-    same = (F.col("a.retailer") == F.col("b.retailer")) & (F.abs(F.col("a.lat") - F.col("b.lat")) < 0.03) & (F.col("a.store_id") != F.col("b.store_id"))
-    return a.join(b, same).where(km < 3.0).groupBy(F.col("a.store_id").alias("store_id")).agg(F.min("b.store_id").alias("known_id"))
+    """Stores that were found anew beside known ones of their chain: the known store that each is."""
+    s = v.stores.select("store_id", "retailer", "lat", "lon")
+    f = F.col("store_id")
+    found = s.where(f % 2 == 0).select((f + 1000000).alias("found_id"), "retailer", (F.col("lat") + f % 5 * 0.0004).alias("lat"), "lon")
+    near = R.within(found, s, K.SAME_STORE_KM, on=["retailer"], size=0.01).where(F.col("km") < K.SAME_STORE_KM)
+    return near.groupBy(F.col("l.found_id").alias("found_id")).agg(F.min("r.store_id").alias("known_id"))
 
 
 _ARCHIVED = " JOIN archives a ON a.store_id = o.store_id AND (a.valid_from IS NULL OR a.valid_from = o.valid_from) AND (a.valid_to IS NULL OR a.valid_to = o.valid_to)"

@@ -143,15 +143,36 @@ def o7(v: Views) -> DataFrame:
 
 
 def greedy_cover(mine: DataFrame, steps: int = MAX_STORES) -> DataFrame:
-    """(user_id, step, store_id, items, cost): the store that covers most of what is left, then the next, at most `steps`; of equals the cheaper, then the smaller id."""
-    left, found = mine, []
-    for i in range(1, steps + 1):
-        score = left.groupBy("user_id", "store_id").agg(F.count_distinct("product_id").alias("items"), half_up(F.sum(F.col("price") * F.col("quantity")), 2).alias("cost"))
-        chosen = R.top(score, ["user_id"], [F.desc("items"), "cost", "store_id"]).withColumn("step", F.lit(i))
-        found.append(chosen)
-        bought = left.join(chosen.select("user_id", "store_id"), ["user_id", "store_id"]).select("user_id", "product_id").distinct()
-        left = left.join(bought, ["user_id", "product_id"], "left_anti")
-    return reduce(DataFrame.unionByName, found)
+    """(user_id, step, store_id, items, cost): the store that covers most of what is left, then the next, at most `steps`; of equals the cheaper, then the smaller id.
+
+    Products that the same stores have are counted together first, so a user has at most one entry for each set of their selected stores, which are at most
+    FAVOURITES, however many items there are. The steps run over that array; the input is read once.
+    """
+    by_product = mine.groupBy("user_id", "product_id").agg(F.array_sort(F.collect_list(F.struct("store_id", (F.col("price") * F.col("quantity")).alias("cost")))).alias("at"))
+    together = by_product.select("user_id", F.transform("at", lambda x: x["store_id"]).alias("stores"), F.inline("at"))
+    entries = together.groupBy("user_id", "stores", "store_id").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
+    users = entries.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("stores", "store_id", "n", "cost"))).alias("left"))
+    chosen = "array<struct<items:bigint,cost:double,store_id:bigint>>"
+
+    def step(acc: Column, _: Column) -> Column:
+        def score(s: Column) -> Column:
+            own = F.filter(acc["left"], lambda x: x["store_id"] == s)
+            items = F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+            cost = half_up(F.aggregate(own, F.lit(0.0), lambda a, x: a + x["cost"]), 2)
+            return F.struct((-items).alias("items"), cost.alias("cost"), s.cast("long").alias("store_id"))
+
+        best = F.array_min(F.transform(F.array_distinct(F.transform(acc["left"], lambda x: x["store_id"])), score))
+
+        def taken(b: Column) -> Column:
+            left = F.filter(acc["left"], lambda x: ~F.array_contains(x["stores"], b["store_id"]))
+            return F.struct(left.alias("left"), F.when(b.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], b)).alias("out"))
+
+        return F.transform(F.array(best), taken)[0]
+
+    start = F.struct("left", F.array().cast(chosen).alias("out"))
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda acc: acc["out"])
+    found = users.select("user_id", F.posexplode(out).alias("step", "s"))
+    return found.select("user_id", (F.col("step") + 1).alias("step"), "s.store_id", (-F.col("s.items")).alias("items"), "s.cost")
 
 
 _STEP = """

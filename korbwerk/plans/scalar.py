@@ -14,10 +14,10 @@ DAY = f"DATE '{AS_OF}'"
 RE = lambda p: p.replace("(?i)", "").replace("'", "''")
 
 
-@query("fs1_fold", r" SELECT doc_id, translate(left(coalesce(text, ''), 300), 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY') AS folded FROM (SELECT doc_id, regexp_extract(coalesce(text, ''), '^[^\n]*') AS text FROM documents)")
+@query("fs1_fold", f" SELECT doc_id, sha256(translate(coalesce(text, ''), '{text.ACCENTS[0]}', '{text.ACCENTS[1]}')) AS folded FROM documents")
 def fs1(v: Views) -> DataFrame:
-    """The first line of each document (its title), without accents, at most 300 characters."""
-    return v.table("documents").select("doc_id", F.left(text.fold(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)), F.lit(300)).alias("folded"))
+    """The SHA-256 of each document's whole text without accents."""
+    return v.table("documents").select("doc_id", F.sha2(text.fold(F.coalesce("text", F.lit(""))), 256).alias("folded"))
 
 
 _NAME = "product_name || CASE product_id % 5 WHEN 0 THEN ' versch. Sorten' WHEN 1 THEN ' Herkunft: Spanien' WHEN 2 THEN ' Klasse II' WHEN 3 THEN ' Äpfel' ELSE ' 30 x 40 cm' END"
@@ -64,9 +64,9 @@ def fs16(v: Views) -> DataFrame:
     return v.products.select("product_id", text.category(F.concat_ws(" ", "product_name", word)).alias("category"))
 
 
-@query("fs17_u9_token_coverage", r", t AS (SELECT turn, conv_id, list_distinct([x for x in string_split(trim(regexp_replace(lower(regexp_extract(text, '^[^\n]*')), '[^a-z0-9äöüß]+', ' ', 'g')), ' ') if length(x) >= 3]) AS ts FROM conversations) SELECT a.conv_id, a.turn, CASE WHEN len(a.ts) = 0 THEN 0.0 ELSE round(len([x for x in a.ts if list_contains(b.ts, x)]) / len(a.ts), 6) END AS share FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+@query("fs17_u9_token_coverage", r", t AS (SELECT turn, conv_id, list_distinct([x for x in string_split(trim(regexp_replace(lower(text), '[^a-z0-9äöüß]+', ' ', 'g')), ' ') if length(x) >= 3]) AS ts FROM conversations) SELECT a.conv_id, a.turn, CASE WHEN len(a.ts) = 0 THEN 0.0 ELSE round(len([x for x in a.ts if list_contains(b.ts, x)]) / len(a.ts), 6) END AS share FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
 def fs17(v: Views) -> DataFrame:
-    t = v.table("conversations").select("conv_id", "turn", text.tokens(F.substring_index("text", "\n", 1)).alias("ts"))
+    t = v.table("conversations").select("conv_id", "turn", text.tokens(F.col("text")).alias("ts"))
     after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ts").alias("next"))
     return t.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.token_coverage(F.col("ts"), F.col("next")), 6).alias("share"))
 
@@ -134,16 +134,54 @@ def fn9(v: Views) -> DataFrame:
     return found.select("store_id", "product_id", "valid_from", "price", "pct", price.former_price(F.col("price"), F.col("pct")).alias("former"))
 
 
-_DED = lambda b, r: f"{_HALF.format(b, 100)} AS bundle_price, {_HALF.format(f'({r}) - ({b})', 100)} AS saving, {_HALF.format(f'(1 - ({b}) / ({r})) * 100', 10)} AS \"percent\""
+_EURO = "replace(printf('%.2f', {}), '.', ',') || ' €'"
+_UP2 = lambda x: f"({_HALF.format(x, 100)})"
 
 
-@query("fn21_promotions", rf""", k AS (SELECT *, replace(regexp_extract(text, 'ab 3 Stück (\d{{1,3}},\d{{2}})', 1), ',', '.') AS tier FROM texts), a AS (
- SELECT store_id, product_id, valid_from, price, 'tier' AS kind, 3 AS buy, {_DED("tier::DOUBLE * 3", "price * 3")} FROM k WHERE tier <> '' AND tier::DOUBLE * 3 < price * 3 UNION ALL
- SELECT store_id, product_id, valid_from, price, 'plus_free', 3, {_DED("price * 2", "price * 3")} FROM k WHERE text LIKE '%2 + 1 gratis%' UNION ALL
- SELECT store_id, product_id, valid_from, price, 'pay_fewer', 3, {_DED("price * 2", "price * 3")} FROM k WHERE text LIKE '%3 für 2%') SELECT * FROM a""", dates="valid_from")
+def _free(buy: int, pay: int, piece: str) -> str:
+    whole, bundle = _UP2(f"{piece} * {buy}"), _UP2(f"{piece} * {pay}")
+    return f"'free_item' AS kind, {buy} AS buy, {pay} AS pay, {bundle} AS bundle_price, {whole} AS regular_price, {_HALF.format(f'{bundle} / {buy}', 10000)} AS unit_price, {_UP2(f'{whole} - {bundle}')} AS saving, {_HALF.format(f'(1 - {bundle} / {whole}) * 100', 10)} AS \"percent\", '{buy} für {pay}' AS label, 0.99::DOUBLE AS confidence, NULL::DOUBLE AS special_price, NULL::INT AS minimum"
+
+
+def _lower(kind: str, to: str, label: str, sure: float, least: str = "NULL") -> str:
+    return f"'{kind}', NULL, NULL, price, NULL, NULL, {_UP2(f'price - {to}')}, NULL, {label} || {_EURO.format(to)}, {sure}, {to}, {least}"
+
+
+_PROMO = f"""k AS (SELECT store_id, product_id, valid_from, price, {_UP2("price * 0.9::DOUBLE")} AS nine, {_UP2("price % 90 + 5")} AS low FROM offers),
+ m AS (SELECT store_id, product_id, valid_from, price, {_free(3, 2, "price")} FROM k WHERE product_id % 9 = 0 AND {_UP2("price * 3")} > {_UP2("price * 2")} UNION ALL
+ SELECT store_id, product_id, valid_from, price, {_free(3, 2, "2.5::DOUBLE")} FROM k WHERE product_id % 9 = 1 UNION ALL
+ SELECT store_id, product_id, valid_from, price, {_free(4, 3, "price")} FROM k WHERE product_id % 9 = 2 UNION ALL
+ SELECT store_id, product_id, valid_from, price, {_lower("tier_price", "low", "'ab 3 Stück · '", 0.99, "3")} FROM k WHERE product_id % 9 = 3 AND low < price UNION ALL
+ SELECT store_id, product_id, valid_from, price, 'fixed_bundle', 2, NULL, low, {_UP2("price * 2")}, {_HALF.format("low / 2", 10000)}, CASE WHEN {_UP2("price * 2")} > low THEN {_UP2(f'{_UP2("price * 2")} - low')} END,
+  CASE WHEN {_UP2("price * 2")} > low THEN {_HALF.format(f'(1 - low / {_UP2("price * 2")}) * 100', 10)} END, '2 für ' || {_EURO.format("low")}, 0.98, NULL, NULL FROM k WHERE product_id % 9 = 4 UNION ALL
+ SELECT store_id, product_id, valid_from, price, {_lower("lidl_plus", "low", "'Lidl Plus · '", 1.0)} FROM k WHERE product_id % 9 = 5 AND low < price UNION ALL
+ SELECT store_id, product_id, valid_from, price, {_lower("member_price", "low", "'Karte · '", 1.0)} FROM k WHERE product_id % 9 = 6 AND low < price)"""
+
+
+def promoted(v: Views) -> DataFrame:
+    """Offers with a wording of each kind, the price taken as the regular one."""
+    de = lambda x: F.regexp_replace(F.format_string("%.2f", x), r"\.", ",")
+    some = de(price.half_up(F.col("price") % 90 + 5, 2))
+    special = lambda kind, label: F.concat(F.lit(f"im Markt SPECIAL_PRICE kind={kind} label={label} price="), some, F.lit(" nur heute"))
+    wordings = (
+        F.lit("3 für 2 im Markt"), F.lit("2 + 1 gratis, je Stück 2,50 €"), F.lit("4 zahlen nur 3"), F.concat(F.lit("ab 3 Stück je "), some, F.lit(" €")), F.concat(F.lit("2 Stück für "), some, F.lit(" €")),
+        special("lidl_plus", "Lidl Plus"), special("card", "Karte"), F.lit("nur online, je 500-g-Packung"), F.lit("30 für 2"),
+    )
+    return v.offers.select("store_id", "product_id", "valid_from", "price", F.element_at(F.array(*wordings), (F.col("product_id") % 9 + 1).cast("int")).alias("text"))
+
+
+@query("fn21_promotions", f", {_PROMO} SELECT * FROM m", dates="valid_from")
 def fn21(v: Views) -> DataFrame:
-    found = v.texts.withColumn("m", promo.multibuy(F.col("text"), F.col("price"))).where("m IS NOT NULL")
-    return found.select("store_id", "product_id", "valid_from", "price", "m.kind", "m.buy", "m.bundle_price", "m.saving", "m.percent")
+    found = promo.with_promotion(promoted(v), "text", "price", "price").where("promotion IS NOT NULL")
+    return found.select("store_id", "product_id", "valid_from", "price", "promotion.*")
+
+
+@query("f26_valid_promotions", f", {_PROMO} SELECT store_id, product_id, count(*) AS offers, count(*) FILTER (WHERE product_id % 9 < 3) AS pieces, count(*) FILTER (WHERE product_id % 9 IN (3, 5, 6)) AS lower_prices FROM m GROUP BY 1, 2")
+def f26(v: Views) -> DataFrame:
+    """Promotions that hold together, by kind: a null struct is one whose numbers don't."""
+    found = promo.with_promotion(promoted(v), "text", "price", "price").where(promo.sure(F.col("promotion")))
+    kind = F.col("promotion.kind")
+    return found.groupBy("store_id", "product_id").agg(F.count("*").alias("offers"), F.count_if(kind == "free_item").alias("pieces"), F.count_if(F.col("promotion.special_price").isNotNull()).alias("lower_prices"))
 
 
 @query("fd1_parse_dates", r" SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderkey % 4 <> 3 AS parsed FROM orders", dates="day")

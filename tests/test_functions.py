@@ -21,20 +21,25 @@ def test_former_price(spark):
 
 
 @pytest.mark.parametrize(
-    ("wording", "at", "want"),
+    ("wording", "at", "regular", "want"),
     [
-        ("3 für 2, je 0,49", 0.49, ("pay_fewer", 0.98, 1.47, 33.3)),
-        ("ab 3 Stück 1,66 €", 2.22, ("tier", 4.98, 6.66, 25.2)),
-        ("2 + 1 gratis", 3.0, ("plus_free", 6.0, 9.0, 33.3)),
-        ("3 für 4,99 €", 2.0, ("fixed_bundle", 4.99, 6.0, 16.8)),
-        ("2 + 1 gratis", None, None),
-        ("lecker", 1.0, None),
-        (None, 1.0, None),
+        ("3 für 2, je 0,49", 0.49, None, ("free_item", 0.98, 1.47, None, "3 für 2")),
+        ("ab 3 Stück 1,66 €", 2.22, None, ("tier_price", 2.22, None, 1.66, "ab 3 Stück · 1,66 €")),
+        ("ab 3 Stück 2,66 €", 2.22, None, None),
+        ("2 + 1 gratis", 3.0, 3.0, ("free_item", 6.0, 9.0, None, "3 für 2")),
+        ("2 + 1 gratis", 3.0, None, None),
+        ("3 für 4,99 €", 2.0, 2.0, ("fixed_bundle", 4.99, 6.0, None, "3 für 4,99 €")),
+        ("3 für 4,99 €", 2.0, None, ("fixed_bundle", 4.99, None, None, "3 für 4,99 €")),
+        ("x SPECIAL_PRICE kind=lidl_plus label=Lidl Plus price=1,50 y SPECIAL_PRICE kind=card label=Karte  neu price=1.20", 2.0, None, ("member_price", 2.0, None, 1.2, "Karte neu · 1,20 €")),
+        ("2 für 30", 2.0, 2.0, None),
+        ("lecker", 1.0, 1.0, None),
+        (None, 1.0, 1.0, None),
     ],
 )
-def test_promotions(spark, wording, at, want):
-    got = one(spark, promo.multibuy(L(wording).cast("string"), L(at).cast("double")))
-    assert (got and (got["kind"], got["bundle_price"], got["regular_price"], got["percent"])) == want
+def test_promotions(spark, wording, at, regular, want):
+    row = spark.range(1).select(L(wording).cast("string").alias("text"), L(at).cast("double").alias("price"), L(regular).cast("double").alias("regular"), L("x").alias("kind"))
+    for got in (one(spark, promo.multibuy(L(wording).cast("string"), L(at).cast("double"), L(regular).cast("double"))), promo.with_promotion(row, "text", "price", "regular").first().promotion):
+        assert (got and tuple(got[c] for c in ("kind", "bundle_price", "regular_price", "special_price", "label"))) == want
 
 
 def test_expected_price(spark):
