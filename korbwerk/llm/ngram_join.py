@@ -6,7 +6,7 @@
    the threshold (`banding`).
 3. Candidates are verified within their band bucket, on full shingle sets, before anything is grouped: every class
    is compared with the bucket's smallest one. Classes that reach the threshold leave the bucket; the rest goes on
-   with its own smallest class, for ROUNDS rounds. Jaccard distance is a metric, so a class that links with one that
+   with its own smallest class, for ROUNDS rounds (more are worth it where long boilerplate fills the buckets). Jaccard distance is a metric, so a class that links with one that
    left is itself within twice the distance of the class that both were compared with. Such pairs, of a similarity
    of at least 2 * threshold - 1, are therefore tied together, and no link is lost. Buckets that are not empty after
    all rounds are tied together whole.
@@ -41,7 +41,7 @@ THRESHOLD, RECALL, ROWS = 0.8, 0.999, 6
 #: A tile holds about so many classes and shingles.
 TILE_CLASSES, TILE_SHINGLES = 256, 1 << 20
 #: Rounds of comparisons within band buckets, and the parts into which those with one class are dealt.
-ROUNDS, PARTS = 4, 1024
+ROUNDS, PARTS = 1, 1024
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -186,34 +186,31 @@ def _compare(threshold: float):
     return compare
 
 
-def _ties(classes: DataFrame, sets: DataFrame, scratch: Scratch, threshold: float, rounds: int) -> DataFrame:
+def _asked(left: DataFrame, scratch: Scratch, i: int) -> DataFrame:
+    """Each class of a bucket (band, hash) of several, but its smallest one, with that one as its center."""
+    buckets = left.groupBy("band", "hash").agg(F.min(F.struct("fp", "n")).alias("c"), F.count("*").alias("size")).where("size > 1")
+    buckets = scratch.keep(buckets.select("band", "hash", F.col("c.fp").alias("center"), F.col("c.n").alias("center_n")), f"buckets{i}")
+    asked = left.join(buckets, ["band", "hash"]).where(F.col("fp") != F.col("center"))
+    return scratch.keep(asked.select("band", "hash", "fp", "n", "center", "center_n"), f"asked{i}")
+
+
+def _ties(asked: DataFrame, sets: DataFrame, scratch: Scratch, threshold: float, rounds: int) -> DataFrame:
     """Links (u, v) that join all classes which share a band and may reach the threshold; `sets` has the shingle set of each class in a bucket."""
-    left = scratch.keep(classes.select("fp", "n", F.posexplode("bands").alias("band", "hash")), "banded")
     ties = []
-    for i in range(rounds + 1):
-        buckets = left.groupBy("band", "hash").agg(F.min(F.struct("fp", "n")).alias("c"), F.count("*").alias("size")).where("size > 1")
-        buckets = scratch.keep(buckets.select("band", "hash", F.col("c.fp").alias("center"), F.col("c.n").alias("center_n")), f"buckets{i}")
-        asked = left.join(buckets, ["band", "hash"]).where(F.col("fp") != F.col("center"))
-        asked = scratch.keep(asked.select("band", "hash", "fp", "n", "center", "center_n"), f"asked{i}")
-        pairs = asked.select("fp", "n", "center", "center_n").distinct()
-        if i == rounds:
-            ties.append(pairs.select(F.col("fp").alias("u"), F.col("center").alias("v")))
-            break
-        if asked.isEmpty():
-            break
+    for i in range(rounds):
         # Sets whose sizes differ too much are not near; nothing is read for them.
         sized = F.least("n", "center_n") >= (2 * threshold - 1) * F.greatest("n", "center_n") - 1e-6
-        pairs = pairs.where(sized).select("fp", "center", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int").alias("part"))
-        pairs = scratch.keep(pairs, f"pairs{i}")
+        pairs = asked.where(sized).select("fp", "center", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int").alias("part")).distinct()
         keys = pairs.select(F.col("center").alias("fp"), "part").distinct()
         centers = keys.join(sets, "fp").select(F.col("fp").alias("center"), "part", F.lit(0).alias("role"), "fp", "shingles")
         others = pairs.join(sets, "fp").select("center", "part", F.lit(1).alias("role"), "fp", "shingles")
         rows = centers.unionByName(others).repartition("center", "part").sortWithinPartitions("center", "part", "role")
         checked = scratch.keep(rows.mapInArrow(_compare(threshold), CHECKED), f"checked{i}")
         ties.append(checked.where("near").select(F.col("fp").alias("u"), F.col("center").alias("v")))
-        gone = checked.where("linked").select("fp", "center")
-        left = scratch.keep(asked.join(gone, ["fp", "center"], "left_anti").select("fp", "n", "band", "hash"), f"left{i}")
-    return reduce(DataFrame.union, ties) if ties else classes.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
+        left = asked.join(checked.where("linked").select("fp", "center"), ["fp", "center"], "left_anti")
+        asked = _asked(scratch.keep(left.select("fp", "n", "band", "hash"), f"left{i}"), scratch, i + 1)
+    ties.append(asked.select(F.col("fp").alias("u"), F.col("center").alias("v")))
+    return reduce(DataFrame.union, ties)
 
 
 VERIFIED = "fp binary, links long, other binary"
@@ -276,14 +273,13 @@ def near_duplicates(
     classes = worded.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "text_hash")).alias("own"), F.count("*").alias("copies"), F.min("n").alias("n"), F.first("bands").alias("bands"))
     classes = scratch.keep(classes, "classes")
 
-    banded = classes.select("fp", "own", F.posexplode("bands").alias("band", "hash"))
-    shared = banded.groupBy("band", "hash").agg(F.count("*").alias("size"), F.min("fp").alias("least")).where("size > 1")
-    wanted = banded.join(scratch.keep(shared.select("band", "hash"), "shared"), ["band", "hash"], "left_semi").select("fp", "own").distinct()
-    wanted = scratch.keep(wanted.select("fp", F.col("own.doc_id").alias("id"), F.col("own.text_hash").alias("hash")), "wanted")
+    asked = _asked(classes.select("fp", "n", F.posexplode("bands").alias("band", "hash")), scratch, 0)
+    several = asked.select("fp").union(asked.select("center")).distinct()
+    wanted = scratch.keep(classes.join(several, "fp", "left_semi").select("fp", F.col("own.doc_id").alias("id"), F.col("own.text_hash").alias("hash")), "wanted")
     texts = docs.select("doc_id", "text").join(wanted.select("id", "hash"), docs["doc_id"].eqNullSafe(wanted["id"]) & (F.xxhash64(docs["text"]) == wanted["hash"]), "left_semi")
     sets = scratch.keep(shingle_sets(texts).dropDuplicates(["fp"]), "sets")
 
-    ties = _ties(classes.join(wanted.select("fp"), "fp", "left_semi"), sets, scratch, threshold, rounds)
+    ties = _ties(asked, sets, scratch, threshold, rounds)
     groups = scratch.keep(components(ties, scratch, "ties").withColumnRenamed("node", "fp").withColumnRenamed("component", "grp"), "groups")
     weighed = scratch.keep(groups.join(classes.select("fp", "copies", "n"), "fp"), "weighed")
     tiles = weighed.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / tile_classes), F.ceil(F.sum("n") / tile_shingles)).cast("int").alias("tiles"))
