@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from korbwerk.constants import VALIDITY
+
 RANGE = r"(\d{1,2})\.(\d{1,2})\.(\d{2,4})?\s*(?:bis|-|–)\s*(?:[A-Za-zÄÖÜäöü]+,?\s*)?(\d{1,2})\.(\d{1,2})\.?(\d{4})?"
 
 
@@ -48,6 +50,65 @@ def week_label(day: Column) -> Column:
     return F.format_string("KW %02d/%d", F.weekofyear(day), F.extract(F.lit("YEAROFWEEK"), day).cast("int"))
 
 
+def any_date(text: Column, ref: Column) -> Column:
+    """A full date, or a day and month in the year that is nearest to `ref`."""
+    short = r"^(\d{1,2})\.(\d{1,2})\.?$"
+    part = lambda g: F.regexp_extract(F.trim(text), short, g).try_cast("int")
+    return F.coalesce(parse_date(text), nearest_year(part(1), part(2), ref))
+
+
+def _next_year(start: Column, end: Column) -> Column:
+    """An end before its start is a year later."""
+    return F.when(end < start, F.add_months(end, 12)).otherwise(end)
+
+
+def calendar_week(week: Column, ref: Column) -> Column:
+    """The Monday of an ISO week in the year in which it is nearest to `ref`; null beyond 1 to 53 or where the year lacks it."""
+
+    def of(year: Column) -> Column:
+        first = F.trunc(F.try_make_timestamp_ntz(year, F.lit(1), F.lit(4), F.lit(0), F.lit(0), F.lit(0.0)).cast("date"), "WEEK")
+        day = F.date_add(first, (week - 1) * 7)
+        return F.when(week.between(1, 53) & (F.extract(F.lit("YEAROFWEEK"), day) == year), day)
+
+    days = [of(F.year(ref) + k) for k in (-1, 0, 1)]
+    return F.array_min(F.filter(F.array(*[F.struct(F.abs(F.datediff(d, ref)).alias("off"), d.alias("day")) for d in days]), lambda x: x["day"].isNotNull()))["day"]
+
+
+def inferred_validity(text: Column, ref: Column) -> Column:
+    """struct(from, to, source, confidence): what the first wording that fits says, in order of precedence; null if none does. Years that are left out are inferred."""
+    found = []
+    for source, confidence, pattern in VALIDITY:
+        p = "(?iU)" + pattern
+        read = lambda g, p=p: any_date(F.regexp_extract(text, p, g), ref)
+        if source == "calendar_week":
+            start = calendar_week(F.regexp_extract(text, p, 1).try_cast("int"), ref)
+            end = F.date_add(start, 5)
+        elif source == "this_week_until":
+            end = read(1)
+            start = monday(end)
+        elif source == "ab_montag":
+            start = read(1)
+            end = F.date_add(start, 5)
+        else:
+            start = read(1)
+            end = read(2) if source == "explicit_range" else _next_year(start, read(2))
+            if source == "this_week_range":
+                end = F.date_sub(end, F.when(F.weekday(end) == 6, 1).otherwise(0))
+        found.append(F.when(text.rlike(p) & start.isNotNull() & end.isNotNull(), F.struct(start.alias("from"), end.alias("to"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))))
+    return F.coalesce(*found)
+
+
+def period(kind: Column, ref: Column) -> Column:
+    """Monday to Sunday of the current or the next week."""
+    start = F.when(kind == "next", F.date_add(monday(ref), 7)).otherwise(monday(ref))
+    return F.struct(start.alias("from"), F.date_add(start, 6).alias("to"))
+
+
+def week_of_url(url: Column) -> Column:
+    """The week number in a leaflet's address."""
+    return F.nullif(F.regexp_extract(url, r"(?i)(?:kw|week|woche)[-_/]?(\d{1,2})(?!\d)", 1), F.lit("")).cast("int")
+
+
 def validity(text: Column, ref: Column) -> Column:
     """struct(from, to) of a range such as `10.8. bis 16.8.` in a text; years that are left out are inferred."""
     part = lambda g: F.regexp_extract(text, RANGE, g).try_cast("int")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from korbwerk.constants import CATEGORIES, ONLINE_ONLY, OTHER_CATEGORY, RETAILER_NAMES, SUSPICIOUS_NAMES
+from korbwerk.constants import CATEGORIES, MASTER_KEY_STEPS, ONLINE_ONLY, OTHER_CATEGORY, RETAILER_NAMES, SUSPICIOUS_NAMES
 
 ACCENTS = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
@@ -38,13 +38,9 @@ def amount_label(quantity: Column) -> Column:
 
 def master_key(name: Column, quantity: Column, unit: Column) -> Column:
     """The key under which offers of one product meet."""
-    steps = (
-        (r"\b(?:versch\.?|verschiedene)\s+sorten\b", " "),
-        (r"\b(?:ursprung|herkunft)\s*:\s*[^,;]+", " "),
-        (r"\b(?:kl\.?|klasse|handelsklasse)\s*[ivx]+\b", " "),
-        (r"[^a-z0-9äöüß+]+", " "),
-    )
-    key = squeeze(reduce(lambda t, s: F.regexp_replace(t, *s), steps, fold(F.lower(name))))
+    from korbwerk.functions.names import clean_name
+
+    key = squeeze(reduce(lambda t, s: F.regexp_replace(t, *s), MASTER_KEY_STEPS, fold(F.lower(clean_name(name)))))
     unit = F.replace(F.replace(F.lower(unit), F.lit("liter"), F.lit("l")), F.lit("stück"), F.lit("st"))
     return F.substring(F.when(quantity.isNotNull() & (unit != ""), F.concat(key, F.lit("|"), amount_label(quantity), unit)).otherwise(key), 1, 320)
 

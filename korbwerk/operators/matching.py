@@ -1,7 +1,7 @@
 """Matching labels to price tags on leaflet pages, and names to names.
 
-These have no relational form: pages are grouped and each is solved by itself. A page is a bounded group by nature
-(tens of labels); nothing larger ever meets in one task.
+These have no relational form: pages are grouped and each is solved by itself. A page holds tens of labels; one with
+more than MOST_BOXES boxes is an error, so nothing larger meets in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +12,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCEPT_COST, LINK_DISTANCE = 650.0, 185.0
+#: Boxes of a page at most; the costs of all its pairs are held at once.
+MOST_BOXES = 4000
+
+
+def _bounded(boxes: DataFrame) -> DataFrame:
+    """Fails on pages that have too many boxes; these are counted before they are grouped."""
+    sizes = boxes.groupBy("page_key").agg(F.count("*").alias("_n")).where(F.col("_n") > MOST_BOXES)
+    crowded = sizes.limit(1).collect()
+    if crowded:
+        raise ValueError(f"page {crowded[0].page_key} has more than {MOST_BOXES} boxes")
+    return boxes
 
 
 def cheapest_pairs(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -82,7 +93,7 @@ def assign_prices(boxes: DataFrame, accept: float = ACCEPT_COST) -> DataFrame:
         key = page["page_key"].iloc[0]
         return pd.DataFrame([(key, labels["box_id"].iloc[r], prices["box_id"].iloc[c], float(round(cost[r, c], 6))) for r, c in pairs], columns=["page_key", "label_id", "price_id", "cost"])
 
-    return boxes.groupBy("page_key").applyInPandas(solve, "page_key long, label_id long, price_id long, cost double")
+    return _bounded(boxes).groupBy("page_key").applyInPandas(solve, "page_key long, label_id long, price_id long, cost double")
 
 
 def match_anchors(boxes: DataFrame, reach: float = LINK_DISTANCE) -> DataFrame:
@@ -95,7 +106,7 @@ def match_anchors(boxes: DataFrame, reach: float = LINK_DISTANCE) -> DataFrame:
         key = page["page_key"].iloc[0]
         return pd.DataFrame([(key, labels["box_id"].iloc[r], prices["box_id"].iloc[c]) for r, c in pairs], columns=["page_key", "label_id", "price_id"])
 
-    return boxes.groupBy("page_key").applyInPandas(solve, "page_key long, label_id long, price_id long")
+    return _bounded(boxes).groupBy("page_key").applyInPandas(solve, "page_key long, label_id long, price_id long")
 
 
 def price_groups(boxes: DataFrame, apart: float = 24.0) -> DataFrame:
@@ -115,7 +126,7 @@ def price_groups(boxes: DataFrame, apart: float = 24.0) -> DataFrame:
             out.append((r.page_key, r.box_id, hit[4]))
         return pd.DataFrame(out, columns=["page_key", "box_id", "group_id"])
 
-    return boxes.groupBy("page_key").applyInPandas(solve, "page_key long, box_id long, group_id long")
+    return _bounded(boxes).groupBy("page_key").applyInPandas(solve, "page_key long, box_id long, group_id long")
 
 
 def gram_size(least: float, shortest: int) -> int:

@@ -47,13 +47,6 @@ def f11(v: Views) -> DataFrame:
     return v.texts.select(*OFFER, why.alias("rejection"))
 
 
-@query("f13_name_issue", r""" SELECT doc_id, CASE WHEN length(n) < 2 THEN 'short' WHEN NOT regexp_matches(n, '\pL') THEN 'no letters' WHEN regexp_matches(n, '^\d+([.,]\d+)?\s*%') THEN 'percent' WHEN regexp_matches(n, '\d+[.,]\d{2}\s*€') THEN 'price' WHEN length(n) > 140 THEN 'long' END AS issue FROM (SELECT doc_id, trim(regexp_extract(coalesce(text, ''), '^[^\n]*')) AS n FROM documents)""")
-def f13(v: Views) -> DataFrame:
-    n = F.trim(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1))
-    rules = ((F.length(n) < 2, "short"), (~n.rlike(r"\p{L}"), "no letters"), (n.rlike(r"^\d+([.,]\d+)?\s*%"), "percent"), (n.rlike(r"\d+[.,]\d{2}\s*€"), "price"), (F.length(n) > 140, "long"))
-    return v.table("documents").select("doc_id", F.coalesce(*[F.when(c, why) for c, why in rules]).alias("issue"))
-
-
 @query("f19_f20_store_and_dates", " SELECT o.store_id, count(*) AS n FROM offers o JOIN stores s USING (store_id) WHERE o.valid_to >= o.valid_from AND s.retailer = 'REWE' GROUP BY 1")
 def f19(v: Views) -> DataFrame:
     return v.offers.where("valid_to >= valid_from").join(v.stores.where("retailer = 'REWE'"), "store_id").groupBy("store_id").agg(F.count("*").alias("n"))

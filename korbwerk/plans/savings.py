@@ -130,7 +130,13 @@ def o1(v: Views) -> DataFrame:
     return savings_plan(v)
 
 
-@query("o7_route_legs", None)
+@query(
+    "o7_route_legs",
+    f""", near AS (SELECT f.user_id, f.store_id, s.lat, s.lon, u.lat AS hlat, u.lon AS hlon, {_H("u", "s")} AS km FROM favourites f JOIN users u USING (user_id) JOIN stores s USING (store_id) WHERE s.active AND s.verified AND s.lat IS NOT NULL AND NOT coalesce({_H("u", "s")} > u.radius_km, false)),
+ r AS (SELECT *, row_number() OVER w AS leg, coalesce(lag(lat) OVER w, hlat) AS plat, coalesce(lag(lon) OVER w, hlon) AS plon FROM near WINDOW w AS (PARTITION BY user_id ORDER BY km, store_id)),
+ g AS (SELECT user_id, leg, store_id, floor({_H("(SELECT plat AS lat, plon AS lon)", "x").replace("(SELECT plat AS lat, plon AS lon).lat", "plat").replace("(SELECT plat AS lat, plon AS lon).lon", "plon").replace("x.lat", "lat").replace("x.lon", "lon")} * 10 + 0.5) / 10.0::DOUBLE AS leg_km FROM r WHERE leg <= 3)
+ SELECT user_id, leg, store_id, leg_km, floor(sum(leg_km) OVER (PARTITION BY user_id ORDER BY leg) * 10 + 0.5) / 10.0::DOUBLE AS so_far FROM g""",
+)
 def o7(v: Views) -> DataFrame:
     """The legs of each user's trip to the three nearest selected stores, rounded to 0.1 km, with the total of the rounded legs."""
     near = R.selected_stores(v.users, v.favourites, v.stores).join(v.stores.where("lat IS NOT NULL").select("store_id", "lat", "lon"), "store_id").join(v.users.select("user_id", F.col("lat").alias("hlat"), F.col("lon").alias("hlon")), "user_id")
