@@ -34,21 +34,49 @@ RETAILER_NAMES = {
 
 # Words that place a product in a category, in order of precedence.
 CATEGORIES = {
-    "backwaren": "brot brötchen croissant baguette toast kuchen torte muffin donut backware brezel stuten".split(),
-    "molkerei-kuehlung": "milch joghurt jogurt almighurt froop ehrmann müller quark käse mozzarella feta butter margarine sahne schmand kefir pudding milchreis frischkäse skyr dessert eier".split() + ["ei "],
-    "suesswaren-snacks": "schokolade schoko keks kekse waffel bonbon gummi chips cracker nüsse nuss snack riegel praline lakritz popcorn".split(),
-    "obst-gemuese": "apfel äpfel banane birne erdbe himbeer heidelbeer traube orange mandarine zitrone limette mango ananas kiwi melone pfirsich nektarine kirsche pflaume tomate gurke paprika kartoffel zwiebel knoblauch salat möhre karotte brokkoli blumenkohl zucchini aubergine champignon gemüse obst avocado".split(),
-    "fleisch-fisch": "fleisch rind schwein hähnchen huhn pute hack steak schnitzel braten wurst salami schinken speck würstchen bratwurst fisch lachs thunfisch garnelen forelle kabeljau seelachs".split(),
-    "getraenke": "wasser cola limonade limo saft nektar smoothie bier pils radler wein sekt prosecco vodka wodka whisky likör kaffee espresso cappuccino getränk energy eistee".split() + ["gin ", "rum ", "tee "],
-    "tiefkuehl": ["tiefkühl", "tk ", "pizza", "pommes", "eiscreme", "speiseeis", "eis ", "fischstäbchen"],
-    "vorrat-grundnahrung": "nudel pasta reis mehl zucker salz öl essig konserve dose müsli hafer cerealien cornflakes soße sauce ketchup senf mayonnaise mayo gewürz suppe brühe aufstrich marmelade honig".split(),
-    "haushalt-drogerie": "waschmittel spülmittel reiniger toilettenpapier küchenrolle zahnpasta zahnbürste shampoo duschgel deo seife creme windel taschentücher müllbeutel haushalt".split(),
-    "tiernahrung": "katzen hunde tierfutter tier-nahrung hundefutter katzenfutter leckerl napf".split(),
-}
+    "backwaren": ("brot", "brötchen", "croissant", "baguette", "toast", "kuchen", "torte", "muffin", "donut", "backware", "brezel", "stuten"),
+    "molkerei-kuehlung": (
+        "milch", "joghurt", "jogurt", "almighurt", "froop", "ehrmann", "müller", "quark", "käse", "mozzarella", "feta", "butter", "margarine", "sahne", "schmand", "kefir", "pudding", "milchreis", "frischkäse", "skyr", "dessert",
+        "eier", "ei ",
+    ),
+    "suesswaren-snacks": ("schokolade", "schoko", "keks", "kekse", "waffel", "bonbon", "gummi", "chips", "cracker", "nüsse", "nuss", "snack", "riegel", "praline", "lakritz", "popcorn"),
+    "obst-gemuese": (
+        "apfel", "äpfel", "banane", "birne", "erdbe", "himbeer", "heidelbeer", "traube", "orange", "mandarine", "zitrone", "limette", "mango", "ananas", "kiwi", "melone", "pfirsich", "nektarine", "kirsche", "pflaume", "tomate",
+        "gurke", "paprika", "kartoffel", "zwiebel", "knoblauch", "salat", "möhre", "karotte", "brokkoli", "blumenkohl", "zucchini", "aubergine", "champignon", "gemüse", "obst", "avocado",
+    ),
+    "fleisch-fisch": (
+        "fleisch", "rind", "schwein", "hähnchen", "huhn", "pute", "hack", "steak", "schnitzel", "braten", "wurst", "salami", "schinken", "speck", "würstchen", "bratwurst", "fisch", "lachs", "thunfisch", "garnelen", "forelle",
+        "kabeljau", "seelachs",
+    ),
+    "getraenke": (
+        "wasser", "cola", "limonade", "limo", "saft", "nektar", "smoothie", "bier", "pils", "radler", "wein", "sekt", "prosecco", "vodka", "wodka", "whisky", "gin ", "rum ", "likör", "kaffee", "espresso", "cappuccino", "tee ",
+        "getränk", "energy", "eistee",
+    ),
+    "tiefkuehl": ("tiefkühl", "tk ", "pizza", "pommes", "eiscreme", "speiseeis", "eis ", "fischstäbchen"),
+    "vorrat-grundnahrung": (
+        "nudel", "pasta", "reis", "mehl", "zucker", "salz", "öl", "essig", "konserve", "dose", "müsli", "hafer", "cerealien", "cornflakes", "soße", "sauce", "ketchup", "senf", "mayonnaise", "mayo", "gewürz", "suppe", "brühe",
+        "aufstrich", "marmelade", "honig",
+    ),
+    "haushalt-drogerie": (
+        "waschmittel", "spülmittel", "reiniger", "toilettenpapier", "küchenrolle", "zahnpasta", "zahnbürste", "shampoo", "duschgel", "deo", "seife", "creme", "windel", "taschentücher", "müllbeutel", "haushalt",
+    ),
+    "tiernahrung": ("katzen", "hunde", "tierfutter", "tier-nahrung", "hundefutter", "katzenfutter", "leckerl", "napf"),
+}
 OTHER_CATEGORY = "sonstiges"
 
 # Wording of offers that are not sold in the store.
-ONLINE_ONLY = (r"nur\s+online", r"online\s*only", r"ausschlie(?:ß|ss)lich\s+online", r"nur\s+im\s+online-?shop", r"nur\s+per\s+versand", "versandangebot", r"onlinebestellung\s+erforderlich", r"webshop\s*only")
+ONLINE_ONLY = (
+    r"nur\s+online",
+    r"online\s*only",
+    r"ausschlie(?:ß|ss)lich\s+online",
+    r"nur\s+im\s+onlineshop",
+    r"nur\s+im\s+online-shop",
+    r"nur\s+per\s+versand",
+    r"versandangebot",
+    r"onlinebestellung\s+erforderlich",
+    r"nur\s+online\s+bestellbar",
+    r"webshop\s*only",
+)
 
 # Words that never stand for a brand.
 GENERIC_BRANDS = "bio deutsche deutscher frische frischer frisches helle heller helles rote roter rotes feine frische-sieger aktion premium classic natur".split()
@@ -57,7 +85,16 @@ GENERIC_BRANDS = "bio deutsche deutscher frische frischer frisches helle heller
 MEDIA_PRIORITY = {"prospect_crop": 100, "pdf_embedded": 150, "retailer_cdn": 200, "official_product": 300, "admin_curated": 400}
 
 # Names that no product has.
-SUSPICIOUS_NAMES = (r"\bkassenbon\b", r"\bqr[- ]?code\b", r"\bgewinnspiel\b", r"\bartikel\s+preis\b", r"\b[2-5]er[- ]?set\b", r"^\d+(?:[.,]\d+)?\s*%", r"\bhochladen\b", r"\bscannen\b")
+SUSPICIOUS_NAMES = (
+    r"\bkassenbon\b",
+    r"\bqr[- ]?code\b",
+    r"\bgewinnspiel\b",
+    r"\bartikel\s+preis\b",
+    r"\b(?:2er|3er|4er|5er)[- ]?set\b",
+    r"^\d+(?:[.,]\d+)?\s*%\b",
+    r"\bhochladen\b",
+    r"\bscannen\b",
+)
 
 # Wording of promotions (searched without regard to case).
 PROMOTION_PATTERNS = {
@@ -69,6 +106,10 @@ PROMOTION_PATTERNS = {
     "piece": r"(?:\bje(?:\s+(?:stück|stk\.?|packung|croissant|brötchen|artikel))?\s*|\beinzelpreis\s*)(?:€\s*)?(\d{1,3}[,.]\d{2})\s*€?",
     "special": r"SPECIAL_PRICE\s+kind=([a-z0-9_+-]+)\s+label=(.+?)\s+price=(\d{1,3}[.,]\d{2})(?:\s|$)",
 }
+MULTIBUY_SIGNAL = (
+    r"(?:\b\d{1,2}\s*\+\s*\d{1,2}\s*(?:gratis|kostenlos)\b|\b\d{1,2}\s*(?:für|zum\s+preis\s+von|zahlen\s+nur)\s*\d{1,2}(?![.,]\d)\b|"
+    r"\b\d{1,2}\s*(?:stück\s*)?(?:für|nur)\s*€?\s*\d{1,3}[,.]\d{2}\b|\b(?:ab|ar)\s*\d{1,2}\s*(?:stück|stk\.?)\b)"
+)
 PROMOTION_CONFIDENCE = {"member_price": 1.0, "lidl_plus": 1.0, "tier_price": 0.99, "free_item": 0.99, "fixed_bundle": 0.98}
 MOST_PIECES, MOST_PIECE_PRICE, LEAST_PROMOTION_CONFIDENCE = 24, 500.0, 0.98
 

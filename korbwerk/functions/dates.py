@@ -76,26 +76,25 @@ def calendar_week(week: Column, ref: Column) -> Column:
 
 def inferred_validity(text: Column, ref: Column) -> Column:
     """struct(from, to, source, confidence): what the first wording that fits says, in order of precedence; null if none does. Years that are left out are inferred."""
-    found = []
-    for source, confidence, pattern in VALIDITY:
-        p = "(?iU)" + pattern
-        read = lambda g, p=p: any_date(F.regexp_extract(text, p, g), ref)
-        if source == "calendar_week":
-            start = calendar_week(F.regexp_extract(text, p, 1).try_cast("int"), ref)
-            end = F.date_add(start, 5)
-        elif source == "this_week_until":
-            end = read(1)
-            start = monday(end)
-        elif source == "ab_montag":
-            start = read(1)
-            end = F.date_add(start, 5)
-        else:
-            start = read(1)
-            end = read(2) if source == "explicit_range" else _next_year(start, read(2))
-            if source == "this_week_range":
-                end = F.date_sub(end, F.when(F.weekday(end) == 6, 1).otherwise(0))
-        found.append(F.when(text.rlike(p) & start.isNotNull() & end.isNotNull(), F.struct(start.alias("from"), end.alias("to"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))))
-    return F.coalesce(*found)
+    part = lambda p, g: F.regexp_extract(text, "(?iU)" + p, g) if p.count("(\\d") >= g else F.lit("")
+    wordings = F.array(*[F.struct(F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), part(p, 1).alias("a"), part(p, 2).alias("b")) for source, confidence, p in VALIDITY])
+
+    def dated(w: Column) -> Column:
+        known = F.array(F.struct(any_date(w["a"], ref).alias("a"), any_date(w["b"], ref).alias("b"), calendar_week(w["a"].try_cast("int"), ref).alias("week")))
+
+        def ends(d: Column) -> Column:
+            is_ = lambda source: w["source"] == source
+            start = F.when(is_("calendar_week"), d["week"]).when(is_("this_week_until"), monday(d["a"])).otherwise(d["a"])
+            later = _next_year(d["a"], d["b"])
+            end = F.when(is_("calendar_week") | is_("ab_montag"), F.date_add(start, 5)).when(is_("this_week_until"), d["a"]).when(is_("explicit_range"), d["b"])
+            end = end.when(is_("this_week_range"), F.date_sub(later, F.when(F.weekday(later) == 6, 1).otherwise(0))).otherwise(later)
+            return F.struct(start.alias("from"), end.alias("to"), w["source"].alias("source"), w["confidence"].alias("confidence"))
+
+        return F.transform(known, ends)[0]
+
+    # Dates are only read of wordings that are there.
+    found = F.transform(F.filter(wordings, lambda w: w["a"] != ""), dated)
+    return F.get(F.filter(found, lambda v: v["from"].isNotNull() & v["to"].isNotNull()), F.lit(0))
 
 
 def period(kind: Column, ref: Column) -> Column:

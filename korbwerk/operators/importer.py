@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korbwerk.functions import promo, text
+from korbwerk.functions import names, promo, text
 from korbwerk.operators.relational import top, upsert
 
 OFFER_KEY = ["store_id", "product_key", "valid_from", "price"]
@@ -17,6 +17,25 @@ def rejection(wording: Column, price: Column, valid_from: Column, earliest: Colu
     return F.when(online, "online").when((price <= 0) | (price > 5000), "quality").when(valid_from.isNull() | (valid_from < earliest), "date")
 
 
+def assessed(collected: DataFrame) -> DataFrame:
+    """Adds `why`: online, quality, store or date where a collected offer isn't taken, and the promotion read from its wording.
+
+    Rows have product_name, price, regular_price, quantity, unit, unit_price, confidence, source_text, source_url, local_store_offer, retailer, store_retailer,
+    valid_from and valid_to. Wording of several pieces that can't be read for certain counts against an offer's quality.
+    """
+    c = F.col
+    rows = promo.with_promotion(collected, "source_text", "price", "regular_price")
+    fit = names.offer_quality(c("product_name"), c("price"), c("quantity"), c("unit"), c("unit_price"), c("confidence"))["accepted"]
+    unclear = promo.signalled(c("source_text")) & ~F.coalesce(promo.sure(c("promotion")), F.lit(False))
+    why = (
+        F.when(~F.coalesce("local_store_offer", F.lit(True)) | text.online_only(c("source_text"), c("source_url")), "online")
+        .when(~F.coalesce(fit, F.lit(False)) | unclear, "quality")
+        .when(~F.coalesce(c("store_retailer") == c("retailer"), F.lit(False)), "store")
+        .when(~F.coalesce(c("valid_to") >= c("valid_from"), F.lit(False)), "date")
+    )
+    return rows.withColumn("why", why)
+
+
 def keyed(collected: DataFrame) -> DataFrame:
     """Adds product_key, promotion and a fingerprint of what was seen where."""
     key = text.master_key(F.col("product_name"), F.col("quantity"), F.col("unit"))

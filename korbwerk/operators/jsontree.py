@@ -130,11 +130,13 @@ def manifest_offers(found: DataFrame, key: str) -> DataFrame:
     no fit name is left out; of equal names, prices and pages the one with the smallest path counts.
     """
     spots = gathered(found, key)
-    goods = found.where(in_catalogue(F.col("path")) & container(F.col("path")).isNull()).select(key, F.explode(identifiers()).alias("id"), F.struct(field(K.JSON_NAMES).alias("name"), P.network_price(field(K.JSON_PRICES)).alias("price")).alias("g"))
+    goods = found.where(in_catalogue(F.col("path")) & container(F.col("path")).isNull()).select(key, identifiers().alias("ids"), field(K.JSON_NAMES).alias("name"), P.network_price(field(K.JSON_PRICES)).alias("price"))
+    goods = goods.select(key, F.explode("ids").alias("id"), F.struct("name", "price").alias("g"))
     hits = spots.select(key, "container", F.explode("ids").alias("id")).join(goods, [key, "id"]).groupBy(key, "container").agg(F.collect_set("g").alias("gs"), F.min("id").alias("product_id"))
     unique = hits.where(F.size("gs") == 1).select(key, "container", "product_id", F.col("gs")[0].alias("g"))
+    unique = unique.select(key, "container", "product_id", F.col("g.name").alias("g_name"), F.col("g.price").alias("g_price"))
     rows = spots.join(unique, [key, "container"], "left").join(page_numbers(found, key), [key, "page_path"]).where("NOT online")
-    name = names.clean_name(F.coalesce("name", "g.name"))
-    rows = rows.select(key, "page", "container", "product_id", name.alias("name"), F.coalesce("price", "g.price").alias("price"), "regular_price").where("price IS NOT NULL").where(names.name_issue(F.col("name")).isNull())
+    name = names.clean_name(F.coalesce("name", "g_name"))
+    rows = rows.select(key, "page", "container", "product_id", name.alias("name"), F.coalesce("price", "g_price").alias("price"), "regular_price").where("price IS NOT NULL").where(names.name_issue(F.col("name")).isNull())
     first = rows.groupBy(key, "page", "name", "price").agg(F.min_by(F.struct("product_id", "regular_price"), "container").alias("f"))
     return first.select(key, "page", "f.product_id", "name", "price", "f.regular_price")

@@ -90,8 +90,8 @@ def _offers(found: DataFrame, key: str) -> DataFrame:
 
 def _dated(found: DataFrame, docs: DataFrame, key: str, text: str, ref: Column) -> DataFrame:
     """With the validity that the whole text states."""
-    stated = docs.select(key, dates.inferred_validity(F.col(text), ref).alias("_v"))
-    return found.join(stated, key).withColumns({"valid_from": F.col("_v.from"), "valid_to": F.col("_v.to")}).drop("_v")
+    stated = docs.select(key, F.inline_outer(F.array(dates.inferred_validity(F.col(text), ref))).alias("valid_from", "valid_to", "_source", "_sure"))
+    return found.drop("valid_from", "valid_to").join(stated.drop("_source", "_sure"), key)
 
 
 def _measured(found: DataFrame, block: Column, sized: Column | None = None) -> DataFrame:

@@ -40,13 +40,6 @@ def s18(v: Views) -> DataFrame:
     return v.table("documents").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
-@query("f11_admission", r""" SELECT store_id, product_id, valid_from, price, CASE WHEN regexp_matches(lower(text), 'nur\s+online') THEN 'online' WHEN price > 5000 THEN 'quality' WHEN regexp_matches(text, '\+ \d+ gratis') AND price > 4000 THEN 'quality' END AS rejection FROM texts""", dates="valid_from")
-def f11(v: Views) -> DataFrame:
-    complex_ = F.col("text").rlike(r"\+ \d+ gratis") & (F.col("price") > 4000)
-    why = F.when(text.online_only(F.col("text"), F.lit(None)), "online").when((F.col("price") > 5000) | complex_, "quality")
-    return v.texts.select(*OFFER, why.alias("rejection"))
-
-
 @query("f19_f20_store_and_dates", " SELECT o.store_id, count(*) AS n FROM offers o JOIN stores s USING (store_id) WHERE o.valid_to >= o.valid_from AND s.retailer = 'REWE' GROUP BY 1")
 def f19(v: Views) -> DataFrame:
     return v.offers.where("valid_to >= valid_from").join(v.stores.where("retailer = 'REWE'"), "store_id").groupBy("store_id").agg(F.count("*").alias("n"))

@@ -184,6 +184,27 @@ def f26(v: Views) -> DataFrame:
     return found.groupBy("store_id", "product_id").agg(F.count("*").alias("offers"), F.count_if(kind == "free_item").alias("pieces"), F.count_if(F.col("promotion.special_price").isNotNull()).alias("lower_prices"))
 
 
+@query(
+    "f11_admission",
+    f""", k AS (SELECT *, {_UP2("price % 90 + 5")} AS low FROM offers)
+ SELECT store_id, product_id, valid_from, price, CASE WHEN product_id % 9 = 7 THEN 'online' WHEN price > 5000 OR product_id % 9 = 8 OR (product_id % 9 = 3 AND low >= price) THEN 'quality' WHEN product_id % 13 = 0 THEN 'store' WHEN product_id % 17 = 0 THEN 'date' END AS why FROM k""",
+    dates="valid_from",
+)
+def f11(v: Views) -> DataFrame:
+    """Why offers are not taken: sold online, their name, price or unclear wording, a store of another chain, or dates in the wrong order."""
+    from korbwerk.operators.importer import assessed
+
+    p, none = F.col("product_id"), F.lit(None)
+    rows = promoted(v).join(v.products.select("product_id", "product_name", "grams"), "product_id").withColumnRenamed("text", "source_text")
+    rows = rows.withColumns(
+        {
+            "regular_price": F.col("price"), "quantity": F.col("grams") * 10.0, "unit": F.lit("g"), "unit_price": none.cast("double"), "confidence": F.lit(0.95), "source_url": none.cast("string"), "local_store_offer": none.cast("boolean"),
+            "retailer": F.lit("REWE"), "store_retailer": F.when(p % 13 != 0, "REWE"), "valid_to": F.date_add("valid_from", F.when(p % 17 == 0, -1).otherwise(5)),
+        }
+    )
+    return assessed(rows).select("store_id", "product_id", "valid_from", "price", "why")
+
+
 @query("fd1_parse_dates", r" SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderkey % 4 <> 3 AS parsed FROM orders", dates="day")
 def fd1(v: Views) -> DataFrame:
     """Each order's date written in one of three formats and read back; a fourth, wrong one gives null."""

@@ -109,7 +109,7 @@ known(
         ("gültig von Montag, 15.06.1998 - Samstag, 20.06.1998", None), ("gültig vom 15.06.2015 bis zum 20.06.2015", "2015-06-15..2015-06-20 explicit_range"), ("{} 15.06.2015 - 21.06.2015", "2015-06-15..2015-06-21 explicit_range"),
         ("ab Montag, 15.06.2015", "2015-06-15..2015-06-20 ab_montag"), ("{} vom 15.6. bis 20.6. im Markt", "1998-06-15..1998-06-20 short_bis_range"), ("{} 28.12. - 2.1.", "1997-12-28..1998-01-02 short_range"), ("Angebote KW 25", "1998-06-15..1998-06-20 calendar_week"), ("{}", None),
     ],
-    lambda w: F.concat(dates.inferred_validity(w, as_of())["from"].cast("string"), F.lit(".."), dates.inferred_validity(w, as_of())["to"].cast("string"), F.lit(" "), dates.inferred_validity(w, as_of())["source"]),
+    lambda w: F.transform(F.array(dates.inferred_validity(w, as_of())), lambda v: F.concat(v["from"].cast("string"), F.lit(".."), v["to"].cast("string"), F.lit(" "), v["source"]))[0],
 )
 
 
@@ -121,3 +121,12 @@ def fd10(v: Views) -> DataFrame:
 
 
 known("fd8_week_of_url", [("https://x.de/prospekt-kw33/{}", "33"), ("https://x.de/week/7", "7"), ("https://x.de/kw-333", None), ("{}", None)], dates.week_of_url, "INT", "week")
+
+
+known(
+    "f12_offer_acceptance",
+    [
+        ("Bio {}", "true 1.0"), ("Tiefgefroren", "false 0.0"), ("45 % Fett i. Tr.", "false 0.0"), ("Eis", "true 0.94"), ("Ast", "false 0.0"), ("XXL", "true 0.94"), ("mit {}", "false 0.0"), ("Natur mild", "false 0.0"),
+    ],
+    lambda w: F.transform(F.array(names.offer_quality(w, F.lit(1.99), F.lit(500.0), F.lit("g"), F.lit(None).cast("double"), F.lit(0.95))), lambda q: F.concat_ws(" ", q["accepted"].cast("string"), q["score"].cast("string")))[0],
+)
