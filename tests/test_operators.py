@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from korbwerk.operators import extract, importer, matching, relational
+from korbwerk.operators import extract, importer, matching, parsers, relational
 from korbwerk.plans import quality, savings
 from korbwerk.sources import tables
 from korbwerk.streaming import ingest
@@ -97,9 +97,42 @@ def test_card_offers_and_sections(spark):
     assert [r.section for r in extract.week_sections(weeks).orderBy("pos").collect()] == [None, "10.8.", "10.8.", "17.8.", "17.8."]
 
 
+def test_parsers(spark):
+    """Cards of each layout, odd pages, and repeated ones."""
+    pages = {
+        "REWE": "Angebote im Markt\nBio Gurken\nje 500 g (1 kg = 3,98)\nAktion\nKnaller\n1,99 €\nAktion\nohne Packung",
+        "EDEKA": "Angebot: Edler Käse Festpreis von 2,49 € Angebot Butter mild App-Preis von 1,19 € Festpreis von 1,49 € je 250 g",
+        "Netto Marken-Discount": "vorher Milch 1 l 0,99\nFilial-Angebote\nKaffee gemahlen 500 g\nstatt 7,99 5,49\nCoupon 4,99\nFiliale\nKekse 200 g\n1,29\nAktuelle Prospekte\nSaft 1 l\n2,00",
+        "ALDI SÜD": "Wochenangebote Mo., 17.8. – Sa., 22.8.\nfrische Brezel\n4 Stück\nstatt 1,99 1,49 €\nAlle Wochenangebote",
+        "Lidl": "Ananas süß\nje 1 kg\nnur in der Filiale 1,79 €",
+    }
+    ref, out = F.lit(dt.date(2026, 8, 16)), {}
+    for layout, text in pages.items():
+        rows = [(1, text, "x"), (1, text, "x"), (2, None, "x"), (3, "", "x"), (4, "lorem\n" * 3000, "x"), (5, "1,99 €\n500 g\nAktion\nFiliale", "x")]
+        docs = spark.createDataFrame(rows, "id long, text string, name string").select("id", "text")
+        got = parsers.PARSERS[layout](docs.where("id > 1").unionByName(docs.where("id = 1").limit(1)), "id", "text", ref).where("id = 1").collect()
+        out[layout] = sorted((r.name, r.price, r.regular_price, r.app_price, r.quantity, r.unit) for r in got)
+        assert parsers.PARSERS[layout](docs.limit(0), "id", "text", ref).count() == 0
+    assert out == {
+        "REWE": [("Bio Gurken", 1.99, None, None, 500.0, "g")],
+        "EDEKA": [("Butter mild", 1.49, None, 1.19, 250.0, "g"), ("Edler Käse", 2.49, None, None, 250.0, "g")],
+        "Netto Marken-Discount": [("Kaffee gemahlen 500 g", 5.49, 7.99, 4.99, 500.0, "g"), ("Kekse 200 g", 1.29, None, None, 200.0, "g")],
+        "ALDI SÜD": [("frische Brezel", 1.49, 1.99, None, 4.0, "stück")],
+        "Lidl": [("Ananas süß", 1.79, None, None, 1.0, "kg")],
+    }
+
+
+def test_crowded_pages_are_errors(spark):
+    boxes = spark.range(matching.MOST_BOXES + 1).select(F.lit(1).cast("long").alias("page_key"), F.lit("label").alias("kind"), F.col("id").alias("box_id"), *[F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    with pytest.raises(ValueError, match="more than"):
+        matching.assign_prices(boxes)
+
+
 def test_json_nodes(spark):
     df = spark.createDataFrame([(1, '{"a":{"b":[1,{"price":"2"}]},"value":3}'), (2, "no json"), (3, None)], "id long, doc string")
     nodes = extract.json_nodes(df, "id", "doc")
+    deep = spark.createDataFrame([(1, "[" * 40 + "7" + "]" * 40)], "id long, doc string")
+    assert extract.json_nodes(deep, "id", "doc").count() == 41
     assert {r.path for r in nodes.collect()} == {"$", "$.a", "$.a.b", "$.a.b[0]", "$.a.b[1]", "$.a.b[1].price", "$.value"}
     assert [tuple(r) for r in extract.first_of(nodes, "id", ["price", "value"]).collect()] == [(1, "2")]
 
