@@ -125,10 +125,11 @@ def edeka(docs: DataFrame, key: str, text: str, ref: Column) -> DataFrame:
     found = found.select(key, *[c for c in OFFER if c in found.columns])
 
     rest = docs.join(found.select(key).distinct(), key, "left_anti").select(key, names.squeeze(F.col(text)).alias("flat"))
-    card = CASELESS + r"Angebot\s*:?\s*([A-ZÄÖÜ0-9][^€]{2,100}?)\s+(?:App[-\s]*Preis.*?(\d+[.,]\d+)\s*€.*?)?Festpreis\s+von\s+(\d+[.,]\d+)\s*€.{0,350}"
-    flat = rest.select(key, F.posexplode(F.regexp_extract_all("flat", F.lit(card), F.lit(0))).alias("pos", "card"))
+    card = CASELESS + r"Angebot\s*:?\s*([A-ZÄÖÜ0-9][^€]{2,100}?)\s+(?:App[-\s]*Preis.*?(\d+[.,]\d+)\s*€.*?)?Festpreis\s+von\s+(\d+[.,]\d+)\s*€(?=(.{0,350}))"
+    hits = [F.regexp_extract_all("flat", F.lit(card), F.lit(g)).alias(n) for g, n in ((0, "card"), (4, "rest"))]
+    flat = rest.select(key, F.posexplode(F.arrays_zip(*hits)).alias("pos", "c")).select(key, "pos", "c.card", "c.rest")
     flat = flat.withColumns({"name": names.clean_name(names.trimmed(F.regexp_extract("card", card, 1), " -–:")), "app_price": _number(F.nullif(F.regexp_extract("card", card, 2), F.lit(""))), "price": _number(F.regexp_extract("card", card, 3)), "confidence": F.lit(CONFIDENCE["edeka_flat"])})
-    flat = _measured(flat.where(names.name_issue(F.col("name")).isNull()), F.col("card"))
+    flat = _measured(flat.where(names.name_issue(F.col("name")).isNull()), F.concat("card", "rest"))
     return _offers(_dated(found.unionByName(flat.select(*found.columns)), docs, key, text, ref), key)
 
 
@@ -175,11 +176,11 @@ def aldi(docs: DataFrame, key: str, text: str, ref: Column) -> DataFrame:
     rows = rows.withColumns({"near": page.around(-4, 8, "line", "part"), "next": page.around(1, 8, "line", "week")})
     found = rows.where("sized")
     stop = F.get(F.transform(F.filter("next", lambda x: _any_start(F.lower(x["line"]), WEEK_STOPS) | (x["week"].isNotNull() & (x["pos"] > F.col("pos") + 1))), lambda x: x["pos"]), F.lit(0))
-    bare = _has(line, r"^.*\b\d+(?:[.,]\d+)?\s*(?:kg|g|l|ml)\b$") & (F.length(line) < 18)
     begin = F.greatest(F.coalesce(F.col("before") + 1, F.lit(0)), F.col("pos") - 4)
-    found = found.withColumns({"stop": F.coalesce(stop, F.col("pos") + 9), "begin": F.when(bare, begin).otherwise(F.col("pos"))})
-    parts = F.transform(F.filter("near", lambda x: (x["pos"] >= F.col("begin")) & (x["pos"] < F.col("pos")) & x["part"]), lambda x: x["line"])
-    name = F.when(bare, F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), " ")).otherwise(line)
+    above = F.filter("near", lambda x: (x["pos"] >= begin) & (x["pos"] < F.col("pos")) & x["part"])
+    found = found.withColumns({"stop": F.coalesce(stop, F.col("pos") + 9), "begin": begin, "parts": F.transform(above, lambda x: x["line"])})
+    # Without a line above that can be a name, the package's own line is one.
+    name = F.when(F.size("parts") > 0, F.array_join(F.slice("parts", F.greatest(F.size("parts") - 1, F.lit(1)), F.lit(2)), " ")).otherwise(line)
     found = _measured(found.withColumn("name", F.left(name, F.lit(180))), _joined(F.col("near"), lambda x: (x["pos"] >= F.col("begin")) & (x["pos"] < F.col("stop"))), line)
     vals = P.prices_without_units(F.col("source_text"))
     struck = _number(_group(F.col("source_text"), r"(?:statt|UVP|~+)\s*(\d{1,3}[.,]\d{2})", 1))

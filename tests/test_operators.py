@@ -101,7 +101,7 @@ def test_parsers(spark):
     """Cards of each layout, odd pages, and repeated ones."""
     pages = {
         "REWE": "Angebote im Markt\nBio Gurken\nje 500 g (1 kg = 3,98)\nAktion\nKnaller\n1,99 €\nAktion\nohne Packung",
-        "EDEKA": "Angebot: Edler Käse Festpreis von 2,49 € Angebot Butter mild App-Preis von 1,19 € Festpreis von 1,49 € je 250 g",
+        "EDEKA": "Start Angebot Edler Käse Festpreis von 2,49 € Angebot Butter mild App-Preis von 1,19 € Festpreis von 1,49 € je 250 g",
         "Netto Marken-Discount": "vorher Milch 1 l 0,99\nFilial-Angebote\nKaffee gemahlen 500 g\nstatt 7,99 5,49\nCoupon 4,99\nFiliale\nKekse 200 g\n1,29\nAktuelle Prospekte\nSaft 1 l\n2,00",
         "ALDI SÜD": "Wochenangebote Mo., 17.8. – Sa., 22.8.\nfrische Brezel\n4 Stück\nstatt 1,99 1,49 €\nAlle Wochenangebote",
         "Lidl": "Ananas süß\nje 1 kg\nnur in der Filiale 1,79 €",
