@@ -135,7 +135,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = C
     equal id, source and text draw alike: so many of them as the mix takes are taken, in order of their other columns.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    drawn = _drawn(_own_aside(docs).withColumn("_row", F.struct(*[docs[c] for c in docs.columns])), buckets, weight).select("_row", "doc_id", "source", "size", "key", "tie", "bucket")
+    drawn = _drawn(_own_aside(docs.withColumn("_row", F.struct(*[docs[c] for c in docs.columns]))), buckets, weight).select("_row", "doc_id", "source", "size", "key", "tie", "bucket")
     keyed = scratch.keep(drawn.drop("_row"), "keyed")
     plan = _plan(keyed, scratch, weights, share, cap)
     planned = lambda df: df.join(F.broadcast(plan), df["source"].eqNullSafe(plan["p_source"])).drop("p_source")
