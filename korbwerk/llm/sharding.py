@@ -2,8 +2,8 @@
 
 Records are ordered by a key (a hash of the text, so that equal texts stand together) and two tie-breaks. Size-weighted
 samples of the keys give quantile boundaries, these cut the order into ranges, and every range that is overfull, by
-bytes or by rows, is sampled and cut again. A boundary stands at the first record of a key, unless a range holds one key
-alone: such a range is cut within the key, so no group of equal texts stays in one task. Exact sums over the ranges
+bytes or by rows, is sampled and cut again. A boundary stands at the first record of a key, and a key in which more than one
+would fall gets a range of its own; only a range that holds one key alone is cut within the key, so no group of equal texts stays in one task. Exact sums over the ranges
 then tell which bytes of the order belong to which shard, and prefix sums within the ranges place each record.
 
 Only the sample is sampled (about PER_CUT rows for each boundary that is drawn); sizes, sums and places cover all rows.
@@ -35,7 +35,7 @@ RANGES, MOST_ROWS, FEW = 8, 1_000_000, 16
 #: At most FAN ranges come from one in a round; PER_CUT rows are sampled for each.
 FAN, PER_CUT, ROUNDS = 256, 32, 7
 OWN = ("size", "text_crc32", "shard", "slot")
-_FIRST = -(2**63)
+_FIRST, _LAST = -(2**63), 2**63 - 1
 
 
 def text_size(text: Column) -> Column:
@@ -71,8 +71,11 @@ def _cuts(rows: DataFrame, overfull: DataFrame, limit: float, most_rows: int, ro
     sample = sample.withColumn("upto", F.sum("weight").over(order)).withColumn("all", F.sum("weight").over(Window.partitionBy("r")))
     part = lambda x: F.floor(x * F.col("parts") / F.col("all"))
     cut = sample.where(part(F.col("upto") - F.col("weight")) != part(F.col("upto")))
-    first = lambda c: F.when(F.col("one_key"), F.col(c)).otherwise(_FIRST).alias(c)
-    return cut.select("r", F.struct("key", first("tie"), first("uid")).alias("cut")).groupBy("r").agg(F.slice(F.array_sort(F.collect_set("cut")), 1, FAN - 1).alias("cuts"))
+    edge = lambda at: F.struct("key", F.lit(at).alias("tie"), F.lit(at).alias("uid"))
+    keys = cut.where("NOT one_key").groupBy("r", "key").agg(F.count("*").alias("n"))
+    around = keys.select("r", F.explode(F.when(F.col("n") > 1, F.array(edge(_FIRST), edge(_LAST))).otherwise(F.array(edge(_FIRST)))).alias("cut"))
+    cuts = around.unionByName(cut.where("one_key").select("r", F.struct("key", "tie", "uid").alias("cut")))
+    return cuts.groupBy("r").agg(F.slice(F.array_sort(F.collect_set("cut")), 1, FAN - 1).alias("cuts"))
 
 
 def _below(cuts: Column, me: Column) -> Column:
