@@ -19,6 +19,10 @@ gives no pairs. Ties go by the item's UTF-8 bytes. An empty table gives an empty
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,10 +60,23 @@ def vectors(terms: DataFrame, min_docs: int = MIN_DOCS) -> tuple[list[str], Data
     return model.vocabulary, model.transform(terms).select("source", F.unwrap_udt("v").alias("v"))
 
 
+def _batch_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums within each batch: every (source, index) of it once."""
+    for batch in batches:
+        v = batch.column("v")
+        indices, values = v.field("indices"), v.field("values")
+        source = batch.column("source").dictionary_encode()
+        sizes = np.diff(indices.offsets.to_numpy())
+        at = np.repeat(source.indices.to_numpy().astype(np.int64) << 32, sizes) | indices.flatten().to_numpy().astype(np.int64)
+        keys, place = np.unique(at, return_inverse=True)
+        sums = np.zeros(len(keys), dtype=np.int64)
+        np.add.at(sums, place, values.flatten().to_numpy().astype(np.int64))
+        yield pa.RecordBatch.from_arrays([source.dictionary.take(pa.array(keys >> 32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(sums)], ["source", "index", "count"])
+
+
 def source_sums(found: DataFrame) -> DataFrame:
-    """(source, index, count): the sum of the vectors of each source, without zeros."""
-    entry = F.explode(F.arrays_zip("v.indices", "v.values")).alias("e")
-    return found.select("source", entry).groupBy("source", F.col("e.indices").alias("index")).agg(F.sum(F.col("e.values").cast("long")).alias("count"))
+    """(source, index, count): the sum of the vectors of each source, without zeros; batches are summed up before the shuffle."""
+    return found.mapInArrow(_batch_sums, "source string, index int, count long").groupBy("source", "index").agg(F.sum("count").alias("count"))
 
 
 def source_counts(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
