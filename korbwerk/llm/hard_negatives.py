@@ -16,7 +16,7 @@ whose score is from `low` to `high` percent of the positive's.
 Defined cases. Rows with a null id, label or vector, or with a null or non-finite component, take no part. Rows of equal
 id, label and components count once; other rows that share an id are rows of their own, and none of them is a positive
 of an anchor of that id. Vectors of different lengths don't meet; empty vectors have score 0 with each other. Components
-that a long can't hold count as its nearest value, and so do scores, which are compared before that as they are.
+that a long can't hold count as its nearest value, and so do scores, in comparisons too.
 An empty table gives an empty result. Extra columns are not carried along.
 """
 
@@ -114,6 +114,11 @@ def boxes(rows: np.ndarray, leaf: int = LEAF, fan: int = FAN) -> list[tuple[np.n
             return out
 
 
+def held(scores: np.ndarray) -> np.ndarray:
+    """Scores as a long holds them."""
+    return np.clip(scores, LEAST, MOST) if scores.dtype == object else scores
+
+
 INDEX = "label long, dim int, tile string, ids binary, rows binary, corners binary"
 
 
@@ -157,7 +162,7 @@ class Tree:
         up, down, out = np.where(a > 0, a, 0), np.where(a < 0, a, 0), []
         for lo, hi in self.levels:
             lo, hi = lo.astype(kind).T, hi.astype(kind).T
-            out.append((up @ lo + down @ hi, up @ hi + down @ lo))
+            out.append((held(up @ lo + down @ hi), held(up @ hi + down @ lo)))
         return out
 
     def search(self, anchor: np.ndarray, ends: list[tuple[np.ndarray, np.ndarray]], windows: list[tuple[float, float]], k: int, but: int | None = None) -> tuple[list[list[tuple[int, int]]], int]:
@@ -181,7 +186,7 @@ class Tree:
                 continue
             leaves += 1
             start = node * self.leaf
-            score, ids = rows[start : start + self.leaf] @ anchor, self.ids[start : start + self.leaf]
+            score, ids = held(rows[start : start + self.leaf] @ anchor), self.ids[start : start + self.leaf]
             least = min(max(w[0], f[0][0]) if len(f) == k else w[0] for w, f in zip(windows, found, strict=True))
             near = np.flatnonzero(score >= least)
             if but is not None:
@@ -237,7 +242,7 @@ def _search(k: int, low: int, high: int, negatives: bool):
                         windows, but = [window(p, low, high) for p in asked], None
                     if windows:
                         best, _ = tree.search(some[i], mine, windows, k, but)
-                        out += [(ids[n], keys[n], p, vec, min(max(s, LEAST), MOST)) for p, b in zip(asked, best, strict=True) for s, vec in b]
+                        out += [(ids[n], keys[n], p, vec, s) for p, b in zip(asked, best, strict=True) for s, vec in b]
         columns = list(zip(*out, strict=True)) or [()] * 5
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("anchor_id", "anchor", "positive", "vec_id", "score"), columns, strict=True)})
 
