@@ -319,3 +319,7 @@ MOST_CONTAINER_NODES, LONGEST_IDENTIFIER = 80, 160
 GOLDEN_TOLERANCE, GOLDEN_LEAST = 0.011, 0.99
 WATCHDOG_SECONDS = 550
 PLAUSIBLE_ELSE = 0.08
+
+# Price labels and descriptions on a page.
+SAME_LABEL_SHARE, SAME_LABEL_X, SAME_LABEL_Y = 0.22, 48, 38
+NO_DESCRIPTIONS = ("gültig ab", "gültig von", "prospekt", "coupon", "punkte sammeln", "rabatt rabatt")

@@ -166,7 +166,7 @@ def current_price(text: Column, retailer: Column) -> Column:
 def regular_price(text: Column, current: Column) -> Column:
     """The price before: the one named so, if it is higher, else the first later price that is higher than the current one."""
     named = _first(_layout(text), K.LAYOUT_PATTERNS["regular"])
-    later = F.get(F.filter(F.slice(_layout_prices(text), 2, 1000), lambda v: v > current), F.lit(0))
+    later = F.get(F.filter(_layout_prices(text), lambda v, i: (i > 0) & (v > current)), F.lit(0))
     return F.when(named.isNotNull() & (current.isNull() | (named > current)), named).otherwise(later)
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korbwerk import constants as K
 from korbwerk.functions import price as P
 
 PRICE = r"(?:^|[^\d,.])(\d{1,3}[,.]\d{2})\s*€"
@@ -45,21 +46,59 @@ def week_sections(docs: DataFrame, key: str = "doc_id", text: str = "text", head
     return lines(docs, key, text).withColumn("section", F.last(F.nullif(F.regexp_extract("line", heading, 1), F.lit("")), ignorenulls=True).over(w))
 
 
-#: What a JSON text may be nested; deeper ones are refused by the parser itself.
-MAX_DEPTH = 1000
-_NODES = """
-WITH RECURSIVE nodes (id, path, value) MAX RECURSION LEVEL {depth} AS (
-  SELECT id, '$', value FROM {roots}
-  UNION ALL
-  SELECT n.id, concat(n.path, coalesce(concat('.', e.key), concat('[', e.pos, ']'))), e.value FROM nodes n, LATERAL variant_explode_outer(n.value) e
-  WHERE e.pos IS NOT NULL
-) SELECT id, path, to_json(value) AS value FROM nodes"""
+_STRING, _NO_BRACKET = r'(?s)"(?:[^"\\]++|\\.)*+"', r"[^\[\]{}]"
+_NODE = "struct<path:string,value:variant,page:int>"
+
+
+def _depth(text: Column) -> Column:
+    """How deep the brackets of a JSON text are nested, those in its strings left out."""
+    marks = F.split(F.regexp_replace(F.regexp_replace(text, _STRING, ""), _NO_BRACKET, ""), "")
+
+    def step(acc: Column, mark: Column) -> Column:
+        now = acc["now"] + F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
+
+
+def _fields(value: Column) -> Column:
+    return value.try_cast("map<string,variant>")
+
+
+def _own_page(value: Column) -> Column:
+    """The page number that an object states; an index counts from 0."""
+    stated = [F.try_element_at(_fields(value), F.lit(n)).try_cast("int") + (1 if "ndex" in n else 0) for n in sorted(K.MANIFEST_PAGE_NUMBERS, key=lambda n: "ndex" in n)]
+    return F.coalesce(*stated)
+
+
+def _children(node: Column) -> Column:
+    """The nodes right below one; pages are carried down, and an element of a list of pages is a page by its place."""
+    kind = F.left(F.to_json(node["value"]), F.lit(1))
+    made = lambda path, value, page: F.struct(F.concat(*path).alias("path"), value.alias("value"), F.when(F.left(F.to_json(value), F.lit(1)) == "{", F.coalesce(_own_page(value), page)).otherwise(page).cast("int").alias("page"))
+    within = F.transform(F.map_entries(_fields(node["value"])), lambda e: made([node["path"], F.lit("."), e["key"]], e["value"], node["page"]))
+    paged = F.lower(F.regexp_extract(node["path"], r"\.([^.\[\]]+)$", 1)).isin(*K.MANIFEST_PAGES)
+    listed = F.transform(node["value"].try_cast("array<variant>"), lambda x, i: made([node["path"], F.lit("["), i, F.lit("]")], x, F.when(paged, i + 1).otherwise(node["page"])))
+    return F.when(kind == "{", within).when(kind == "[", listed).otherwise(F.array().cast(f"array<{_NODE}>"))
 
 
 def json_nodes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, path, value): every node of JSON texts, however deep; objects and arrays are unfolded level by level as variants until none is left."""
-    roots = df.select(F.col(key).alias("id"), F.try_parse_json(text).alias("value")).where("value IS NOT NULL")
-    return df.sparkSession.sql(_NODES.replace("{depth}", str(MAX_DEPTH)), roots=roots).withColumnRenamed("id", key)
+    """(key, path, value, page): every node of JSON texts and the number of the page that it belongs to.
+
+    Each text is walked level by level within its row, so there is no bound on the number of nodes, no shuffle and no round
+    of the driver. The parser refuses texts nested deeper than 1,000; these, null and broken texts have no nodes, and
+    no other columns are carried along. Rows that repeat a key each give their nodes. An empty table gives an empty result.
+    """
+    value = F.try_parse_json(text)
+    first = F.array(F.struct(F.lit("$").alias("path"), F.col("_value").alias("value"), F.when(F.left(F.to_json("_value"), F.lit(1)) == "{", _own_page(F.col("_value"))).cast("int").alias("page"))).cast(f"array<{_NODE}>")
+    roots = df.select(F.col(key), value.alias("_value"), _depth(F.col(text)).alias("_depth")).where("_value IS NOT NULL")
+
+    def step(acc: Column, _: Column) -> Column:
+        below = F.flatten(F.transform(acc["last"], _children)).cast(f"array<{_NODE}>")
+        return F.transform(F.array(below), lambda new: F.struct(F.concat(acc["all"], new).cast(f"array<{_NODE}>").alias("all"), new.alias("last")))[0]
+
+    levels = F.when(F.col("_depth") > 0, F.sequence(F.lit(1), F.col("_depth"))).otherwise(F.array().cast("array<int>"))
+    nodes = F.aggregate(levels, F.struct(first.alias("all"), first.alias("last")), step, lambda acc: acc["all"])
+    return roots.select(key, F.inline(nodes)).select(key, "path", F.to_json("value").alias("value"), "page")
 
 
 def first_of(nodes: DataFrame, key: str, names: Sequence[str]) -> DataFrame:

@@ -1,13 +1,18 @@
 """Matching labels to price tags on leaflet pages, and names to names.
 
-These have no relational form: pages are grouped and each is solved by itself. A page holds tens of labels; one with
-more than MOST_BOXES boxes is an error, so nothing larger meets in one task.
+These have no relational form: pages are grouped and each is solved by itself. A page holds tens of labels; where the costs of
+all pairs are held, one with more than MOST_BOXES boxes is an error, so nothing larger meets in one task.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Sequence
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,74 +64,111 @@ def cheapest_pairs(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(r), c) for c, r in enumerate(row_of) if r >= 0)
 
 
-def most_pairs(allowed: np.ndarray) -> list[tuple[int, int]]:
-    """A largest matching of rows to columns; rows with few choices go first."""
-    taken = np.full(allowed.shape[1], -1)
-
-    def place(r: int, seen: set[int]) -> bool:
-        for c in np.flatnonzero(allowed[r]):
-            if c not in seen:
-                seen.add(c)
-                if taken[c] < 0 or place(int(taken[c]), seen):
-                    taken[c] = r
-                    return True
-        return False
-
-    for r in np.argsort(allowed.sum(axis=1), kind="stable"):
-        place(int(r), set())
-    return sorted((int(r), c) for c, r in enumerate(taken) if r >= 0)
-
+def most_pairs(choices: list[list[int]], columns: int) -> list[tuple[int, int]]:
+    """A largest matching of rows, each with the columns it may have, to columns; rows with few choices go first.
 
-def _centres(df: pd.DataFrame) -> np.ndarray:
-    return np.stack([(df["x0"] + df["x1"]) / 2, (df["y0"] + df["y1"]) / 2], axis=1)
+    Rows look for a chain of exchanges that ends in a free column, breadth first, so its length is not bounded by the call stack.
+    """
+    taken, has = [-1] * columns, [-1] * len(choices)
+    for start in sorted(range(len(choices)), key=lambda r: len(choices[r])):
+        by, waiting, free = {}, deque([start]), -1
+        while waiting and free < 0:
+            row = waiting.popleft()
+            for c in choices[row]:
+                if c not in by:
+                    by[c] = row
+                    if taken[c] < 0:
+                        free = c
+                        break
+                    waiting.append(taken[c])
+        while free >= 0:
+            row = by[free]
+            taken[free], has[row], free = row, free, has[row]
+    return [(r, c) for r, c in enumerate(has) if c >= 0]
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, reach: float) -> list[list[int]]:
+    """For each point of `a` the points of `b` within `reach`, found by square cells of that size."""
+    cells: dict[tuple[int, int], list[int]] = {}
+    for j, (x, y) in enumerate(np.floor(b / reach).astype(np.int64).tolist()):
+        cells.setdefault((x, y), []).append(j)
+    out = []
+    for (x, y), p in zip(np.floor(a / reach).astype(np.int64).tolist(), a, strict=True):
+        near = np.array(sorted(j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in cells.get((x + dx, y + dy), ())), dtype=np.int64)
+        out.append(near[np.hypot(*(b[near] - p).T) <= reach].tolist() if len(near) else [])
+    return out
+
+
+def _of(page: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, corners and centres of a page's boxes of one kind, in order of their ids."""
+    page = page.filter(pc.equal(page.column("kind"), kind)).sort_by("box_id")
+    corners = np.stack([page.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")], axis=1)
+    return page.column("box_id").to_numpy(), corners, (corners[:, :2] + corners[:, 2:]) / 2
+
+
+def _by_page(boxes: DataFrame, solve: Callable[[pa.Table], dict[str, Sequence]], schema: str) -> DataFrame:
+    """What `solve` says of each page, as columns beside page_key. Boxes with null coordinates are left out, a null page is a page of its own."""
+
+    def solved(page: pa.Table) -> pa.Table:
+        found = solve(page)
+        n = len(next(iter(found.values())))
+        return pa.table({"page_key": pa.array([page.column("page_key")[0].as_py()] * n, pa.int64())} | {k: pa.array(v, pa.float64() if k == "cost" else pa.int64()) for k, v in found.items()})
+
+    placed = boxes.select("page_key", "kind", "box_id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).dropna(subset=["x0", "y0", "x1", "y1"])
+    return placed.groupBy("page_key").applyInArrow(solved, f"page_key long, {schema}")
 
 
 def assign_prices(boxes: DataFrame, accept: float = ACCEPT_COST) -> DataFrame:
     """boxes (page_key, kind: label or price, box_id, x0, y0, x1, y1) -> (page_key, label_id, price_id, cost): least total distance per page, prices above their label cost double, pairs beyond `accept` are left out."""
 
-    def solve(page: pd.DataFrame) -> pd.DataFrame:
-        labels, prices = (page[page["kind"] == k].sort_values("box_id") for k in ("label", "price"))
-        a, b = _centres(labels), _centres(prices)
+    def solve(page: pa.Table) -> dict[str, Sequence]:
+        (labels, _, a), (prices, _, b) = _of(page, "label"), _of(page, "price")
         d = b[None, :, :] - a[:, None, :]
         cost = np.hypot(d[..., 0], d[..., 1]) * np.where(d[..., 1] < 0, 2.0, 1.0)
         pairs = [(r, c) for r, c in cheapest_pairs(cost) if cost[r, c] <= accept]
-        key = page["page_key"].iloc[0]
-        return pd.DataFrame([(key, labels["box_id"].iloc[r], prices["box_id"].iloc[c], float(round(cost[r, c], 6))) for r, c in pairs], columns=["page_key", "label_id", "price_id", "cost"])
+        return {"label_id": [labels[r] for r, _ in pairs], "price_id": [prices[c] for _, c in pairs], "cost": [float(round(cost[r, c], 6)) for r, c in pairs]}
 
-    return _bounded(boxes).groupBy("page_key").applyInPandas(solve, "page_key long, label_id long, price_id long, cost double")
+    return _by_page(_bounded(boxes), solve, "label_id long, price_id long, cost double")
 
 
 def match_anchors(boxes: DataFrame, reach: float = LINK_DISTANCE) -> DataFrame:
-    """boxes as above -> (page_key, label_id, price_id): as many labels as possible get a price within `reach`."""
+    """boxes as above -> (page_key, label_id, price_id): as many labels as possible get a price within `reach`.
+
+    Repeated boxes are boxes of their own. A page's boxes meet in one task, however many they are;
+    only those in neighbouring cells are compared. An empty table gives an empty result.
+    """
 
-    def solve(page: pd.DataFrame) -> pd.DataFrame:
-        labels, prices = (page[page["kind"] == k].sort_values("box_id") for k in ("label", "price"))
-        d = _centres(prices)[None, :, :] - _centres(labels)[:, None, :]
-        pairs = most_pairs(np.hypot(d[..., 0], d[..., 1]) <= reach)
-        key = page["page_key"].iloc[0]
-        return pd.DataFrame([(key, labels["box_id"].iloc[r], prices["box_id"].iloc[c]) for r, c in pairs], columns=["page_key", "label_id", "price_id"])
+    def solve(page: pa.Table) -> dict[str, Sequence]:
+        (labels, _, a), (prices, _, b) = _of(page, "label"), _of(page, "price")
+        pairs = most_pairs(near_pairs(a, b, reach), len(prices))
+        return {"label_id": [labels[r] for r, _ in pairs], "price_id": [prices[c] for _, c in pairs]}
 
-    return _bounded(boxes).groupBy("page_key").applyInPandas(solve, "page_key long, label_id long, price_id long")
+    return _by_page(boxes, solve, "label_id long, price_id long")
 
 
 def price_groups(boxes: DataFrame, apart: float = 24.0) -> DataFrame:
     """boxes -> (page_key, box_id, group_id): price boxes merged one after another into groups whose growing bounds they touch or come near."""
 
-    def solve(page: pd.DataFrame) -> pd.DataFrame:
-        page = page[page["kind"] == "price"].sort_values(["y0", "x0", "box_id"])
-        groups: list[list] = []
-        out = []
-        for r in page.itertuples():
-            hit = next((g for g in groups if max(g[0] - r.x1, r.x0 - g[2], 0) + max(g[1] - r.y1, r.y0 - g[3], 0) <= apart), None)
-            if hit is None:
-                groups.append([r.x0, r.y0, r.x1, r.y1, r.box_id])
-                hit = groups[-1]
+    def solve(page: pa.Table) -> dict[str, Sequence]:
+        ids, corners, _ = _of(page, "price")
+        order = np.lexsort((ids, corners[:, 0], corners[:, 1]))
+        groups, named, out = np.empty((len(ids), 4)), [], []
+        for i in order:
+            x0, y0, x1, y1 = corners[i]
+            g = groups[: len(named)]
+            apart_by = np.maximum(np.maximum(g[:, 0] - x1, x0 - g[:, 2]), 0) + np.maximum(np.maximum(g[:, 1] - y1, y0 - g[:, 3]), 0)
+            hits = np.flatnonzero(apart_by <= apart)
+            if len(hits):
+                k = int(hits[0])
+                groups[k] = min(g[k, 0], x0), min(g[k, 1], y0), max(g[k, 2], x1), max(g[k, 3], y1)
             else:
-                hit[:4] = [min(hit[0], r.x0), min(hit[1], r.y0), max(hit[2], r.x1), max(hit[3], r.y1)]
-            out.append((r.page_key, r.box_id, hit[4]))
-        return pd.DataFrame(out, columns=["page_key", "box_id", "group_id"])
+                k = len(named)
+                groups[k] = corners[i]
+                named.append(ids[i])
+            out.append(named[k])
+        return {"box_id": ids[order], "group_id": out}
 
-    return _bounded(boxes).groupBy("page_key").applyInPandas(solve, "page_key long, box_id long, group_id long")
+    return _by_page(_bounded(boxes), solve, "box_id long, group_id long")
 
 
 def gram_size(least: float, shortest: int) -> int:

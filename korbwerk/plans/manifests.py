@@ -10,6 +10,8 @@ from korbwerk.plans.registry import query
 from korbwerk.plans.views import Views, cents
 
 KEY = "leaflet"
+#: Manifests number a product by its id from here on; one product has the number of another, so that neither is found by it.
+FIRST_NUMBER, SAME_NUMBER = 1_000_000, (8, 1_000_009)
 
 
 def _cards(v: Views) -> DataFrame:
@@ -48,7 +50,7 @@ def g8(v: Views) -> DataFrame:
 def manifest(v: Views) -> DataFrame:
     """A leaflet's manifest: pages with hotspots, which name their product by number, by address or in full, or say that it is sold online; and the catalogue."""
     p, price = F.col("product_id"), F.col("price").cast("string")
-    number = F.lpad(p.cast("string"), 7, "1")
+    number = F.when(p == SAME_NUMBER[0], SAME_NUMBER[1]).otherwise(p + FIRST_NUMBER).cast("string")
     spot = (
         F.when(p % 4 == 0, F.concat(F.lit('{"productId":"'), number, F.lit('","offerPrice":'), price, F.lit("}")))
         .when(p % 4 == 1, F.concat(F.lit('{"link":{"url":"https://shop.de/p/'), number, F.lit('"},"text":{"price":{"value":"'), price, F.lit('"}}}')))
@@ -64,13 +66,14 @@ def _objects(v: Views) -> DataFrame:
     return jsontree.objects(extract.json_nodes(manifest(v), KEY, "doc"), KEY)
 
 
-@query("g9_manifest_offers", _K + """ SELECT store_id || '/' || valid_from AS leaflet, 3 AS page, product_name AS name, price, count(*) AS n FROM (SELECT DISTINCT store_id, valid_from, product_name, price FROM k WHERE product_id % 4 <> 3) k GROUP BY ALL""")
+@query("g9_manifest_offers", _K + """ SELECT store_id || '/' || valid_from AS leaflet, 3 AS page, product_name AS name, price, count(*) AS n FROM (SELECT DISTINCT store_id, valid_from, product_name, price FROM k WHERE product_id % 4 <> 3
+ AND NOT (product_id IN (8, 9) AND EXISTS (SELECT 1 FROM k o WHERE o.store_id = k.store_id AND o.valid_from = k.valid_from AND o.product_id IN (8, 9) AND o.product_name <> k.product_name))) k GROUP BY ALL""")
 def g9(v: Views) -> DataFrame:
     found = jsontree.manifest_offers(_objects(v), KEY)
     return found.groupBy(KEY, "page", "name", F.round("price", 2).alias("price")).agg(F.count("*").alias("n"))
 
 
-@query("fj3_identifiers", _K + """ SELECT store_id || '/' || valid_from AS leaflet, lpad(product_id::VARCHAR, 7, '1') AS id, count(*) + count(*) FILTER (WHERE product_id % 4 <> 2) AS n FROM k GROUP BY 1, 2""")
+@query("fj3_identifiers", _K + """ SELECT store_id || '/' || valid_from AS leaflet, (CASE WHEN product_id = 8 THEN 1000009 ELSE product_id + 1000000 END)::VARCHAR AS id, count(*) + count(*) FILTER (WHERE product_id % 4 <> 2) AS n FROM k GROUP BY 1, 2""")
 def fj3(v: Views) -> DataFrame:
     """Every product number that a manifest's objects give, and how often; addresses count as their numbers."""
     found = _objects(v).select(KEY, F.explode(jsontree.identifiers()).alias("id"))
@@ -92,6 +95,13 @@ def fj5(v: Views) -> DataFrame:
     return spots.groupBy(KEY).agg(F.count_if(jsontree.sold_online(F.col("json"), F.col("fields"))).alias("online"))
 
 
+@query("fj1_inherited_page", _K + """ SELECT store_id || '/' || valid_from AS leaflet, 3::INT AS page, 2 + count(*) * 2 + 2 * count(*) FILTER (WHERE product_id % 4 = 1) * 2 + count(*) FILTER (WHERE product_id % 4 = 2) + count(*) FILTER (WHERE product_id % 4 IN (0, 3)) + count(*) FILTER (WHERE product_id % 4 IN (2, 3)) + 1 AS nodes FROM k GROUP BY 1""")
+def fj1_inherited(v: Views) -> DataFrame:
+    """How many nodes of a manifest belong to the page that gives itself the number 3: the page, its fields, its hotspots and all in these."""
+    nodes = extract.json_nodes(manifest(v), KEY, "doc")
+    return nodes.where("page = 3").groupBy(KEY, "page").agg(F.count("*").alias("nodes"))
+
+
 @query("fj6_all_text", " SELECT event_id, user_id || ' ' || event_type AS text FROM events")
 def fj6(v: Views) -> DataFrame:
     e = F.concat(F.lit('{"a":{"id":'), "user_id", F.lit('},"b":[null,{"kind":"'), "event_type", F.lit('"}],"c":{}}'))

@@ -96,9 +96,9 @@ def fn17(v: Views) -> DataFrame:
     return v.products.select("product_id", price.best_pack(packs, ups, cost).alias("b")).select("product_id", "b.*")
 
 
-@query("fn20_effective_price", " SELECT store_id, product_id, valid_from, price, CASE WHEN product_id % 3 = 0 THEN floor(price * 90 + 0.5) / 100.0::DOUBLE ELSE price END AS effective FROM current_offers", dates="valid_from")
+@query("fn20_effective_price", " SELECT store_id, product_id, valid_from, price, CASE WHEN product_id % 3 = 0 THEN ((floor(price * 100 + 0.5)::BIGINT * 9 + 5) // 10) / 100.0::DOUBLE ELSE price END AS effective FROM current_offers", dates="valid_from")
 def fn20(v: Views) -> DataFrame:
-    app = F.when(F.col("product_id") % 3 == 0, price.half_up(F.col("price") * 0.9, 2))
+    app = F.when(F.col("product_id") % 3 == 0, F.floor((F.floor(F.col("price") * 100 + 0.5) * 9 + 5) / 10) / 100.0)
     return v.current.select("store_id", "product_id", "valid_from", "price", price.effective_price(F.col("price"), app).alias("effective"))
 
 

@@ -30,12 +30,36 @@ def test_assignment_is_cheapest(n, m, rnd):
 @given(st.integers(1, 5), st.integers(1, 5), st.randoms(use_true_random=False))
 def test_matching_is_largest(n, m, rnd):
     allowed = np.array([[rnd.random() < 0.4 for _ in range(m)] for _ in range(n)])
-    pairs = matching.most_pairs(allowed)
+    pairs = matching.most_pairs([np.flatnonzero(row).tolist() for row in allowed], m)
     assert all(allowed[p] for p in pairs) and len({c for _, c in pairs}) == len(pairs)
     best = max(len(s) for k in range(min(n, m) + 1) for s in itertools.combinations([(r, c) for r in range(n) for c in range(m) if allowed[r, c]], k) if len({r for r, _ in s}) == len({c for _, c in s}) == k)
     assert len(pairs) == best
 
 
+def test_matching_of_long_chains():
+    """Each row has two columns, the last one a single one, so that all rows must move on by one."""
+    n = 5000
+    pairs = matching.most_pairs([[i] if i == n - 1 else [i + 1, i] for i in range(n)], n)
+    assert len(pairs) == n and len({c for _, c in pairs}) == n
+
+
+def test_near_pairs_equal_all_pairs():
+    rng = np.random.default_rng(5)
+    a, b = rng.uniform(-300, 900, (120, 2)), rng.uniform(-300, 900, (140, 2))
+    want = [[j for j in range(140) if np.hypot(*(b[j] - p)) <= 185.0] for p in a]
+    assert matching.near_pairs(a, b, 185.0) == want
+
+
+def test_matching_of_odd_boxes(spark):
+    box = "page_key long, kind string, box_id long, x0 double, y0 double, x1 double, y1 double, cost string"
+    rows = [(1, "label", 1, 0.0, 0.0, 2.0, 2.0, "x"), (1, "price", 1, 0.0, 9.0, 2.0, 9.0, "x"), (1, "price", 1, 0.0, 9.0, 2.0, 9.0, "x"), (1, "label", 2, None, 0.0, 1.0, 1.0, "x"), (None, "label", 3, 5.0, 5.0, 5.0, 5.0, "x"), (None, "price", 4, 5.0, 5.0, 5.0, 5.0, "x"), (2, "price", 5, 0.0, 0.0, 1.0, 1.0, "x")]
+    boxes = spark.createDataFrame(rows, box)
+    assert sorted(map(str, map(tuple, matching.match_anchors(boxes).collect()))) == ["(1, 1, 1)", "(None, 3, 4)"]
+    assert sorted(map(str, map(tuple, matching.assign_prices(boxes).collect()))) == ["(1, 1, 1, 8.0)", "(None, 3, 4, 0.0)"]
+    for f in (matching.match_anchors, matching.assign_prices, matching.price_groups):
+        assert f(boxes.limit(0)).collect() == []
+
+
 def test_similar_names(spark):
     names = spark.createDataFrame([(1, "Bio Vollmilch frisch"), (2, "Bio Vollmilch frisch"), (3, "Bio Vollmilch frische"), (4, "Zahnpasta Minze"), (5, None)], "product_id long, product_name string")
     assert [(r.left_id, r.right_id) for r in matching.similar_names(names).collect()] == [(1, 3)]
@@ -133,10 +157,26 @@ def test_json_nodes(spark):
     nodes = extract.json_nodes(df, "id", "doc")
     deep = spark.createDataFrame([(1, "[" * 40 + "7" + "]" * 40)], "id long, doc string")
     assert extract.json_nodes(deep, "id", "doc").count() == 41
+    strings = spark.createDataFrame([(1, '{"a":"}]{[ \\\\\\" ]","b":[{}]}'), (1, "3")], "id long, doc string")
+    assert sorted(r.path for r in extract.json_nodes(strings, "id", "doc").collect()) == ["$", "$", "$.a", "$.b", "$.b[0]"]
+    assert extract.json_nodes(df.limit(0), "id", "doc").collect() == []
     assert {r.path for r in nodes.collect()} == {"$", "$.a", "$.a.b", "$.a.b[0]", "$.a.b[1]", "$.a.b[1].price", "$.value"}
     assert [tuple(r) for r in extract.first_of(nodes, "id", ["price", "value"]).collect()] == [(1, "2")]
 
 
+def test_json_nodes_beyond_a_million(spark):
+    """No bound on the nodes of a run: more than the default limit of recursive queries."""
+    doc = F.concat(F.lit('{"a":['), F.array_join(F.sequence(F.lit(1), F.lit(1000)), ","), F.lit("]}"))
+    nodes = extract.json_nodes(spark.range(1200).select("id", doc.alias("doc")), "id", "doc")
+    assert nodes.agg(F.count("*"), F.max("path")).first()[:] == (1200 * 1002, "$.a[9]")
+
+
+def test_json_nodes_inherit_pages(spark):
+    doc = '{"page":"9","x":{"y":1},"pages":[{"v":1},{"pageIndex":6,"w":{"u":[{"k":2}]}},5]}'
+    nodes = extract.json_nodes(spark.createDataFrame([(1, doc)], "id long, doc string"), "id", "doc")
+    assert {r.path: r.page for r in nodes.collect()} == {"$": 9, "$.page": 9, "$.x": 9, "$.x.y": 9, "$.pages": 9, "$.pages[0]": 1, "$.pages[0].v": 1, "$.pages[1]": 7, "$.pages[1].pageIndex": 7, "$.pages[1].w": 7, "$.pages[1].w.u": 7, "$.pages[1].w.u[0]": 7, "$.pages[1].w.u[0].k": 7, "$.pages[2]": 3}
+
+
 def test_import_keeps_last_and_counts(spark):
     d = dt.date(2026, 8, 17)
     rows = [(1, "Milch", 1.0, "l", 0.99, d, d, 1, "", "u1", 1), (1, "Milch", 1.0, "l", 0.99, d, d, 2, "", "u2", 2), (1, "Käse", 1.0, "kg", 5.0, d, d, 1, "nur online", "", 3), (1, "Gold", 1.0, "g", 9000.0, d, d, 1, "", "", 4), (1, "Alt", 1.0, "g", 1.0, None, d, 1, "", "", 5)]
