@@ -27,7 +27,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from korbwerk.llm.common import LOWER, UPPER, Scratch
+from korbwerk.llm.common import Scratch, ascii_lower
 
 #: What stands between terms, which are runs of ASCII letters and of whatever is not ASCII. Splitting takes time linear in the text, unlike extracting all matches.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -49,7 +49,7 @@ def term_table(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     read = docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     langs = read.groupBy("lang").agg(F.count("*").alias("n_docs"))
     langs = scratch.keep(langs.withColumn("lang_no", F.row_number().over(Window.orderBy("lang"))), "langs")  # a row a language
-    terms = F.concat(F.array(F.lit(ALWAYS)), F.split(F.translate("text", UPPER, LOWER), BETWEEN))
+    terms = F.concat(F.array(F.lit(ALWAYS)), F.split(ascii_lower(F.col("text")), BETWEEN))
     read.join(langs, "lang").select("lang_no", "source", terms.alias("terms")).write.partitionBy("lang_no").parquet(scratch.path("terms"))
     return langs, docs.sparkSession.read.schema("source string, terms array<string>, lang_no int").parquet(scratch.path("terms"))
 
