@@ -47,8 +47,8 @@ def test_lines_of_odd_words(spark):
 
 
 def plain_anchors(blocks):
-    """blocks (id, x0, y0, x1, y1, price, app), None for labels' prices."""
-    labels = [b for b in blocks if b[5] is None]
+    """blocks (id, x0, y0, x1, y1, price, app); those without a price and those with a loyalty price name the programme."""
+    labels = [b for b in blocks if b[5] is None or b[6] is not None]
     priced = [b for b in sorted(blocks) if b[5] is not None]
     used, out = set(), []
     for a in priced:
