@@ -49,7 +49,7 @@ def term_table(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     read = docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     langs = read.groupBy("lang").agg(F.count("*").alias("n_docs"))
     langs = scratch.keep(langs.withColumn("lang_no", F.row_number().over(Window.orderBy("lang"))), "langs")  # a row a language
-    terms = F.concat(F.array(F.lit(ALWAYS)), F.split(ascii_lower(F.col("text")), BETWEEN))
+    terms = F.split(ascii_lower(F.concat(F.lit(" "), F.col("text"))), BETWEEN)  # the blank before each text makes ALWAYS its first term
     read.join(langs, "lang").select("lang_no", "source", terms.alias("terms")).write.partitionBy("lang_no").parquet(scratch.path("terms"))
     return langs, docs.sparkSession.read.schema("source string, terms array<string>, lang_no int").parquet(scratch.path("terms"))
 
