@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from korbwerk.plans import core, extraction, further, layouts, manifests, more, pages, quality, savings, scalar, wording  # noqa: F401
+from korbwerk.plans import core, extraction, further, layouts, manifests, more, pages, quality, savings, scalar, strict, wording  # noqa: F401
 from korbwerk.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

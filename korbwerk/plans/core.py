@@ -161,11 +161,12 @@ def j16(v: Views) -> DataFrame:
 @query("j18_learned_brand", """, names AS (SELECT product_id, lower(brand) || ' ' || product_name AS full_name FROM products), brands AS (SELECT DISTINCT lower(brand) AS brand FROM products WHERE length(brand) >= 2)
  SELECT product_id, max_by(b.brand, length(b.brand)) AS brand FROM names n JOIN brands b ON n.full_name = b.brand OR starts_with(n.full_name, b.brand || ' ') OR starts_with(n.full_name, b.brand || '-') GROUP BY 1""")
 def j18(v: Views) -> DataFrame:
-    """Candidate prefixes of each name (cut at word ends) make the prefix join an equi-join; the longest known brand wins."""
+    """Candidate prefixes of each name, cut at blanks and hyphens and no longer than the longest brand, make the prefix join an equi-join; the longest known brand wins."""
     names = v.products.select("product_id", F.concat_ws(" ", F.lower("brand"), "product_name").alias("name"))
-    words = F.split("name", " ")
-    prefixes = names.select("product_id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(4))), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))).alias("brand"))
     brands = v.products.select(F.lower("brand").alias("brand")).where(F.length("brand") >= 2).distinct()
+    ends = F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: (i <= F.col("longest")) & ((i == F.length("name")) | F.substr("name", i + 1, F.lit(1)).isin(" ", "-")))
+    longest = brands.agg(F.max(F.length("brand")).alias("longest"))
+    prefixes = names.where(F.length("name") > 0).join(F.broadcast(longest)).select("product_id", F.explode(F.transform(ends, lambda i: F.substr("name", F.lit(1), i))).alias("brand"))
     return prefixes.join(brands, "brand").groupBy("product_id").agg(F.max_by("brand", F.length("brand")).alias("brand"))
 
 

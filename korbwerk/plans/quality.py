@@ -40,12 +40,24 @@ def freshness(status: Column, started: Column, cutoff: Column) -> Column:
     return F.when(status.isNull(), "unknown").when(status == "failed", "failed").when(status == "no_offers", "empty").when(started < cutoff, "stale").when(status == "success", "current").otherwise(status)
 
 
-@query("w2_freshness", """, latest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY store_id, source_key ORDER BY started_at DESC, run_id DESC) = 1)
- SELECT s.store_id, l.source_key, CASE WHEN status IS NULL THEN 'unknown' WHEN status = 'failed' THEN 'failed' WHEN status = 'no_offers' THEN 'empty' WHEN started_at < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 36 HOUR THEN 'stale' WHEN status = 'success' THEN 'current' ELSE status END AS state FROM stores s LEFT JOIN latest l USING (store_id)""")
+_STATE = "CASE WHEN status IS NULL THEN 'unknown' WHEN status = 'failed' THEN 'failed' WHEN status = 'no_offers' THEN 'empty' WHEN started_at < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 36 HOUR THEN 'stale' WHEN status = 'success' THEN 'current' ELSE status END"
+RECENT_RUNS = 4
+
+
+@query("w2_freshness", f""", recent AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY started_at DESC, run_id DESC) AS r FROM runs QUALIFY r <= 4),
+ last AS (SELECT store_id, any_value(run_id) FILTER (WHERE r = 1) AS run_id, any_value({_STATE}) FILTER (WHERE r = 1) AS state, arg_min(run_id, r) FILTER (WHERE source_key LIKE '%:web') AS web_run, arg_min(run_id, r) FILTER (WHERE source_key LIKE '%:pdf') AS pdf_run FROM recent GROUP BY 1)
+ SELECT store_id, coalesce(run_id, 0) AS run_id, coalesce(state, 'unknown') AS state, coalesce(web_run, 0) AS web_run, coalesce(pdf_run, 0) AS pdf_run FROM stores LEFT JOIN last USING (store_id) WHERE active AND verified""")
 def w2(v: Views) -> DataFrame:
-    latest = R.top(v.runs, ["store_id", "source_key"], [F.desc("started_at"), F.desc("run_id")])
+    """The state of each released store's latest run, and the latest web and PDF runs among its last four; 0 where there is none."""
+    order = Window.partitionBy("store_id").orderBy(F.desc("started_at"), F.desc("run_id"))
+    recent = v.runs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= RECENT_RUNS)
     cutoff = F.lit("2024-01-30 00:00:00").cast("timestamp") - F.expr(f"INTERVAL {K.STALE_HOURS} HOURS")
-    return v.stores.select("store_id").join(latest, "store_id", "left").select("store_id", "source_key", freshness(F.col("status"), F.col("started_at"), cutoff).alias("state"))
+    of = lambda kind: F.min_by(F.when(F.endswith("source_key", F.lit(kind)), F.col("run_id")), F.when(F.endswith("source_key", F.lit(kind)), F.col("r")))
+    first = F.min_by(F.struct("run_id", "status", "started_at"), "r")
+    last = recent.groupBy("store_id").agg(first.alias("first"), of(":web").alias("web_run"), of(":pdf").alias("pdf_run"))
+    found = v.stores.where("active AND verified").select("store_id").join(last, "store_id", "left")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c.split(".")[-1])
+    return found.select("store_id", none("first.run_id"), freshness(F.col("first.status"), F.col("first.started_at"), cutoff).alias("state"), none("web_run"), none("pdf_run"))
 
 
 _COVER = """, j AS (SELECT a.store_id, a.day, a.pages, o.page FROM archives a LEFT JOIN offers o ON a.store_id = o.store_id AND (a.valid_from IS NULL OR a.valid_from = o.valid_from) AND a.valid_to = o.valid_to),
