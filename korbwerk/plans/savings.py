@@ -1,4 +1,4 @@
-"""The savings plan: which one to three stores to visit, what to buy where, and what the trip costs."""
+"""The savings plan: which stores to visit, one to three or any number, what to buy where, and what the trip costs."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from korbwerk.constants import EUR_PER_KM, MAX_STORES, ROUTE_FACTOR, WORTH_SAVING
+from korbwerk.constants import EUR_PER_KM, MAX_STORES, WORTH_SAVING
 from korbwerk.functions.geo import haversine_km
 from korbwerk.functions.price import half_up
 from korbwerk.operators import relational as R
+from korbwerk.operators.trips import all_plans, round_trip_km
 from korbwerk.plans.registry import query
 from korbwerk.plans.views import Views
 
@@ -25,22 +26,6 @@ def store_sets(candidates: DataFrame, most: int = MAX_STORES) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def _leg(a: Column, b: Column) -> Column:
-    return haversine_km(a["lat"], a["lon"], b["lat"], b["lon"])
-
-
-def round_trip_km(home: Column, stops: Column) -> Column:
-    """Kilometres of a trip that always goes to the nearest stop left (of equally near ones the first), then home; `stops` is an array of at most three places."""
-
-    def step(acc: Column, _: Column) -> Column:
-        ways = F.transform(acc["left"], lambda s: F.struct(_leg(acc["at"], s).alias("km"), s["store_id"].alias("store_id"), s.alias("stop")))
-        to = F.array_min(ways)
-        return F.struct(to["stop"].alias("at"), (acc["km"] + to["km"]).alias("km"), F.filter(acc["left"], lambda s: s["store_id"] != to["store_id"]).alias("left"))
-
-    start = F.struct(F.struct(F.lit(0).cast("long").alias("store_id"), home["lat"].alias("lat"), home["lon"].alias("lon")).alias("at"), F.lit(0.0).alias("km"), stops.alias("left"))
-    return F.aggregate(stops, start, step, lambda acc: acc["km"] + F.when(F.size(stops) > 0, _leg(acc["at"], home)).otherwise(0.0)) * ROUTE_FACTOR
-
-
 def evaluated(sets: DataFrame, offers: DataFrame, items: DataFrame, users: DataFrame, stores: DataFrame) -> DataFrame:
     """Each set with the cheapest purchase it allows: goods, covered items, stores used, kilometres and total."""
     best = offers.groupBy("store_id", "product_id").agg(F.min("price").alias("price"))
@@ -130,6 +115,38 @@ def o1(v: Views) -> DataFrame:
     return savings_plan(v)
 
 
+_ALL_SQL = (
+    _SELECTED.split("sets AS (")[0].replace("FROM favourites f", "FROM (SELECT DISTINCT user_id, store_id FROM bought) f")
+    + """l AS (SELECT user_id, list(store_id ORDER BY store_id) AS l FROM c GROUP BY 1),
+sets AS (SELECT user_id, [l[i] for i in range(1, len(l) + 1) if (m >> (i - 1)) & 1 = 1] AS stores FROM l, unnest(range(1, 1::BIGINT << len(l))) t(m)),
+picked AS (SELECT s.user_id, s.stores, m.product_id, min((m.price, m.store_id, m.quantity)) AS p FROM sets s JOIN mine m ON m.user_id = s.user_id AND list_contains(s.stores, m.store_id) GROUP BY 1, 2, 3),
+goods AS (SELECT user_id, stores, sum(p[1] * p[3]) AS goods, count(*) AS covered, list_sort(list_distinct(list(p[2]))) AS used FROM picked GROUP BY 1, 2),
+legs AS (SELECT g.user_id, g.used, u.lat AS hlat, u.lon AS hlon, coalesce(list((s.store_id, s.lat, s.lon) ORDER BY s.store_id) FILTER (WHERE s.lat IS NOT NULL), []) AS st FROM (SELECT DISTINCT user_id, used FROM goods) g, unnest(g.used) x(sid) JOIN stores s ON s.store_id = sid JOIN users u ON u.user_id = g.user_id GROUP BY 1, 2, 3, 4),
+walked AS (WITH RECURSIVE w(user_id, used, hlat, hlon, lat, lon, km, lft) AS (
+  SELECT user_id, used, hlat, hlon, hlat, hlon, 0.0::DOUBLE, st FROM legs
+  UNION ALL
+  SELECT user_id, used, hlat, hlon, t[3], t[4], km + t[1], [x for x in lft if x[1] <> t[2]] FROM (SELECT *, list_min([(WAY, x[1], x[2], x[3]) for x in lft]) AS t FROM w WHERE len(lft) > 0) q) SELECT * FROM w WHERE len(lft) = 0),
+ev AS (SELECT g.user_id, g.stores, g.used, covered, floor(goods * 100 + 0.5) / 100.0::DOUBLE AS goods, km, floor((goods + km * 0.15::DOUBLE) * 100 + 0.5) / 100.0::DOUBLE AS total FROM goods g JOIN (SELECT user_id, used, 1.25::DOUBLE * (km + HOME) AS km FROM walked) USING (user_id, used)),
+best1 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY covered DESC, total, len(used), goods, used) AS r FROM ev QUALIFY r = 1),
+single AS (SELECT user_id, min((total, stores[1])) AS s FROM ev JOIN offered USING (user_id) WHERE len(stores) = 1 AND covered = offered GROUP BY 1)
+ SELECT b.user_id, array_to_string(used, ',') AS store_ids, offered, covered, goods, floor(km * 1000 + 0.5) / 1000.0::DOUBLE AS km, total, s[2] AS single_store, s[1] AS single_total,
+ floor((s[1] - total) * 100 + 0.5) / 100.0::DOUBLE AS saving, s[1] - total > 0.01 AND len(used) > 1 AS worth_it, coalesce(covered = offered AND len(used) = 1 AND s[2] = used[1], false) AS one_market
+ FROM best1 b JOIN offered USING (user_id) LEFT JOIN single USING (user_id)"""
+).replace("WAY", "(2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin((radians(x[2]) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(x[2])) * pow(sin((radians(x[3]) - radians(lon)) / 2), 2))))").replace(
+    "HOME", "(2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin((radians(hlat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(hlat)) * pow(sin((radians(hlon) - radians(lon)) / 2), 2))))"
+)
+
+
+@query("o1_o6_unlimited_plan", _ALL_SQL)
+def o6(v: Views) -> DataFrame:
+    """The best plan over any number of stores, of all that a user ever bought from, and whether one store covers all that is on offer."""
+    selected = R.selected_stores(v.users, v.bought.select("user_id", "store_id").distinct(), v.stores)
+    best = v.current.groupBy("store_id", "product_id").agg(F.min("price").alias("price"))
+    found, offered = all_plans(v.items.join(selected, "user_id").join(best, ["store_id", "product_id"]), v.users, v.stores)
+    one = (F.col("covered") == F.col("offered")) & (F.col("single_store").cast("string") == F.col("store_ids"))
+    return plans(found, offered).withColumn("one_market", F.coalesce(one, F.lit(False)))
+
+
 @query(
     "o7_route_legs",
     f""", near AS (SELECT f.user_id, f.store_id, s.lat, s.lon, u.lat AS hlat, u.lon AS hlon, {_H("u", "s")} AS km FROM favourites f JOIN users u USING (user_id) JOIN stores s USING (store_id) WHERE s.active AND s.verified AND s.lat IS NOT NULL AND NOT coalesce({_H("u", "s")} > u.radius_km, false)),
