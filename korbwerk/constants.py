@@ -323,3 +323,26 @@ PLAUSIBLE_ELSE = 0.08
 # Price labels and descriptions on a page.
 SAME_LABEL_SHARE, SAME_LABEL_X, SAME_LABEL_Y = 0.22, 48, 38
 NO_DESCRIPTIONS = ("gültig ab", "gültig von", "prospekt", "coupon", "punkte sammeln", "rabatt rabatt")
+
+# Lines that can be a card's title, and what is cut off them.
+TITLE_QUANTITY = r"\b(?:je\s*)?(?:(\d{1,2})\s*[x×]\s*)?(\d+(?:[,.]\d+)?)\s*[- ]?(kg|g|l|ml|stück|st\.?|packung|becher|dose|flasche|glas|beutel|schale|netz|bund)\b"
+TITLE_UNIT_PRICE = r"(?:1\s*)?(kg|l|100\s*g|100\s*ml)\s*(?:=|:)\s*(?:€\s*)?(\d{1,3}(?:[,.]\d{1,2})?)"
+TITLE_SINGLE_PACK = r"\bje\s+(?:Stück|Topf|Bund)\b"
+TITLE_NOISE = (
+    "versch. sorten", "verschiedene sorten", "klasse i", "klasse ii", "fett i. tr", "fett i.tr", "tiefgefroren", "gekühlt", "je ", "1 kg =", "1 l =", "statt ", "mit app", "extra punkte", "haltungsform", "angebot",
+    "ready-to-eat", "ready to eat", "mit ", "oder ", "auch ", "festkochend", "klassisch", "schweizer", "naturell", "mild-würzig", "geschmack", "aroma", "getrocknete",
+)
+TITLE_HEADERS = ("obst & gemüse", "fleisch", "wurst", "käse & kühlregal", "kühlregal & tk", "schnelle küche", "frühstück", "knabbereien", "getränke", "drogerie", "frischfisch-theke")
+TITLE_COUNTRIES = ("deutschland", "niederlande", "spanien", "italien", "frankreich", "portugal", "griechenland", "südafrika", "senegal", "peru", "rumänien", "neuseeland")
+TITLE_PACKS = ("stück", "packung", "becher", "flasche")
+TITLE_DESCRIBED = r"\b(?:klasse|fett|vol\.?|pfand|abtopfgew|packung|becher|flasche|schale)\b"
+TITLE_ADVERTS = ("edeka.de", "lebensmittel", "wochenend", "knüller", "payback", "echt nrw", "extra°punkte", "extra punkte")
+TITLE_ENDS = r"\b(?:Klasse|Handelsklasse|versch\.?|tiefgefroren|je\s+\d)\b"
+TITLE_ORIGIN = r"^(?:Deutschland|Niederlande|Spanien|Italien|Frankreich|Portugal|Griechenland|Österreich)\s+"
+TITLE_HOUSE_BRAND = r"^(?:EDEKA|GUT\s*&\s*GÜNSTIG)\s+(?=(?:Mango|Avocado|Zitron|Kartoff|Beeren|Möhren|Zwiebel))"
+LONGEST_TITLE, TITLE_SHARE = 65, 0.55
+
+# Validity in a leaflet's own text.
+MONTHS = ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
+LEAFLET_WEEKDAY = r"(?:Mo|Di|Mi|Do|Fr|Sa|So)[.]?\s*"
+LONGEST_LEAFLET = 14

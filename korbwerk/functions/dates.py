@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from korbwerk.constants import VALIDITY
+from korbwerk.constants import LEAFLET_WEEKDAY, LONGEST_LEAFLET, MONTHS, VALIDITY
 
 RANGE = r"(\d{1,2})\.(\d{1,2})\.(\d{2,4})?\s*(?:bis|-|–)\s*(?:[A-Za-zÄÖÜäöü]+,?\s*)?(\d{1,2})\.(\d{1,2})\.?(\d{4})?"
 
@@ -62,15 +62,17 @@ def _next_year(start: Column, end: Column) -> Column:
     return F.when(end < start, F.add_months(end, 12)).otherwise(end)
 
 
+def iso_monday(year: Column, week: Column) -> Column:
+    """The Monday of an ISO week; null beyond 1 to 53 or where the year lacks it."""
+    first = F.trunc(F.try_make_timestamp_ntz(year, F.lit(1), F.lit(4), F.lit(0), F.lit(0), F.lit(0.0)).cast("date"), "WEEK")
+    day = F.date_add(first, (week - 1) * 7)
+    return F.when(week.between(1, 53) & (F.extract(F.lit("YEAROFWEEK"), day) == year), day)
+
+
 def calendar_week(week: Column, ref: Column) -> Column:
     """The Monday of an ISO week in the year in which it is nearest to `ref`; null beyond 1 to 53 or where the year lacks it."""
 
-    def of(year: Column) -> Column:
-        first = F.trunc(F.try_make_timestamp_ntz(year, F.lit(1), F.lit(4), F.lit(0), F.lit(0), F.lit(0.0)).cast("date"), "WEEK")
-        day = F.date_add(first, (week - 1) * 7)
-        return F.when(week.between(1, 53) & (F.extract(F.lit("YEAROFWEEK"), day) == year), day)
-
-    days = [of(F.year(ref) + k) for k in (-1, 0, 1)]
+    days = [iso_monday(F.year(ref) + k, week) for k in (-1, 0, 1)]
     return F.array_min(F.filter(F.array(*[F.struct(F.abs(F.datediff(d, ref)).alias("off"), d.alias("day")) for d in days]), lambda x: x["day"].isNotNull()))["day"]
 
 
@@ -115,3 +117,52 @@ def validity(text: Column, ref: Column) -> Column:
     to = F.when(part(6).isNotNull(), full(part(6), part(5), part(4))).otherwise(nearest_year(part(4), part(5), ref))
     start = F.when(part(3).isNotNull(), full(F.when(part(3) < 100, part(3) + 2000).otherwise(part(3)), part(2), part(1))).otherwise(nearest_year(part(1), part(2), F.coalesce(to, ref)))
     return F.when(start.isNotNull() & (to >= start), F.struct(start.alias("from"), to.alias("to")))
+
+
+def leaflet_validity(text: Column, ref: Column) -> Column:
+    """struct(from, to) that a leaflet's text states, by the first wording that gives a range: a first day, full days, weekdays, days after `gültig`, names of
+    months, or a week. Years left out are that of `ref`; ranges that run backwards or over more than 14 days are none. Null if nothing fits."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[–—]", "-")
+    names = "|".join([*MONTHS, "Maerz"])
+    day = lambda y, m, d: F.try_make_timestamp_ntz(y, m, d, F.lit(0), F.lit(0), F.lit(0.0)).cast("date")
+    spelt = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m.lower(), i)], F.lit("maerz"), F.lit(3))
+    month = lambda name: F.try_element_at(spelt, F.lower(name))
+
+    def parts(p: str, count: int) -> list[Column]:
+        return [F.regexp_extract(t, "(?iU)" + p, g) for g in range(1, count + 1)]
+
+    def number(x: Column) -> Column:
+        return x.try_cast("int")
+
+    def year(x: Column) -> Column:
+        return F.when(number(x) < 100, number(x) + 2000).otherwise(number(x))
+
+    def span(a: Column, b: Column) -> Column:
+        return F.when((a <= b) & (F.datediff(b, a) <= LONGEST_LEAFLET), F.struct(a.alias("from"), b.alias("to")))
+
+    def week_from(a: Column) -> Column:
+        return F.when(a.isNotNull(), F.struct(a.alias("from"), F.date_add(a, 5).alias("to")))
+
+    here = F.year(ref)
+    d, m, y = parts(r"Gültig\s+ab\s+(\d{1,2})[.](\d{1,2})[.](\d{2,4})", 3)
+    found = [week_from(day(year(y), number(m), number(d)))]
+    d, m, y, d2, m2, y2 = parts(r"(\d{1,2})[.](\d{1,2})[.](\d{2,4})\s*[^\d\n]{0,25}-\s*[^\d\n]{0,25}(\d{1,2})[.](\d{1,2})[.](\d{2,4})", 6)
+    found.append(span(day(year(y), number(m), number(d)), day(year(y2), number(m2), number(d2))))
+    for p in (
+        rf"{LEAFLET_WEEKDAY}(\d{{1,2}})[.]\s*(\d{{1,2}})[.]\s*[^\d\n]{{0,15}}-\s*{LEAFLET_WEEKDAY}(\d{{1,2}})[.]\s*(\d{{1,2}})[.]",
+        r"gültig[^\d]{0,20}(\d{1,2})[.](\d{1,2})[.](?:\d{2,4})?\s*[^\d\n]{0,15}-\s*[^\d\n]{0,15}(\d{1,2})[.](\d{1,2})[.]",
+    ):
+        d, m, d2, m2 = parts(p, 4)
+        found.append(span(day(here, number(m), number(d)), day(here, number(m2), number(d2))))
+    d, m, y, d2, m2, y2 = parts(rf"(\d{{1,2}})[.]\s*({names})\s*(20\d{{2}})\s*[-]\s*(\d{{1,2}})[.]\s*({names})\s*(20\d{{2}})", 6)
+    found.append(span(day(number(y), month(m), number(d)), day(number(y2), month(m2), number(d2))))
+    w, y = parts(r"(\d{1,2})[.]\s*Woche\s*(20\d{2})", 2)
+    # A week with a year decides even if the year lacks it.
+    found.append(F.when(w != "", week_from(iso_monday(number(y), number(w)))).otherwise(week_from(iso_monday(here, number(parts(r"KW\s*(\d{1,2})\b", 1)[0])))))
+    return F.coalesce(*found)
+
+
+def page_validity(page: Column, document: Column, ref: Column) -> Column:
+    """The validity of a page's text, else that of its document's."""
+    # A fold holds the rules once, and reads the document only where the page says nothing.
+    return F.aggregate(F.array(page, document), F.lit(None).cast("struct<from:date,to:date>"), lambda acc, text: F.coalesce(acc, leaflet_validity(text, ref)))

@@ -186,6 +186,27 @@ def title_of(text: Column) -> Column:
     return clean_name(joined)
 
 
+def usable_title(line: Column) -> Column:
+    """Whether a line can be a card's title: words enough, and no package, price, origin, heading or property."""
+
+    def checked(value: Column) -> Column:
+        low, plain = F.lower(value), repaired(value)
+        bad = F.contains(value, F.lit("€")) | F.lower(plain).rlike(CASELESS + r"\b(?:1\s*kg|1\s*l|100\s*g)\b") | value.rlike(CASELESS + K.TITLE_QUANTITY) | plain.rlike(CASELESS + K.TITLE_UNIT_PRICE)
+        bad |= low.isin(*K.TITLE_COUNTRIES, *K.TITLE_HEADERS, *K.TITLE_PACKS) | reduce(lambda a, b: a | b, [F.startswith(low, F.lit(x)) for x in K.TITLE_NOISE])
+        bad |= low.rlike(CASELESS + K.TITLE_DESCRIBED) | reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in K.TITLE_ADVERTS])
+        told = value.rlike("[A-Za-zÄÖÜäöüß]{4,}") & F.length(value).between(4, K.LONGEST_TITLE) & (_letters(value) / F.greatest(F.length(value), F.lit(1)) >= K.TITLE_SHARE)
+        return told & ~bad & name_issue(value).isNull()
+
+    return bound(trimmed(clean_name(line), " -,:;."), checked)
+
+
+def title_part(line: Column) -> Column:
+    """What of a line can be a title: without class, package and origin, and without fragments of a word at either end."""
+    raw = F.regexp_replace(F.split(F.coalesce(line, F.lit("")), CASELESS + K.TITLE_ENDS, 2)[0], CASELESS + K.TITLE_ORIGIN, "")
+    value = F.btrim(F.regexp_replace(trimmed(clean_name(raw), " -,:;."), r"^[A-ZÄÖÜ]{1,2}\s+[-_]+\s*", ""))
+    return trimmed(F.regexp_replace(value, r"[,;]\s*[a-zäöüß]{1,2}$", ""), " -,:;.")
+
+
 def collected_category(name: Column) -> Column:
     """The second taxonomy, of collected offers."""
     low = F.lower(name)
