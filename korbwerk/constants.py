@@ -346,3 +346,14 @@ LONGEST_TITLE, TITLE_SHARE = 65, 0.55
 MONTHS = ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
 LEAFLET_WEEKDAY = r"(?:Mo|Di|Mi|Do|Fr|Sa|So)[.]?\s*"
 LONGEST_LEAFLET = 14
+
+# Flyers whose pages link to products.
+FLYER_PRICES = ("offerPrice", "offer_price", "promotionalPrice", "promotionPrice", "salePrice", "price", "currentPrice", "finalPrice", "salesPrice", "discountPrice", "priceText", "salesPriceText")
+FLYER_REGULAR_PRICES = ("regularPrice", "regular_price", "oldPrice", "listPrice", "originalPrice", "wasPrice", "recommendedRetailPrice", "recommended_retail_price", "rrp", "uvp", "referencePrice", "comparisonPrice")
+FLYER_IMAGES = ("image", "imageurl", "zoom", "thumbnail", "thumbnailurl", "picture", "pictureurl")
+FLYER_ONLINE = ("shoppe auf lidl.de", "nur online", "online only", "nur im onlineshop", "onlineshop")
+LOCAL_FLAGS = ("storeOnly", "store_only", "inStore", "in_store", "filialOffer", "filial_offer", "localOffer", "local_offer")
+LOCAL_FIELDS, LOCAL_VALUES = ("channel", "salesChannel", "availability", "offerType"), ("store", "in-store", "instore", "filiale", "stationary")
+NOT_LOCAL = ("nur online", "online only", "onlineshop")
+SHOP_ADDRESSES = ("url", "href", "canonicalUrl", "canonicalURL", "productUrl", "deeplink")
+SHOP_PATH, SHOP_QUERY, SHOP_HOST = r"(?:^|/)p(?:/|-)[^/?#]+(?:/p)?\d{6,}(?:$|[/?#])", r"(?:^|[?&])flyx_content=p-\d{6,}(?:$|&)", "lidl.de"

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korbwerk.operators import extract, jsontree
+from korbwerk.operators import extract, flyers, jsontree
 from korbwerk.plans.registry import query
-from korbwerk.plans.views import Views, cents
+from korbwerk.plans.views import Views, as_of, cents
 
 KEY = "leaflet"
 #: Manifests number a product by its id from here on; one product has the number of another, so that neither is found by it.
@@ -113,3 +113,26 @@ def fj7(v: Views) -> DataFrame:
     """Fields that are spread over the objects of a hotspot, put together."""
     found = jsontree.gathered(_objects(v), KEY)
     return found.groupBy(KEY).agg(F.count("*").alias("spots"), F.count("name").alias("named"), F.round(F.sum("price"), 2).alias("total"), F.round(F.sum("regular_price"), 2).alias("regular"))
+
+
+def flyer(v: Views) -> DataFrame:
+    """A flyer a store and day: a page of links, to products of stores, of the shop and to none of the catalogue; and a page a text, of offers or of what is sold online."""
+    p, price = F.col("product_id"), F.col("price").cast("string")
+    number = ((p + FIRST_NUMBER) * 100000 + F.round(F.col("price") * 100)).cast("long").cast("string")
+    details = F.concat(F.lit('{"url":"/x","productDetails":{"productId":"'), number, F.lit('","title":'), _json(F.col("product_name")), F.lit("}}"))
+    local = F.concat(F.lit('{"productId":"'), number, F.lit('","packageSize":"'), F.col("grams") * 10, F.lit(' g","storeOnly":true,"price":'), price, F.lit("}"))
+    shop = F.concat(F.lit('{"productId":'), number, F.lit(',"title":'), _json(F.col("product_name")), F.lit(',"oldPrice":'), F.format_string("%.2f", F.col("price") + 1), F.lit(',"price":{"value":"'), price, F.lit('"}}'))
+    shown = F.concat_ws("\n", F.concat("product_name", F.lit(" in der Filiale")), F.concat(F.lit("je "), F.col("grams") * 10, F.lit(" g, KW 25")), F.concat(F.regexp_replace(F.format_string("%.2f", F.col("price")), r"\.", ","), F.lit(" €")))
+    told = F.to_json(F.struct(shown.alias("altText"), F.when(p % 5 == 4, "Nur online").alias("badge"), F.lit("https://x.de/nur online").alias("image")))
+    rows = _listed(_cards(v), links=F.when(p % 5 < 3, details), goods=F.when(p % 5 == 0, local).when(p % 5 == 1, shop), told=F.when(p % 5 > 2, told))
+    return rows.select(KEY, F.concat(F.lit('{"data":{"flyer":{"pages":[{"links":'), "links", F.lit("}"), F.regexp_replace(F.regexp_replace("told", r"^\[(?=.)(?!\])", ","), r"^\[\]$|\]$", ""), F.lit('],"products":'), "goods", F.lit("}}}")).alias("doc"))
+
+
+@query("g10_flyer_offers", _K + """, n AS (SELECT *, row_number() OVER (PARTITION BY store_id, valid_from ORDER BY product_id, price) + 1 AS place FROM k WHERE product_id % 5 > 2),
+ o AS (SELECT store_id || '/' || valid_from AS leaflet, 1 AS page, 'link' AS kind, 'link' AS title_from, product_name || ' ' || grams * 10 || ' g' AS name, price, NULL::DOUBLE AS regular_price, (grams * 10)::DOUBLE AS quantity, true AS local FROM k WHERE product_id % 5 = 0
+  UNION ALL SELECT store_id || '/' || valid_from, 1, 'link', 'catalogue', product_name, price, round(price + 1, 2), NULL, false FROM k WHERE product_id % 5 = 1
+  UNION ALL SELECT store_id || '/' || valid_from, place, 'text', '', product_name || ' in der Filiale', price, NULL, (grams * 10)::DOUBLE, true FROM n WHERE product_id % 5 = 3)
+ SELECT DISTINCT leaflet, page, kind, title_from, name, price, regular_price, quantity, local FROM o""")
+def g10(v: Views) -> DataFrame:
+    found = flyers.flyer_offers(flyer(v), KEY, "doc", as_of())
+    return found.select(F.col("flyer_key").alias(KEY), "page", "kind", F.coalesce("title_from", F.lit("")).alias("title_from"), "name", "price", F.round("regular_price", 2).alias("regular_price"), "quantity", "local")
