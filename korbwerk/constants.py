@@ -357,3 +357,19 @@ LOCAL_FIELDS, LOCAL_VALUES = ("channel", "salesChannel", "availability", "offerT
 NOT_LOCAL = ("nur online", "online only", "onlineshop")
 SHOP_ADDRESSES = ("url", "href", "canonicalUrl", "canonicalURL", "productUrl", "deeplink")
 SHOP_PATH, SHOP_QUERY, SHOP_HOST = r"(?:^|/)p(?:/|-)[^/?#]+(?:/p)?\d{6,}(?:$|[/?#])", r"(?:^|[?&])flyx_content=p-\d{6,}(?:$|&)", "lidl.de"
+
+# Families of favourites, the first that fits, and the units left out of their names.
+FAVOURITE_UNITS = r"\b\d+(?:[.,]\d+)?\s*(?:g|kg|ml|l|liter|stk|stück|rollen|wl)\b"
+FAVOURITE_FAMILIES = {
+    "cola": (r"\bcola\b", r"\bkola\b", r"\bcoca cola\b", r"\bpepsi\b", r"\bfreeway\b.*\bcola\b", r"\briver\b.*\bcola\b"),
+    "orange-lemonade": (r"\borangenlimonade\b", r"\borange limonade\b", r"\bfanta orange\b", r"\borangina\b"),
+    "lemon-lime": (r"\bzitrone limette\b", r"\blemon lime\b", r"\bsprite\b", r"\b7up\b", r"\b7 up\b"),
+    "mineral-water": (r"\bmineralwasser\b", r"\btafelwasser\b"),
+    "butter": (r"\bbutter\b", r"\bkaergarden\b", r"\bkærgarden\b"),
+    "coffee": (r"\bkaffee\b", r"\bcaffe crema\b", r"\bcaffè crema\b", r"\bfilterkaffee\b"),
+    "yogurt": (r"\bjoghurt\b", r"\byoghurt\b"),
+    "milk": (r"\bvollmilch\b", r"\bmilch\b"),
+    "potato-chips": (r"\bchips\b", r"\briffels\b", r"\bpom bär\b", r"\bpombär\b"),
+    "laundry-detergent": (r"\bwaschmittel\b", r"\bvollwaschmittel\b", r"\bcolorwaschmittel\b"),
+    "toilet-paper": (r"\btoilettenpapier\b", r"\bklopapier\b"),
+}
