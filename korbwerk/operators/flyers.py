@@ -44,7 +44,8 @@ def _is_object(value: Column) -> Column:
 def _text(value: Column) -> Column:
     """A scalar, or the first scalar that wraps an object's value, trimmed; null for none and for empty ones."""
     plain = lambda v: F.when(~F.to_json(v).rlike(r"^[\[{]"), v.try_cast("string"))
-    return F.nullif(F.trim(F.coalesce(plain(value), *[plain(_at(_entries(value), w)) for w in K.JSON_WRAPPERS])), F.lit(""))
+    read = lambda v: F.nullif(F.trim(F.coalesce(plain(v), *[plain(_at(_entries(v), w)) for w in K.JSON_WRAPPERS])), F.lit(""))
+    return names.bound(value, read)
 
 
 def _first_price(fields: Column, keys: Sequence[str]) -> Column:
