@@ -68,8 +68,8 @@ def stores_in_radius(places: DataFrame, stores: DataFrame, key: str) -> DataFram
 
 
 def rate(part: Column, whole: Column, digits: int = 1, empty: float = 0.0) -> Column:
-    """A percentage; `empty` where there is nothing to divide by."""
-    x = F.floor(part / F.nullif(whole.cast("double"), F.lit(0.0)) * 100 * 10**digits + 0.5) / float(10**digits)
+    """A percentage; `empty` where there is nothing to divide by. One factor scales it: a second product would round halves apart."""
+    x = F.floor(part / F.nullif(whole.cast("double"), F.lit(0.0)) * float(100 * 10**digits) + 0.5) / float(10**digits)
     return F.coalesce(x, F.lit(empty))
 
 

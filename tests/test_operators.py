@@ -222,3 +222,11 @@ def test_stream_takes_each_offer_once(spark, tmp_path):
     seen = []
     ingest.import_stream(spark, str(tmp_path / "in"), "fingerprint string, collected_at timestamp", lambda b, _: seen.extend(r.fingerprint for r in b.collect()), str(tmp_path / "cp")).awaitTermination(60)
     assert sorted(seen) == ["a", "b"]
+
+
+def test_rates_round_halves_by_one_product(spark):
+    """23/80 and 153/480 end in a half, which 100 * 10 and 100 * 100 in turn would round down or up otherwise."""
+    rows = spark.createDataFrame([(23, 80), (153, 480), (1, 16)], "part long, whole long")
+    got = rows.select(relational.rate(F.col("part"), F.col("whole")).alias("a"), relational.rate(F.col("part"), F.col("whole"), 2).alias("b")).collect()
+    want = [(np.floor(p / w * 1000 + 0.5) / 10.0, np.floor(p / w * 10000 + 0.5) / 100.0) for p, w in ((23, 80), (153, 480), (1, 16))]
+    assert [tuple(r) for r in got] == want
