@@ -105,7 +105,8 @@ def strict_pages(offers: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFr
 def card_cells(tags: DataFrame, width: float, height: float) -> DataFrame:
     """(page_key, tag_id, left, top, right, bottom): each price tag's card, cut half-way to the neighbours in its row and column.
 
-    Neighbours meet by bands of rows and of columns, not by all pairs of a page. Tags with null coordinates are left out.
+    Neighbours meet by bands of rows and of columns, not by all pairs of a page. Tags with null coordinates are left out. Tags of one id are no
+    neighbours of each other, but each has its own.
     """
     box = ["x0", "y0", "x1", "y1"]
     t = tags.select("page_key", "tag_id", *[F.col(c).cast("double").alias(c) for c in box]).dropna(subset=["page_key", *box])
@@ -117,10 +118,10 @@ def card_cells(tags: DataFrame, width: float, height: float) -> DataFrame:
         near = t.select("page_key", F.col("tag_id").alias("other_id"), F.col(along).alias("o"), F.col(across).alias("oa"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
         met = t.withColumn("band", band).join(near, ["page_key", "band"]).where((F.col("tag_id") != F.col("other_id")) & (F.abs(F.col("oa") - F.col(across)) <= reach))
         middle = (F.col(along) + F.col("o")) / 2
-        return met.groupBy("page_key", "tag_id").agg(F.max(F.when(F.col("o") < F.col(along), middle)).alias(low), F.min(F.when(F.col("o") >= F.col(along), middle)).alias(high))
+        return met.groupBy("page_key", "tag_id", *box).agg(F.max(F.when(F.col("o") < F.col(along), middle)).alias(low), F.min(F.when(F.col("o") >= F.col(along), middle)).alias(high))
 
     c = F.col
-    t = t.join(limits("cx", "cy", ROW, "l", "r"), ["page_key", "tag_id"], "left").join(limits("cy", "cx", COLUMN, "t", "b"), ["page_key", "tag_id"], "left")
+    t = t.join(limits("cx", "cy", ROW, "l", "r"), ["page_key", "tag_id", *box], "left").join(limits("cy", "cx", COLUMN, "t", "b"), ["page_key", "tag_id", *box], "left")
     w, h = F.lit(float(width)), F.lit(float(height))
     t = t.withColumns({"l": F.greatest(F.lit(0.0), "l"), "r": F.least(w, "r"), "t": F.greatest(F.lit(0.0), "t"), "b": F.least(h, "b")})
     wide, high = c("r") - c("l") > F.least(w, F.lit(WIDEST)), c("b") - c("t") > F.least(h, F.lit(HIGHEST))

@@ -87,3 +87,12 @@ def test_bad_pages_are_replaced(spark):
     assert sums == {1: (6, 6, 1, 2), 2: (8, 8, 1, 0), 3: (6, 6, 2, 0), 4: (5, 2, 3, 0), 5: (0, 0, 1, 0), 6: (4, 4, 1, 0)}
     none = spark.createDataFrame([], OFFER)
     assert [x.collect() for x in rebuild.strict_pages(none, spark.createDataFrame([], CARD))] == [[], []]
+
+
+def test_cards_of_tags_with_one_id(spark):
+    """Two tags of one id far apart keep their own neighbours."""
+    rows = [(1, 7, 100.0, 100.0, 160.0, 130.0), (1, 7, 700.0, 900.0, 760.0, 930.0), (1, 8, 300.0, 100.0, 360.0, 130.0), (1, 9, 500.0, 900.0, 560.0, 930.0)]
+    df = spark.createDataFrame(rows, "page_key long, tag_id long, x0 double, y0 double, x1 double, y1 double")
+    got = sorted(tuple(r) for r in rebuild.card_cells(df, 1000, 1300).collect())
+    alone = sorted(tuple(r) for one in (0, 1) for r in rebuild.card_cells(df.where(F.col("tag_id") != 7).union(spark.createDataFrame([rows[one]], df.schema)), 1000, 1300).where("tag_id = 7").collect())
+    assert [r for r in got if r[1] == 7] == alone and len(got) == 4
