@@ -230,3 +230,24 @@ def test_rates_round_halves_by_one_product(spark):
     got = rows.select(relational.rate(F.col("part"), F.col("whole")).alias("a"), relational.rate(F.col("part"), F.col("whole"), 2).alias("b")).collect()
     want = [(np.floor(p / w * 1000 + 0.5) / 10.0, np.floor(p / w * 10000 + 0.5) / 100.0) for p, w in ((23, 80), (153, 480), (1, 16))]
     assert [tuple(r) for r in got] == want
+
+
+def test_rows_at_one_position_are_pairs_of_their_own(spark):
+    """Thirty users and twenty stores at three positions, one of them without coordinates; distances are rounded where positions meet."""
+    spots = [(50.0, 7.0), (50.1, 7.1), (None, 7.0)]
+    users = spark.createDataFrame([(i, *spots[i % 3], 1.0 if i % 2 else 20.0) for i in range(30)], "user_id long, lat double, lon double, radius_km double")
+    stores = spark.createDataFrame([(i, *spots[i % 3], i % 5 != 0) for i in range(20)], "store_id long, lat double, lon double, active boolean")
+    got = relational.stores_in_radius(users, stores, "user_id", digits=3).collect()
+    half = np.radians(0.05)
+    apart = round(float(2 * 6371.0088 * np.arcsin(np.sqrt(np.sin(half) ** 2 * (1 + np.cos(np.radians(50.0)) * np.cos(np.radians(50.1)))))), 3)
+    want = {(u, s) for u in range(30) for s in range(20) if u % 3 < 2 and s % 3 < 2 and s % 5 and (u % 3 == s % 3 or u % 2 == 0)}
+    assert len(got) == len(want) and {(r.user_id, r.store_id) for r in got} == want and {r.km for r in got} == {0.0, apart}
+    asked = spark.createDataFrame([(u, s) for u in range(31) for s in range(0, 21, 2)] * 2, "user_id long, store_id long")
+    near = [tuple(r) for r in relational.pairs_in_radius(asked, users, stores).collect()]
+    assert sorted(near) == sorted(p for p in want if p[1] % 2 == 0)
+
+
+def test_once_each_keeps_nulls_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, None, None), (3, "a", "b"), (4, "a", None), (4, "a", None)], "id int, x string, y string")
+    got = relational.once_each(rows, ["x", "y"], z=F.concat_ws("-", F.coalesce("x", F.lit("0")), "y"))
+    assert sorted(map(str, map(tuple, got.collect()))) == ["(1, 'a', None, 'a')", "(2, None, None, '0')", "(3, 'a', 'b', 'a-b')", "(4, 'a', None, 'a')", "(4, 'a', None, 'a')"]
