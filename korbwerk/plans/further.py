@@ -80,8 +80,7 @@ _KM = "(2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin((radians(s.lat) - radians(u.la
 @query("u10_selected_and_near", f" SELECT user_id, store_id FROM favourites INTERSECT SELECT u.user_id, s.store_id FROM users u JOIN stores s ON s.lat IS NOT NULL WHERE s.active AND s.verified AND {_KM} <= u.radius_km")
 def u10(v: Views) -> DataFrame:
     """Favourite stores that are released and within the radius."""
-    near = R.stores_in_radius(v.users, v.stores.where("verified"), "user_id")
-    return v.favourites.intersect(near.select("user_id", "store_id"))
+    return R.pairs_in_radius(v.favourites, v.users, v.stores.where("verified"))
 
 
 _REVIEWS = ", old AS (SELECT l_orderkey AS id, l_linenumber % 2 = 0 AS quick, max(l_returnflag) AS verdict FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 2 = 0) = 1), new AS (SELECT o_orderkey AS id, o_orderstatus AS verdict FROM orders WHERE o_custkey % 3 <> 0)"
