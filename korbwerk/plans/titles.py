@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from korbwerk.functions import dates, names
+from korbwerk.operators import relational as R
 from korbwerk.operators import titles
 from korbwerk.plans.registry import query
 from korbwerk.plans.views import Views, as_of
@@ -93,7 +94,8 @@ def fd6(v: Views) -> DataFrame:
     ]
     page = F.element_at(F.array(*wordings), (p % 9 + 1).cast("int"))
     document = F.when(F.col("store_id") % 2 == 1, wordings[0])
-    found = rows.select("store_id", "product_id", "valid_from", dates.page_validity(page, document, as_of()).alias("v"))
+    said = rows.select("store_id", "product_id", "valid_from", page.alias("page"), document.alias("document"))
+    found = R.once_each(said, ["page", "document"], v=dates.page_validity(F.col("page"), F.col("document"), as_of()))
     return found.select("store_id", "product_id", "valid_from", F.col("v.from").alias("starts"), F.col("v.to").alias("ends"))
 
 
