@@ -390,9 +390,13 @@ def u4(v: Views) -> DataFrame:
 
 @query("u7_prefix_names", " SELECT a.product_id FROM products a WHERE EXISTS (SELECT 1 FROM products b WHERE b.brand = a.brand AND b.product_id < a.product_id AND (b.product_name = a.product_name OR (starts_with(a.product_name, b.product_name) AND length(a.product_name) <= length(b.product_name) + 24)))")
 def u7(v: Views) -> DataFrame:
-    a, b = v.products.alias("a"), v.products.alias("b")
-    near = F.startswith("a.product_name", "b.product_name") & (F.length("a.product_name") <= F.length("b.product_name") + 24)
-    return a.join(b, (F.col("a.brand") == F.col("b.brand")) & (F.col("b.product_id") < F.col("a.product_id")) & near, "left_semi").select("a.product_id")
+    """Each different name meets the names of its brand that are among its last 25 beginnings; of these the first product counts."""
+    names = v.products.dropna(subset=["brand", "product_name"]).groupBy("brand", "product_name").agg(F.min("product_id").alias("first"))
+    n = F.length("product_name")
+    begins = F.transform(F.sequence(F.greatest(n - 24, F.lit(0)), n), lambda i: F.substr("product_name", F.lit(1), i))
+    prefixes = names.select("brand", F.col("product_name").alias("name"), F.explode(begins).alias("product_name"))
+    least = prefixes.join(names, ["brand", "product_name"]).groupBy("brand", F.col("name").alias("product_name")).agg(F.min("first").alias("first"))
+    return v.products.join(least, ["brand", "product_name"]).where(F.col("first") < F.col("product_id")).select("product_id")
 
 
 @query("u8_brand_evidence", " SELECT brand FROM products WHERE grams > 40 UNION SELECT brand FROM products JOIN media USING (product_id) WHERE is_primary UNION SELECT kind FROM products")

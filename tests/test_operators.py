@@ -251,3 +251,12 @@ def test_once_each_keeps_nulls_and_repeated_rows(spark):
     rows = spark.createDataFrame([(1, "a", None), (2, None, None), (3, "a", "b"), (4, "a", None), (4, "a", None)], "id int, x string, y string")
     got = relational.once_each(rows, ["x", "y"], z=F.concat_ws("-", F.coalesce("x", F.lit("0")), "y"))
     assert sorted(map(str, map(tuple, got.collect()))) == ["(1, 'a', None, 'a')", "(2, None, None, '0')", "(3, 'a', 'b', 'a-b')", "(4, 'a', None, 'a')", "(4, 'a', None, 'a')"]
+
+
+def test_prefix_names_form_no_pairs_of_a_brand(spark, sf_dir):
+    """Products of a brand meet by beginnings of their names, so the join has the name among its keys."""
+    from korbwerk.plans import catalog
+
+    plan = catalog.QUERIES["u7_prefix_names"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and all("product_name" in line for line in joins)
