@@ -126,7 +126,7 @@ def assign_prices(boxes: DataFrame, accept: float = ACCEPT_COST) -> DataFrame:
         d = b[None, :, :] - a[:, None, :]
         cost = np.hypot(d[..., 0], d[..., 1]) * np.where(d[..., 1] < 0, 2.0, 1.0)
         pairs = [(r, c) for r, c in cheapest_pairs(cost) if cost[r, c] <= accept]
-        return {"label_id": [labels[r] for r, _ in pairs], "price_id": [prices[c] for _, c in pairs], "cost": [float(round(cost[r, c], 6)) for r, c in pairs]}
+        return {"label_id": [labels[r] for r, _ in pairs], "price_id": [prices[c] for _, c in pairs], "cost": [float(cost[r, c]) for r, c in pairs]}
 
     return _by_page(_bounded(boxes), solve, "label_id long, price_id long, cost double")
 

@@ -260,3 +260,10 @@ def test_prefix_names_form_no_pairs_of_a_brand(spark, sf_dir):
     plan = catalog.QUERIES["u7_prefix_names"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join " in line]
     assert joins and all("product_name" in line for line in joins)
+
+
+def test_costs_of_an_assignment_are_not_rounded(spark):
+    """Sums of costs are rounded by who sums them, so each cost is whole."""
+    rows = [(1, kind, i, x, 100.0 * i, x, 100.0 * i) for i in range(3) for kind, x in (("label", 0.0), ("price", 1.0 / 3 + i))]
+    found = matching.assign_prices(spark.createDataFrame(rows, "page_key long, kind string, box_id long, x0 double, y0 double, x1 double, y1 double")).collect()
+    assert sorted(r.cost for r in found) == [1.0 / 3, 1.0 / 3 + 1, 1.0 / 3 + 2]
