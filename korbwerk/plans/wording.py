@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from korbwerk import constants as K
 from korbwerk.functions import dates, names, price
+from korbwerk.operators import relational as R
 from korbwerk.plans.registry import query
 from korbwerk.plans.views import AS_OF, Views, as_of
 
@@ -28,7 +29,7 @@ def known(name: str, cases: Sequence[tuple[str, object]], read: Callable[[Column
     @query(name, f" SELECT product_id, replace((ARRAY[{', '.join(_text(a) for _, a in cases)}])[product_id % {n} + 1], '{{}}', product_name)::{kind} AS {out} FROM products")
     def run(v: Views) -> DataFrame:
         wording = F.replace(F.element_at(F.array(*[F.lit(w) for w, _ in cases]), (F.col("product_id") % n + 1).cast("int")), F.lit("{}"), F.col("product_name"))
-        return v.products.select("product_id", read(wording).alias(out))
+        return R.once_each(v.products.select("product_id", wording.alias("wording")), ["wording"], **{out: read(F.col("wording"))}).select("product_id", out)
 
 
 known(

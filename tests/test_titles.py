@@ -3,6 +3,7 @@
 import random
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from korbwerk.functions import dates, names
@@ -113,3 +114,14 @@ def test_leaflet_validity(spark):
     rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", dates.leaflet_validity(F.col("t"), ref).alias("v"), dates.page_validity(F.col("t"), F.lit("KW 1"), ref).alias("w")).collect()
     assert {r.t: tuple(r.v) if r.v else None for r in rows} == cases
     assert {r.t: tuple(r.w) for r in rows} == {t: v or (date(2025, 12, 29), date(2026, 1, 3)) for t, v in cases.items()}
+
+
+@pytest.mark.parametrize("name", ["fd5_inferred_validity", "fs7_title"])
+def test_wordings_are_read_once_each(spark, sf_dir, name):
+    """The rules work on different wordings below a join, not on each product's row."""
+    from korbwerk.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    rules = [i for i, line in enumerate(plan) if "Project [" in line and "regexp_extract" in line or "Aggregate" in line and "regexp_extract" in line]
+    joins = [i for i, line in enumerate(plan) if "Join " in line]
+    assert joins and all(i > joins[0] for i in rules) and any("Aggregate" in line for line in plan)
