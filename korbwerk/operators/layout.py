@@ -20,7 +20,7 @@ from korbwerk import constants as K
 from korbwerk.functions import names
 from korbwerk.functions import price as P
 from korbwerk.functions.geo import gap
-from korbwerk.operators.matching import ACCEPT_COST, cheapest_pairs
+from korbwerk.operators.matching import ACCEPT_COST, cheapest_pairs, each_page
 
 BOX = ["x0", "y0", "x1", "y1"]
 #: A word joins one of the last LINES lines whose mean centre is within 0.55 of its height, at least 10 and at most 20.
@@ -114,33 +114,47 @@ def price_anchors(blocks: DataFrame) -> DataFrame:
     return found.select("page_key", "block_id", "partner_id", *box, "price", F.col("regular").alias("regular_price"), F.coalesce("b_price", "app").alias("app_price"))
 
 
-def _merged_tags(page: pa.Table) -> pa.Table:
-    """Price tags of one label, which lie over each other, put together one after another."""
-    rows = page.sort_by("tag_id").to_pydict()
-    boxes, prices, ids = np.empty((len(rows["tag_id"]), 4)), [], []
-    for i, price, *b in zip(rows["tag_id"], rows["price"], *(rows[c] for c in BOX), strict=True):
-        g = boxes[: len(ids)]
-        over = np.maximum(np.minimum(g[:, 2], b[2]) - np.maximum(g[:, 0], b[0]), 0) * np.maximum(np.minimum(g[:, 3], b[3]) - np.maximum(g[:, 1], b[1]), 0)
-        share = over / np.minimum(np.maximum((g[:, 2] - g[:, 0]) * (g[:, 3] - g[:, 1]), 1), max((b[2] - b[0]) * (b[3] - b[1]), 1))
-        close = (np.abs(g[:, 0] + g[:, 2] - b[0] - b[2]) / 2 < K.SAME_LABEL_X) & (np.abs(g[:, 1] + g[:, 3] - b[1] - b[3]) / 2 < K.SAME_LABEL_Y)
-        hit = np.flatnonzero((share >= K.SAME_LABEL_SHARE) | ((share > 0) & close))
-        if len(hit):
-            k = int(hit[0])
-            boxes[k] = min(g[k, 0], b[0]), min(g[k, 1], b[1]), max(g[k, 2], b[2]), max(g[k, 3], b[3])
-            if price not in prices[k]:
-                prices[k].append(price)
-        else:
-            boxes[len(ids)] = b
-            ids.append(i)
-            prices.append([price])
-    n = len(ids)
-    return pa.table({"page_key": pa.array([rows["page_key"][0]] * n, pa.int64()), "tag_id": pa.array(ids, pa.int64()), "prices": pa.array(prices, pa.list_(pa.float64()))} | {c: pa.array(boxes[:n, k]) for k, c in enumerate(BOX)})
+def _merged_tags(rows: list[tuple]) -> list[tuple]:
+    """Price tags (tag_id, price, box) of one label, which lie over each other, put together one after another."""
+    groups: list[list] = []  # [id of the first tag, prices, box]
+    for i, price, *b in sorted(rows, key=lambda r: r[0]):
+        area = max((b[2] - b[0]) * (b[3] - b[1]), 1)
+
+        def same(g: list[float], b: list[float] = b, area: float = area) -> bool:
+            over = max(min(g[2], b[2]) - max(g[0], b[0]), 0) * max(min(g[3], b[3]) - max(g[1], b[1]), 0)
+            share = over / min(max((g[2] - g[0]) * (g[3] - g[1]), 1), area)
+            close = abs(g[0] + g[2] - b[0] - b[2]) / 2 < K.SAME_LABEL_X and abs(g[1] + g[3] - b[1] - b[3]) / 2 < K.SAME_LABEL_Y
+            return share >= K.SAME_LABEL_SHARE or (share > 0 and close)
+
+        hit = next((g for g in groups if same(g[2])), None)
+        if hit is None:
+            groups.append([i, [price], b])
+            continue
+        g = hit[2]
+        hit[2] = [min(g[0], b[0]), min(g[1], b[1]), max(g[2], b[2]), max(g[3], b[3])]
+        if price not in hit[1]:
+            hit[1].append(price)
+    return [(i, prices, *box) for i, prices, box in groups]
+
+
+_LABEL = {"tag_id": ("bigint", pa.int64()), "prices": ("array<double>", pa.list_(pa.float64()))} | dict.fromkeys(BOX, ("double", pa.float64()))
+_CHOSEN = {"block_id": ("bigint", pa.int64()), "tag_id": ("bigint", pa.int64()), "cost": ("double", pa.float64())}
+
+
+def _label_pages(tags: DataFrame) -> DataFrame:
+    """(page_key, labels): a page's price labels in one row."""
+    tags = _boxed(tags, F.col("tag_id").cast("long").alias("tag_id"), F.col("price").cast("double").alias("price")).where("page_key IS NOT NULL AND price > 0")
+    return each_page(tags, ["tag_id", "price", *BOX], _merged_tags, _LABEL).withColumnRenamed("found", "labels")
+
+
+def _rows_of(array: str) -> Column:
+    """A generator of an array's structs. The array is read whole, so that all that read it share its shuffle."""
+    return F.inline(F.transform(array, lambda x: x))
 
 
 def tag_groups(tags: DataFrame) -> DataFrame:
     """tags (page_key, tag_id, x0, y0, x1, y1, price) -> one row a price label: the id of its first tag, its box and prices."""
-    tags = _boxed(tags, F.col("tag_id").cast("long").alias("tag_id"), F.col("price").cast("double").alias("price")).where("page_key IS NOT NULL AND price > 0")
-    return tags.groupBy("page_key").applyInArrow(_merged_tags, "page_key long, tag_id long, prices array<double>, x0 double, y0 double, x1 double, y1 double")
+    return _label_pages(tags).select("page_key", _rows_of("labels"))
 
 
 def _overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -164,25 +178,28 @@ def assignment_cost(retailer: Column) -> Column:
     return far + shift * 0.20 + layout + F.coalesce(economy, F.lit(0.0)) - when(across > 0.15, 30.0) - when(down > 0, 20.0)
 
 
-def _cheapest(page: pa.Table) -> pa.Table:
-    rows = page.to_pydict()
-    ds, gs = sorted(set(rows["block_id"])), sorted(set(rows["tag_id"]))
+def _cheapest(rows: list[tuple]) -> list[tuple]:
+    """The pairs (block_id, tag_id, cost) of a page that cost least together."""
+    ds, gs = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    if len(ds) == len(gs) == 1:
+        return [r for r in rows[-1:] if r[2] <= ACCEPT_COST]
     at_d, at_g = {d: i for i, d in enumerate(ds)}, {g: i for i, g in enumerate(gs)}
     cost = np.zeros((len(ds), len(gs)))
-    cost[[at_d[d] for d in rows["block_id"]], [at_g[g] for g in rows["tag_id"]]] = rows["cost"]
-    pairs = [(ds[r], gs[c], float(cost[r, c])) for r, c in cheapest_pairs(cost) if cost[r, c] <= ACCEPT_COST]
-    cols = list(zip(*pairs, strict=True)) or [(), (), ()]
-    return pa.table({"page_key": pa.array([rows["page_key"][0]] * len(pairs), pa.int64()), "block_id": pa.array(cols[0], pa.int64()), "tag_id": pa.array(cols[1], pa.int64()), "cost": pa.array(cols[2], pa.float64())})
+    for d, g, c in rows:
+        cost[at_d[d], at_g[g]] = c
+    return [(ds[r], gs[c], float(cost[r, c])) for r, c in cheapest_pairs(cost) if cost[r, c] <= ACCEPT_COST]
 
 
 def described(blocks: DataFrame) -> DataFrame:
-    """Blocks with what they say: name (null if it can't be a product's), package, unit price, and the price that both give."""
+    """Blocks with what they say: name (null if it can't be a product's), package, unit price, and the price that both give. Each different text is read once."""
+    texts = blocks.select("text").distinct()
     said = [names.title_of(F.col("text")).alias("line"), P.size(F.col("text")).alias("s"), P.stated_unit_price(F.col("text")).alias("u")]
-    rows = _once(_once(blocks, said), [names.offer_name(F.col("line")).alias("title")])
+    rows = _once(_once(texts, said), [names.offer_name(F.col("line")).alias("title")])
     fit = names.plausible_word(F.col("title")) & names.name_issue(F.col("title")).isNull()
     pack = [F.col("s.quantity").alias("quantity"), F.col("s.unit").alias("unit"), F.col("u.price").alias("unit_price"), F.col("u.unit").alias("unit_price_unit")]
     expected = P.expected_price(F.col("s.quantity"), F.col("s.unit"), F.col("u.price"))
-    return _once(rows, [F.when(fit, F.col("title")).alias("name"), *pack, expected.alias("expected")]).drop("line", "title", "s", "u")
+    rows = rows.select("text", F.array(F.struct(F.when(fit, F.col("title")).alias("name"), *pack, expected.alias("expected"))).alias("said"))
+    return blocks.join(rows, "text").select(*blocks.columns, _rows_of("said"))
 
 
 def _once(df: DataFrame, columns: list[Column]) -> DataFrame:
@@ -219,18 +236,22 @@ def page_offers(blocks: DataFrame, tags: DataFrame) -> DataFrame:
     A price far from what package and unit price give is replaced by the page's price that is near to that. Offers of too low a quality are left out.
     """
     blocks = described(_boxed(blocks, F.col("block_id").cast("long").alias("block_id"), F.coalesce("text", F.lit("")).alias("text"), "retailer").where("page_key IS NOT NULL"))
-    groups = tag_groups(tags)
+    pages = _label_pages(tags)
     no = reduce(lambda a, b: a | b, [F.contains(F.lower("name"), F.lit(w)) for w in K.NO_DESCRIPTIONS])
     descriptions = blocks.where(F.col("name").isNotNull() & ~no & (F.col("quantity").isNotNull() | F.col("unit_price").isNotNull()))
-    pairs = _renamed(descriptions, "d_", ("page_key", "retailer")).join(_renamed(groups, "g_"), "page_key")
+    met = _renamed(descriptions, "d_", ("page_key", "retailer")).join(pages, "page_key")
+    pairs = met.select("page_key", "retailer", *[c for c in met.columns if c.startswith("d_")], _rows_of("labels").alias(*["g_" + c for c in _LABEL]))
     costs = pairs.select("page_key", F.col("d_block_id").alias("block_id"), F.col("g_tag_id").alias("tag_id"), assignment_cost(F.col("retailer")).alias("cost"))
-    chosen = costs.groupBy("page_key").applyInArrow(_cheapest, "page_key long, block_id long, tag_id long, cost double")
-    first = chosen.join(blocks.select("page_key", "block_id", "text"), ["page_key", "block_id"]).select("page_key", "tag_id", "block_id", "text", "cost")
-    page = groups.groupBy("page_key").agg(F.count("*").alias("labels"), F.flatten(F.collect_list("prices")).alias("page_prices"))
-    left = groups.join(chosen, ["page_key", "tag_id"], "left_anti").join(page, "page_key").withColumn("alone", F.col("labels") == 1).drop("labels", "page_prices", "prices")
-    rows = first.unionByName(_fallback(left, blocks).withColumn("cost", F.lit(None).cast("double")))
-    rows = described(rows).join(groups.select("page_key", "tag_id", "prices"), ["page_key", "tag_id"]).join(page.select("page_key", "page_prices"), "page_key")
-    return _priced(rows)
+    chosen = each_page(costs, list(_CHOSEN), _cheapest, _CHOSEN).withColumnRenamed("found", "chosen")
+    labels = pages.join(chosen, "page_key", "left").withColumn("page_prices", F.flatten("labels.prices"))
+    labels = labels.select("page_key", "chosen", "page_prices", (F.size("labels") == 1).alias("alone"), _rows_of("labels"))
+    own = F.get(F.filter("chosen", lambda c: c["tag_id"] == F.col("tag_id")), F.lit(0))
+    labels = _once(labels, [own["block_id"].alias("block_id"), own["cost"].alias("cost")]).drop("chosen")
+    prices = ["prices", "page_prices"]
+    first = labels.where("block_id IS NOT NULL").select("page_key", "tag_id", "block_id", *prices, "cost").join(blocks.select("page_key", "block_id", "text"), ["page_key", "block_id"])
+    left = labels.where("block_id IS NULL").drop("block_id", "cost")
+    second = _fallback(left.drop(*prices), blocks).join(left.select("page_key", "tag_id", *prices), ["page_key", "tag_id"]).withColumn("cost", F.lit(None).cast("double"))
+    return _priced(described(first.unionByName(second)))
 
 
 def _priced(rows: DataFrame) -> DataFrame:

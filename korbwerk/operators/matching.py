@@ -7,7 +7,7 @@ all pairs are held, one with more than MOST_BOXES boxes is an error, so nothing
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -118,6 +118,27 @@ def _by_page(boxes: DataFrame, solve: Callable[[pa.Table], dict[str, Sequence]],
     return placed.groupBy("page_key").applyInArrow(solved, f"page_key long, {schema}")
 
 
+def each_page(rows: DataFrame, columns: Sequence[str], solve: Callable[[list[tuple]], list[tuple]], found: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """(page_key, found): what `solve` says of each page's rows, one array a page, of structs with the fields `found`.
+
+    Pages are arrays, many to a batch, as most hold a few boxes and a call of its own costs more than solving one.
+    """
+    kind = pa.list_(pa.struct([(n, t) for n, (_, t) in found.items()]))
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            values = [c.to_pylist() for c in lists.flatten().flatten()]
+            out, start = [], 0
+            for n in pc.list_value_length(lists).to_pylist():
+                out.append([dict(zip(found, r, strict=True)) for r in solve(list(zip(*[v[start : start + n] for v in values], strict=True)))])
+                start += n
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["page_key", "found"])
+
+    packed = rows.groupBy(F.col("page_key").cast("long").alias("page_key")).agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    return packed.mapInArrow(solved, f"page_key long, found array<struct<{','.join(f'{n}:{t}' for n, (t, _) in found.items())}>>")
+
+
 def assign_prices(boxes: DataFrame, accept: float = ACCEPT_COST) -> DataFrame:
     """boxes (page_key, kind: label or price, box_id, x0, y0, x1, y1) -> (page_key, label_id, price_id, cost): least total distance per page, prices above their label cost double, pairs beyond `accept` are left out."""
 
@@ -149,26 +170,23 @@ def match_anchors(boxes: DataFrame, reach: float = LINK_DISTANCE) -> DataFrame:
 def price_groups(boxes: DataFrame, apart: float = 24.0) -> DataFrame:
     """boxes -> (page_key, box_id, group_id): price boxes merged one after another into groups whose growing bounds they touch or come near."""
 
-    def solve(page: pa.Table) -> dict[str, Sequence]:
-        ids, corners, _ = _of(page, "price")
-        order = np.lexsort((ids, corners[:, 0], corners[:, 1]))
-        groups, named, out = np.empty((len(ids), 4)), [], []
-        for i in order:
-            x0, y0, x1, y1 = corners[i]
-            g = groups[: len(named)]
-            apart_by = np.maximum(np.maximum(g[:, 0] - x1, x0 - g[:, 2]), 0) + np.maximum(np.maximum(g[:, 1] - y1, y0 - g[:, 3]), 0)
-            hits = np.flatnonzero(apart_by <= apart)
-            if len(hits):
-                k = int(hits[0])
-                groups[k] = min(g[k, 0], x0), min(g[k, 1], y0), max(g[k, 2], x1), max(g[k, 3], y1)
-            else:
+    def solve(rows: list[tuple]) -> list[tuple]:
+        groups, named, out = [], [], []
+        for i, x0, y0, x1, y1 in sorted(rows, key=lambda r: (r[2], r[1], r[0])):
+            k = next((k for k, g in enumerate(groups) if max(g[0] - x1, x0 - g[2], 0.0) + max(g[1] - y1, y0 - g[3], 0.0) <= apart), None)
+            if k is None:
                 k = len(named)
-                groups[k] = corners[i]
-                named.append(ids[i])
-            out.append(named[k])
-        return {"box_id": ids[order], "group_id": out}
-
-    return _by_page(_bounded(boxes), solve, "box_id long, group_id long")
+                groups.append((x0, y0, x1, y1))
+                named.append(i)
+            else:
+                g = groups[k]
+                groups[k] = min(g[0], x0), min(g[1], y0), max(g[2], x1), max(g[3], y1)
+            out.append((i, named[k]))
+        return out
+
+    corners = ["x0", "y0", "x1", "y1"]
+    prices = _bounded(boxes).where("kind = 'price'").select("page_key", F.col("box_id").cast("long").alias("box_id"), *[F.col(c).cast("double").alias(c) for c in corners]).dropna(subset=corners)
+    return each_page(prices, ["box_id", *corners], solve, {"box_id": ("bigint", pa.int64()), "group_id": ("bigint", pa.int64())}).select("page_key", F.inline("found"))
 
 
 def gram_size(least: float, shortest: int) -> int:
