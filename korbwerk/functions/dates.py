@@ -10,11 +10,16 @@ from korbwerk.constants import LEAFLET_WEEKDAY, LONGEST_LEAFLET, MONTHS, VALIDIT
 RANGE = r"(\d{1,2})\.(\d{1,2})\.(\d{2,4})?\s*(?:bis|-|–)\s*(?:[A-Za-zÄÖÜäöü]+,?\s*)?(\d{1,2})\.(\d{1,2})\.?(\d{4})?"
 
 
+def _digits(text: Column) -> Column:
+    """A number of one to four digits; null for the empty text, which try_cast would only know by an exception a row."""
+    return F.nullif(text, F.lit("")).cast("int")
+
+
 def parse_date(text: Column) -> Column:
     """dd.MM.yyyy, yyyy-MM-dd or dd.MM.yy."""
     t = F.trim(text)
     day = lambda y, m, d: F.try_make_timestamp_ntz(y, m, d, F.lit(0), F.lit(0), F.lit(0.0)).cast("date")
-    part = lambda p, g: F.regexp_extract(t, p, g).try_cast("int")
+    part = lambda p, g: _digits(F.regexp_extract(t, p, g))
     de, iso = r"^(\d{1,2})\.(\d{1,2})\.(\d{4}|\d{2})$", r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
     year = part(de, 3)
     year = F.when(year < 69, year + 2000).when(year < 100, year + 1900).otherwise(year)
@@ -53,7 +58,7 @@ def week_label(day: Column) -> Column:
 def any_date(text: Column, ref: Column) -> Column:
     """A full date, or a day and month in the year that is nearest to `ref`."""
     short = r"^(\d{1,2})\.(\d{1,2})\.?$"
-    part = lambda g: F.regexp_extract(F.trim(text), short, g).try_cast("int")
+    part = lambda g: _digits(F.regexp_extract(F.trim(text), short, g))
     return F.coalesce(parse_date(text), nearest_year(part(1), part(2), ref))
 
 
@@ -82,7 +87,7 @@ def inferred_validity(text: Column, ref: Column) -> Column:
     wordings = F.array(*[F.struct(F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), part(p, 1).alias("a"), part(p, 2).alias("b")) for source, confidence, p in VALIDITY])
 
     def dated(w: Column) -> Column:
-        known = F.array(F.struct(any_date(w["a"], ref).alias("a"), any_date(w["b"], ref).alias("b"), calendar_week(w["a"].try_cast("int"), ref).alias("week")))
+        known = F.array(F.struct(any_date(w["a"], ref).alias("a"), any_date(w["b"], ref).alias("b"), calendar_week(F.when(w["a"].rlike(r"^[0-9]{1,2}$"), w["a"]).cast("int"), ref).alias("week")))
 
         def ends(d: Column) -> Column:
             is_ = lambda source: w["source"] == source
