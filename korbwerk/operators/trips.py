@@ -16,7 +16,6 @@ from korbwerk.functions.price import half_up
 
 #: Stores decided within one row before its sets become rows of their own, so that a row holds at most 2 ** STEP sets.
 STEP = 8
-KEY = ["user_id", "stores"]
 
 
 def _leg(a: Column, b: Column) -> Column:
@@ -55,13 +54,22 @@ def homes(found: DataFrame, users: DataFrame, stores: DataFrame) -> DataFrame:
     return goods.join(places, "user_id").join(users.select("user_id", F.struct("lat", "lon").alias("home")).dropDuplicates(["user_id"]), "user_id", "left")
 
 
-def priced(sets: DataFrame, found: DataFrame, at: DataFrame) -> DataFrame:
-    """Each set (user_id, stores) with goods, covered items, stores used, kilometres and total; sets that sell nothing give no row."""
-    bought = sets.join(found, "user_id").select(*KEY, "items", F.get(F.filter("options", lambda o: F.array_contains("stores", o["store_id"])), F.lit(0)).alias("o")).where("o IS NOT NULL")
-    goods = bought.groupBy(*KEY).agg(F.sum("o.cost").alias("goods"), F.sum("items").alias("covered"), F.sort_array(F.collect_set("o.store_id")).alias("used"))
+def priced(sets: DataFrame) -> DataFrame:
+    """Each set (user_id, stores, with its user's places, home and wanted) with goods, covered items, stores used, kilometres and total; sets that sell nothing give no row.
+
+    A set is priced within its row, so no set is shuffled for it.
+    """
+    cheapest = F.transform("wanted", lambda w: F.struct(F.get(F.filter(w["options"], lambda o: F.array_contains("stores", o["store_id"])), F.lit(0)).alias("o"), w["items"].alias("items")))
+    bought = F.filter(cheapest, lambda b: b["o"].isNotNull())
+
+    def summed(b: Column) -> Column:
+        goods = F.aggregate(b, F.lit(0.0), lambda acc, x: acc + x["o"]["cost"])
+        covered = F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + x["items"])
+        return F.struct(goods.alias("goods"), covered.alias("covered"), F.array_sort(F.array_distinct(F.transform(b, lambda x: x["o"]["store_id"]))).alias("used"))
+
+    goods = sets.select("user_id", "stores", "places", "home", F.inline(F.transform(F.array(bought), summed))).where(F.size("used") > 0)
     stops = F.filter("places", lambda p: F.array_contains("used", p["store_id"]) & p["lat"].isNotNull() & p["lon"].isNotNull())
-    way = F.coalesce(round_trip_km(F.col("home"), F.col("stops")), F.lit(0.0))
-    trips = goods.join(at.select("user_id", "places", "home"), "user_id").withColumn("stops", stops).withColumn("km", way)
+    trips = goods.withColumn("way", stops).select(*[c for c in goods.columns if c not in ("places", "home")], F.inline(F.array(F.struct(F.coalesce(round_trip_km(F.col("home"), F.col("way")), F.lit(0.0)).alias("km")))))
     return trips.select("user_id", "stores", "used", "covered", half_up(F.col("goods"), 2).alias("goods"), "km", half_up(F.col("goods") + F.col("km") * EUR_PER_KM, 2).alias("total"))
 
 
@@ -81,7 +89,7 @@ def _grown(first: int) -> Column:
 
 
 def worthwhile(at: DataFrame, bounds: DataFrame) -> DataFrame:
-    """(user_id, stores): every set that may cost no more than `bound` (user_id, bound) and sells whatever only one store sells.
+    """(user_id, stores), and what else `at` has of the user: every set that may cost no more than `bound` (user_id, bound) and sells whatever only one store sells.
 
     The number of sets still doubles with each store that bounds can't rule out; they are rows, not one row's array, beyond 2 ** STEP.
     """
@@ -89,14 +97,14 @@ def worthwhile(at: DataFrame, bounds: DataFrame) -> DataFrame:
     home = F.col("home")
     # The way to two stores and back; one store counts there and back, unknown places nothing.
     ways = F.transform("places", lambda a: F.transform("places", lambda b: F.coalesce(_leg(home, a) + _leg(a, b) + _leg(b, home), F.lit(0.0))))
-    rows = at.join(bounds, "user_id").select("user_id", "places", "least", "bound", ways.alias("ways"), numbers(True).alias("chosen"), numbers(False).alias("optional"))
+    rows = at.join(bounds, "user_id").select(*at.columns, "bound", ways.alias("ways"), numbers(True).alias("chosen"), numbers(False).alias("optional"))
     widest = rows.agg(F.max(F.size("optional"))).first()[0] or 0
     tour = F.coalesce(F.array_max(F.flatten(F.transform("chosen", lambda i: F.transform("chosen", lambda j: F.get(F.get("ways", i), j))))), F.lit(0.0))
     rows = rows.withColumn("tour", tour)
     kept = [c for c in rows.columns if c not in ("chosen", "tour")]
     for first in range(0, widest, STEP):
         rows = rows.select(*kept, F.inline(_grown(first)))
-    return rows.where(F.size("chosen") > 0).select("user_id", F.sort_array(F.transform("chosen", lambda i: F.get("places", i)["store_id"])).alias("stores"))
+    return rows.where(F.size("chosen") > 0).select(*at.columns, F.sort_array(F.transform("chosen", lambda i: F.get("places", i)["store_id"])).alias("stores"))
 
 
 def all_plans(wanted: DataFrame, users: DataFrame, stores: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,10 +115,11 @@ def all_plans(wanted: DataFrame, users: DataFrame, stores: DataFrame) -> tuple[D
     columns are ignored.
     """
     found = profiles(wanted)
-    at = homes(found, users, stores)
-    one = at.select("user_id", F.explode("places.store_id").alias("store_id")).select("user_id", F.array("store_id").alias("stores"))
-    whole = at.select("user_id", F.col("places.store_id").alias("stores"))
+    wanted = found.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("options", "items"))).alias("wanted"))
+    at = homes(found, users, stores).join(wanted, "user_id")
+    all_of = F.col("places.store_id")
+    known_sets = at.select("*", F.explode(F.array_distinct(F.concat(F.array(all_of), F.transform(all_of, lambda s: F.array(s))))).alias("stores"))
     offered = found.groupBy("user_id").agg(F.sum("items").alias("offered"))
-    known = priced(whole.unionByName(one).distinct(), found, at)
+    known = priced(known_sets)
     bounds = known.join(offered, "user_id").where("covered = offered").groupBy("user_id").agg((F.min("total") + 0.01).alias("bound"))
-    return known.unionByName(priced(worthwhile(at, bounds), found, at)), offered
+    return known.unionByName(priced(worthwhile(at, bounds))), offered

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from korbwerk.functions import dates, names
-from korbwerk.operators import extract, jsontree, layout, matching
+from korbwerk.operators import extract, importer, jsontree, layout, matching, trips
 
 
 def plan(df) -> str:
@@ -56,3 +56,21 @@ def test_dates_that_are_not_there_raise_nothing(spark):
     found = text.select(dates.inferred_validity(F.col("text"), F.lit("1998-06-15").cast("date")).alias("v"))
     assert "try_cast" not in plan(found)
     assert [str(r.v and r.v["from"]) for r in found.collect()] == ["1998-06-15", "1998-06-15", "None", "None"]
+
+
+def test_sets_of_stores_are_priced_without_a_shuffle(spark):
+    place = "struct<store_id:bigint,lat:double,lon:double>"
+    rows = [(1, [1, 2], [(1, None, None), (2, None, None)], (50.0, 7.0), [([(1, 2.0), (2, 3.0)], 1), ([(2, 4.0)], 2)]), (1, [9], [], None, [([(1, 2.0)], 1)])]
+    sets = spark.createDataFrame(rows, f"user_id long, stores array<bigint>, places array<{place}>, home struct<lat:double,lon:double>, wanted array<struct<options:array<struct<store_id:bigint,cost:double>>,items:bigint>>")
+    found = trips.priced(sets)
+    assert "Join" not in plan(found) and "Aggregate" not in plan(found)
+    assert [tuple(r) for r in found.collect()] == [(1, [1, 2], [1, 2], 3, 6.0, 0.0, 6.0)]
+
+
+def test_names_of_collected_offers_are_judged_once(spark):
+    text = ["product_name", "unit", "source_text", "source_url", "retailer", "store_retailer"]
+    columns = ", ".join([f"{c} string" for c in text] + [f"{c} double" for c in ("price", "regular_price", "quantity", "unit_price", "confidence")] + ["local_store_offer boolean", "valid_from date", "valid_to date"])
+    row = lambda price: ("Zarte Butterkekse", "g", "im Markt", None, "REWE", "REWE", price, None, 500.0, None, 0.95, True, None, None)
+    found = importer.assessed(spark.createDataFrame([row(2.0), row(None), row(-1.0), row(6000.0)], columns))
+    assert "Distinct" in plan(found) or "Deduplicate" in plan(found)
+    assert sorted((r.price or 0, r.why) for r in found.collect()) == [(-1.0, "quality"), (0, "quality"), (2.0, "date"), (6000.0, "quality")]
