@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korbwerk.functions import families
+from korbwerk.operators import relational as R
 from korbwerk.plans.registry import query
 from korbwerk.plans.views import Views
 
@@ -21,7 +22,8 @@ NAMES = (
 def fs18(v: Views) -> DataFrame:
     """Current offers with their family, and whether they match a favourite (every 200th product) by brand and name or by family; joined by keys that occur once."""
     name = F.element_at(F.array(*[F.lit(n) for n, _ in NAMES]), (F.col("product_id") % len(NAMES) + 1).cast("int"))
-    goods = v.products.select("product_id", families.exact_key(F.col("brand"), name).alias("key"), F.coalesce(families.family(F.col("brand"), name), F.lit("")).alias("family"))
+    named = R.once_each(v.products.select("product_id", "brand", name.alias("name")), ["brand", "name"], key=families.exact_key(F.col("brand"), F.col("name")), family=F.coalesce(families.family(F.col("brand"), F.col("name")), F.lit("")))
+    goods = named.select("product_id", "key", "family")
     liked = goods.where(F.col("product_id") % 200 == 0)
     exact, alternative = liked.select("key", F.lit(True).alias("exact")).distinct(), liked.where("family <> ''").select("family", F.lit(True).alias("alternative")).distinct()
     found = v.current.select("store_id", "product_id").distinct().join(goods, "product_id").join(exact, "key", "left").join(alternative, "family", "left")
