@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from korbwerk import constants as K
 from korbwerk.functions import names, promo, text
-from korbwerk.operators.relational import top, upsert
+from korbwerk.operators.relational import once_each, top, upsert
 
 OFFER_KEY = ["store_id", "product_key", "valid_from", "price"]
 
@@ -25,7 +26,10 @@ def assessed(collected: DataFrame) -> DataFrame:
     """
     c = F.col
     rows = promo.with_promotion(collected, "source_text", "price", "regular_price")
-    fit = names.offer_quality(c("product_name"), c("price"), c("quantity"), c("unit"), c("unit_price"), c("confidence"))["accepted"]
+    # Of the price only its bounds count, so a name is judged once for all prices that it has.
+    judged = ["product_name", "quantity", "unit", "unit_price", "confidence"]
+    rows = once_each(rows, judged, _fit=names.offer_quality(c("product_name"), F.lit(1.0), *[c(x) for x in judged[1:]])["accepted"])
+    fit = c("_fit") & (c("price") > 0) & (c("price") <= K.MOST_PRICE)
     unclear = promo.signalled(c("source_text")) & ~F.coalesce(promo.sure(c("promotion")), F.lit(False))
     why = (
         F.when(~F.coalesce("local_store_offer", F.lit(True)) | text.online_only(c("source_text"), c("source_url")), "online")
@@ -33,7 +37,7 @@ def assessed(collected: DataFrame) -> DataFrame:
         .when(~F.coalesce(c("store_retailer") == c("retailer"), F.lit(False)), "store")
         .when(~F.coalesce(c("valid_to") >= c("valid_from"), F.lit(False)), "date")
     )
-    return rows.withColumn("why", why)
+    return rows.withColumn("why", why).drop("_fit")
 
 
 def keyed(collected: DataFrame) -> DataFrame:
