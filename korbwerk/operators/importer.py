@@ -25,10 +25,10 @@ def assessed(collected: DataFrame) -> DataFrame:
     valid_from and valid_to. Wording of several pieces that can't be read for certain counts against an offer's quality.
     """
     c = F.col
-    rows = promo.with_promotion(collected, "source_text", "price", "regular_price")
     # Of the price only its bounds count, so a name is judged once for all prices that it has.
     judged = ["product_name", "quantity", "unit", "unit_price", "confidence"]
-    rows = once_each(rows, judged, _fit=names.offer_quality(c("product_name"), F.lit(1.0), *[c(x) for x in judged[1:]])["accepted"])
+    rows = once_each(collected, judged, _fit=names.offer_quality(c("product_name"), F.lit(1.0), *[c(x) for x in judged[1:]])["accepted"])
+    rows = promo.with_promotion(rows, "source_text", "price", "regular_price")
     fit = c("_fit") & (c("price") > 0) & (c("price") <= K.MOST_PRICE)
     unclear = promo.signalled(c("source_text")) & ~F.coalesce(promo.sure(c("promotion")), F.lit(False))
     why = (
