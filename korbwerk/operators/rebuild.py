@@ -1,7 +1,7 @@
 """Strict pages: offers whose name or price can't be right are rejected, and bad pages are replaced by the cards that several readings agree on.
 
-Pages are judged by sums and only those found bad have their cards read; nothing of a page meets in one task but its counts, and nothing
-of a card but its readings.
+Pages are judged by sums and only those found bad have their cards read; nothing of a page meets in one task but its counts and its rebuilt
+cards, which are counted over a window, and nothing of a card but its readings.
 
 Defined cases. Rows with a null page belong to no page: they are kept unjudged, and cards of no page are left out. A null name is rejected; null
 prices, packages and unit prices are no evidence against an offer but where a price is expected. Repeated rows count each; a page keeps one rebuilt card a
@@ -10,7 +10,7 @@ name and price, that of the smallest id. Empty tables give empty results. Other
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korbwerk import constants as K
@@ -48,18 +48,24 @@ def _agreed(readings: Column) -> Column:
 
 def _judged_names(rows: DataFrame, raw: str) -> DataFrame:
     """`rows` with the cleaned name of column `raw` and whether it is fit; each different text is judged once, as the same few names stand on many pages."""
-    text = F.coalesce(raw, F.lit(""))
-    once = rows.select(text.alias("raw_text")).distinct()
-    once = once.select("raw_text", names.trimmed(names.clean_name(F.col("raw_text")), " -,:;.|/").alias("clean"), F.coalesce(names.strict_name(F.col("raw_text")), F.lit(False)).alias("strict"))
-    return rows.withColumn("raw_text", text).join(once, "raw_text").drop("raw_text")
+    text = F.col("raw_text")
+    clean, strict = names.trimmed(names.clean_name(text), " -,:;.|/"), F.coalesce(names.strict_name(text), F.lit(False))
+    return R.once_each(rows.withColumn("raw_text", F.coalesce(raw, F.lit(""))), ["raw_text"], clean=clean, strict=strict).drop("raw_text")
+
+
+def _named(cards: DataFrame, *more: Column) -> DataFrame:
+    """(page_key, card_id, name) and `more` of the cards that have an agreed name; what different lists of readings agree on is worked out once for each, as the same few stand on many pages."""
+    listed = cards.groupBy("page_key", "card_id").agg(F.array_sort(F.collect_set("names")).alias("lists"), *more)
+    read = listed.select("lists").distinct().select("lists", F.explode("lists").alias("readings")).select("lists", F.posexplode("readings").alias("at", "raw"))
+    fit = _judged_names(read, "raw").where("strict").groupBy("lists", F.col("clean").alias("name")).agg(F.min("at").alias("at"))
+    readings = fit.groupBy("lists").agg(F.array_sort(F.collect_list(F.struct("at", "name", _words(F.col("name")).alias("words")))).alias("readings"))
+    agreed = readings.select("lists", F.inline(F.array(F.struct(_agreed(F.col("readings")).alias("name"))))).dropna(subset=["name"])
+    return listed.join(agreed, "lists").drop("lists")
 
 
 def consensus_names(cards: DataFrame) -> DataFrame:
     """(page_key, card_id, name) of the cards of which at least two different readings that are fit names agree; `cards` has page_key, card_id and names, an array."""
-    read = cards.select("page_key", "card_id", F.posexplode("names").alias("at", "raw"))
-    fit = _judged_names(read, "raw").where("strict").groupBy("page_key", "card_id", F.col("clean").alias("name")).agg(F.min("at").alias("at"))
-    readings = fit.groupBy("page_key", "card_id").agg(F.array_sort(F.collect_list(F.struct("at", "name", _words(F.col("name")).alias("words")))).alias("readings"))
-    return readings.select("page_key", "card_id", _agreed(F.col("readings")).alias("name")).dropna(subset=["name"])
+    return _named(cards).select("page_key", "card_id", "name")
 
 
 def _expected() -> Column:
@@ -73,13 +79,13 @@ def judged(offers: DataFrame) -> DataFrame:
     return rows.withColumn("checked", checked).withColumn("correct", checked & F.coalesce(P.close(F.col("price"), F.col("expected")), F.lit(False))).drop("expected")
 
 
-def rebuilt_cards(cards: DataFrame) -> DataFrame:
-    """(page_key, card_id, name, price) of the cards (page_key, card_id, names, price, quantity, unit, unit_price) with an agreed name and no unit price against theirs; each name and price of a page once."""
-    given = cards.where("page_key IS NOT NULL AND price IS NOT NULL")
-    named = consensus_names(given).join(given.select("page_key", "card_id", *VALUES), ["page_key", "card_id"]).withColumn("expected", _expected())
+def rebuilt_cards(cards: DataFrame, *more: str) -> DataFrame:
+    """(page_key, card_id, name, price) and the page's columns `more` of the cards (page_key, card_id, names, price, quantity, unit, unit_price) with an agreed name and no unit price against theirs; each name and price of a page once."""
+    given = cards.where("page_key IS NOT NULL AND card_id IS NOT NULL AND price IS NOT NULL")
+    named = _named(given, F.collect_list(F.struct(*VALUES, *more)).alias("given")).select("page_key", "card_id", "name", F.inline("given")).withColumn("expected", _expected())
     right = named.where(F.col("expected").isNull() | P.close(F.col("price"), F.col("expected")))
     keyed = right.withColumns({"key": F.lower("name"), "cents": F.round("price", 2)})
-    return R.top(keyed, ["page_key", "key", "cents"], ["card_id", "price", "name"]).select("page_key", "card_id", "name", "price")
+    return R.top(keyed, ["page_key", "key", "cents"], ["card_id", "price", "name"]).select("page_key", "card_id", "name", "price", *more)
 
 
 def strict_pages(offers: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,12 +97,13 @@ def strict_pages(offers: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFr
     bad = ~F.col("strict") | (F.col("checked") & ~F.col("correct"))
     pages = rows.groupBy("page_key").agg(F.count("*").alias("n"), F.count_if(~F.col("strict")).alias("unfit"), F.count_if(~bad).alias("good"), F.count_if("checked").alias("checked"), F.count_if("correct").alias("correct"), F.count_if(bad).alias("rejected"))
     doubtful = pages.where((F.col("unfit") >= 1) & (F.col("unfit") / F.col("n") >= BAD_SHARE))
-    found = rebuilt_cards(cards.join(doubtful.select("page_key"), "page_key", "left_semi"))
-    enough = found.groupBy("page_key").agg(F.count("*").alias("recovered")).join(doubtful.select("page_key", "good"), "page_key")
-    enough = enough.where(F.col("recovered") >= F.greatest(F.lit(LEAST_REBUILT), F.floor(F.col("good") / 2))).select("page_key", "recovered")
+    # What a page needs goes with its cards, so these are read and rebuilt once.
+    found = rebuilt_cards(cards.join(doubtful.select("page_key", "good"), "page_key"), "good")
+    found = found.withColumn("recovered", F.count("*").over(Window.partitionBy("page_key"))).where(F.col("recovered") >= F.greatest(F.lit(LEAST_REBUILT), F.floor(F.col("good") / 2)))
+    enough = found.groupBy("page_key").agg(F.max("recovered").alias("recovered"))
     kept = rows.where(~bad).join(enough, "page_key", "left_anti").select("page_key", "offer_id", "name", "price", F.lit(False).alias("rebuilt"))
     unpaged = offers.where("page_key IS NULL").select("page_key", "offer_id", "name", "price", F.lit(False).alias("rebuilt"))
-    new = found.join(enough, "page_key", "left_semi").select("page_key", F.col("card_id").alias("offer_id"), "name", "price", F.lit(True).alias("rebuilt"))
+    new = found.select("page_key", F.col("card_id").alias("offer_id"), "name", "price", F.lit(True).alias("rebuilt"))
     more = F.coalesce("recovered", F.lit(0))
     metrics = pages.join(enough, "page_key", "left").select("page_key", (F.col("checked") + more).alias("checked"), (F.col("correct") + more).alias("correct"), "rejected", more.alias("recovered"))
     return kept.unionByName(new).unionByName(unpaged), metrics

@@ -82,9 +82,12 @@ def pairs_in_radius(pairs: DataFrame, users: DataFrame, stores: DataFrame) -> Da
 
 
 def once_each(df: DataFrame, by: Sequence[str], **found: Column) -> DataFrame:
-    """`df` with columns that depend on the columns `by` alone, nulls included: they are worked out once for each different row of these, as the same wordings stand in many places."""
+    """`df` with columns that depend on the columns `by` alone, nulls included: they are worked out once for each different row of these, as the same wordings stand in many places.
+
+    They are made rows of (`inline`): a filter on a plain column of different rows would be moved before these are found, and be worked out for every row of `df`.
+    """
     keys = {c: f"_by_{c}" for c in by}
-    once = df.select(*by).distinct().select(*[F.col(c).alias(k) for c, k in keys.items()], *[x.alias(n) for n, x in found.items()])
+    once = df.select(*by).distinct().select(*[F.col(c).alias(k) for c, k in keys.items()], F.inline(F.array(F.struct(*[x.alias(n) for n, x in found.items()]))))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
     return df.join(once, same).drop(*keys.values())
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from korbwerk.functions import dates, names
-from korbwerk.operators import extract, importer, jsontree, layout, matching, trips
+from korbwerk.operators import extract, importer, jsontree, layout, matching, rebuild, relational, trips
 
 
 def plan(df) -> str:
@@ -74,3 +74,19 @@ def test_names_of_collected_offers_are_judged_once(spark):
     found = importer.assessed(spark.createDataFrame([row(2.0), row(None), row(-1.0), row(6000.0)], columns))
     assert "Distinct" in plan(found) or "Deduplicate" in plan(found)
     assert sorted((r.price or 0, r.why) for r in found.collect()) == [(-1.0, "quality"), (0, "quality"), (2.0, "date"), (6000.0, "quality")]
+
+
+def test_filters_stay_above_what_is_worked_out_once(spark):
+    words = spark.createDataFrame([("ab",), ("ab",), (None,), ("c",)], "word string")
+    found = relational.once_each(words, ["word"], long=F.length("word") > 1).where("long")
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [word", 1)[1]
+    assert "length(" not in below
+    assert [r.word for r in found.collect()] == ["ab", "ab"]
+
+
+def test_lists_of_readings_are_agreed_on_once(spark):
+    same = ["Feine Butter", "Feine Butter mild"]
+    rows = [(1, "a", same), (1, "b", same), (2, "a", ["Feine Butter"]), (2, "a", ["Frische Sahne", "Feine Butter mild"]), (3, "c", ["Feine Butter", None]), (3, "d", None)]
+    found = rebuild.consensus_names(spark.createDataFrame(rows, "page_key long, card_id string, names array<string>"))
+    assert "Aggregate [lists" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.page_key, r.card_id, r.name) for r in found.collect()) == [(1, "a", "Feine Butter mild"), (1, "b", "Feine Butter mild"), (2, "a", "Feine Butter mild")]
