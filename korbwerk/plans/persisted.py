@@ -10,6 +10,8 @@ from korbwerk.plans.views import Views
 from korbwerk.sources.snapshots import ExtractionCache, Snapshot, fresh_root
 
 SPLIT = "1996-01-01"
+#: Markets share so many folders of the snapshot, however many there are.
+SHARDS = 96
 
 
 @query(
@@ -20,12 +22,13 @@ SPLIT = "1996-01-01"
 )
 def k4(v: Views) -> DataFrame:
     """The highest price of a product in a market: a first load, then later offers of two of three markets, and these once more."""
-    s = Snapshot(v.spark, fresh_root(v.spark, "snapshot"), "store_id long, product_id long, price double, valid_from date", ["store_id", "product_id"], "store_id")
+    s = Snapshot(v.spark, fresh_root(v.spark, "snapshot"), "store_id long, product_id long, price double, valid_from date, shard int", ["store_id", "product_id", "shard"], "shard")
+    offers = v.offers.withColumn("shard", F.pmod("store_id", F.lit(SHARDS)).cast("int"))
     late = F.col("valid_from") >= F.lit(SPLIT).cast("date")
-    changed = v.offers.where(late & (F.col("store_id") % 3 != 0))
-    for batch in (v.offers.where(~late), changed, changed):
+    changed = offers.where(late & (F.col("store_id") % 3 != 0))
+    for batch in (offers.where(~late), changed, changed):
         s.upsert(batch)
-    return s.read()
+    return s.read().drop("shard")
 
 
 @query(

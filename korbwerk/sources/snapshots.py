@@ -6,13 +6,15 @@ asks for a file system with atomic renames.
 
 Defined cases. Keys compare null-safe, so a row with a null key replaces its like; of rows with one key in a batch, the greatest by all columns counts. The key holds the
 partition column, whose null and empty values are one partition read back as null. A batch without news commits nothing. An empty state has no rows.
+A folder a value of the partition column is written and listed in each commit, so a column of many values is better put into a bounded number of shards, as the cache does.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,22 +90,33 @@ class Snapshot:
         typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
         return typed.groupBy(*self.key).agg(F.max(F.struct(*rest)).alias("r")).select(*self.key, *[f"r.{c}" for c in rest]).select(*self.columns)
 
+    @contextmanager
+    def _staged(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """`rows` worked out once, into a folder of their own that is deleted again, as a batch's news are read several times."""
+        parts = ("staged", uuid.uuid4().hex)
+        try:
+            rows.write.parquet("/".join([self.root, *parts]))
+            yield self.spark.read.schema(self.schema).parquet("/".join([self.root, *parts]))
+        finally:
+            fs, p = self._path(*parts)
+            fs.delete(p, True)
+
     def upsert(self, rows: DataFrame) -> int:
         """Adds new rows and replaces changed ones; rows that are there as they are change nothing. Returns the number of the commit that holds."""
         old, batch = self.read(), self._batch(rows)
-        news = batch.join(old, _same(batch, old, self.columns), "left_anti")
-        if news.isEmpty():
-            return self.version()
-        touched = news.select(self.by).distinct()
-        beside = old.join(touched, _same(old, touched, [self.by]), "left_semi")
-        beside = beside.join(news, _same(beside, news, self.key), "left_anti")
-        return self._commit(beside.unionByName(news), replace=True)
+        with self._staged(batch.join(old, _same(batch, old, self.columns), "left_anti")) as news:
+            if news.isEmpty():
+                return self.version()
+            touched = news.select(self.by).distinct()
+            beside = old.join(touched, _same(old, touched, [self.by]), "left_semi")
+            beside = beside.join(news, _same(beside, news, self.key), "left_anti")
+            return self._commit(beside.unionByName(news), replace=True)
 
     def add(self, rows: DataFrame) -> int:
         """Adds rows whose keys aren't there, without touching others."""
         old, batch = self.read(), self._batch(rows)
-        news = batch.join(old, _same(batch, old, self.key), "left_anti")
-        return self.version() if news.isEmpty() else self._commit(news, replace=False)
+        with self._staged(batch.join(old, _same(batch, old, self.key), "left_anti")) as news:
+            return self.version() if news.isEmpty() else self._commit(news, replace=False)
 
 
 class ExtractionCache:

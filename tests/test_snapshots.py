@@ -64,3 +64,27 @@ def test_cache_computes_each_content_once_a_version(spark, tmp_path):
     assert rows_of(cache.extracted(more, "v1", extract)) == sorted([*want, ("aa4", ["n"])]) and seen[1:] == [["aa4"]]
     assert rows_of(cache.extracted(docs, "v2", extract)) == want and seen[2:] == [["aa1", "bb2", "cc3"]]
     assert cache.extracted(docs.limit(0), "v3", extract).collect() == [] and len(seen) == 3
+
+
+def test_news_are_worked_out_once(spark, tmp_path):
+    s = Snapshot(spark, f"file://{tmp_path}/s", ROW, ["market", "name"], "market")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    batch = spark.createDataFrame([(i, "a", float(i)) for i in range(5)], ROW).withColumn("price", counted(F.col("price")))
+    assert s.upsert(batch) == 1 and calls.value == 5
+    assert len(rows_of(s.read())) == 5 and os.listdir(tmp_path / "s/staged") == []
+
+
+def test_market_snapshot_has_a_bounded_number_of_folders(spark, tmp_path, monkeypatch):
+    from korbwerk.plans import catalog, persisted
+
+    rows = spark.range(400).selectExpr("id AS l_suppkey", "id % 7 AS l_partkey", "timestamp'1995-01-01' AS l_shipdate", "10D AS l_extendedprice", "2D AS l_quantity", "'N' AS l_returnflag", "1 AS l_linenumber")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(persisted, "fresh_root", lambda spark, name: f"file://{tmp_path}/s")
+    assert catalog.QUERIES["k4_market_snapshot"](spark, str(tmp_path)).count() == 400
+    assert len([f for f in os.listdir(tmp_path / "s/data") if "=" in f]) <= persisted.SHARDS
