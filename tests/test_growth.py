@@ -98,3 +98,13 @@ def test_wordings_of_promotions_are_read_once(spark):
     assert found.columns == ["text", "price", "promotion"] and ("Distinct" in plan(found) or "Deduplicate" in plan(found))
     got = sorted((r.text or "", r.price, r.promotion and (r.promotion["kind"], r.promotion["saving"], r.promotion["label"])) for r in found.collect())
     assert got == [("", 1.0, None), ("3 für 2", 1.0, ("free_item", 1.0, "3 für 2")), ("3 für 2", 2.0, ("free_item", 2.0, "3 für 2")), (rows[4][0], 1.0, None), (rows[3][0], 2.0, ("member_price", 0.5, "Karte · 1,50 €"))]
+
+
+def test_cards_of_a_text_are_read_within_their_row(spark):
+    text = "Gurken frisch\nje 2 x 400 g\n1,00 €\n\nTomaten rot\nje 500 g (1 kg = 2,50 €)\n(1 kg = 2,50 €)\n2,00 €\nsüß\n3,00 €"
+    docs = spark.createDataFrame([(1, text), (2, None), (None, text)], "doc_id long, text string")
+    found = extract.card_offers(docs, above=2, below=1)
+    assert "Window" not in plan(found) and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [(r.pos, r.name, r.price, r.quantity, r.unit, r.unit_price) for r in found.where("doc_id = 1").orderBy("pos").collect()]
+    assert got == [(2, "Gurken frisch", 1.0, 800.0, "g", None), (8, "süß", 3.0, None, None, None)]
+    assert found.where("doc_id IS NULL").count() == len(got)
