@@ -108,3 +108,15 @@ def test_cards_of_a_text_are_read_within_their_row(spark):
     got = [(r.pos, r.name, r.price, r.quantity, r.unit, r.unit_price) for r in found.where("doc_id = 1").orderBy("pos").collect()]
     assert got == [(2, "Gurken frisch", 1.0, 800.0, "g", None), (8, "süß", 3.0, None, None, None)]
     assert found.where("doc_id IS NULL").count() == len(got)
+
+
+def test_pairs_of_places_are_made_last(spark):
+    """What is shuffled are pairs of positions with arrays; 300 users and 200 stores of one position, and ids that are null, meet above the joins."""
+    users = spark.createDataFrame([(i, 50.0, 7.0, 10) for i in range(300)] + [(None, 50.0, 7.0, 10), (301, 51.0, 7.0, 1), (302, None, 7.0, 10)], "user_id long, lat double, lon double, radius_km int")
+    stores = spark.createDataFrame([(i, 50.01, 7.0, True) for i in range(200)] + [(None, 50.01, 7.0, True), (201, 50.01, 7.0, False), (202, 53.0, 7.0, True)], "store_id long, lat double, lon double, active boolean")
+    found = relational.stores_in_radius(users, stores, "user_id", digits=6)
+    top = found._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
+    assert top.count("Generate explode") == 2
+    rows = [tuple(r) for r in found.collect()]
+    ids = [*range(300), None], [*range(200), None]
+    assert len(rows) == 301 * 201 and {r[:2] for r in rows} == {(u, s) for u in ids[0] for s in ids[1]} and {r[2] for r in rows} == {1.111951}
