@@ -120,3 +120,12 @@ def test_pairs_of_places_are_made_last(spark):
     rows = [tuple(r) for r in found.collect()]
     ids = [*range(300), None], [*range(200), None]
     assert len(rows) == 301 * 201 and {r[:2] for r in rows} == {(u, s) for u in ids[0] for s in ids[1]} and {r[2] for r in rows} == {1.111951}
+
+
+def test_favourites_are_read_once_to_be_measured(spark):
+    users = spark.createDataFrame([(1, 50.0, 7.0, 10), (2, None, None, 10)], "user_id long, lat double, lon double, radius_km int")
+    stores = spark.createDataFrame([(1, 50.01, 7.0, True), (2, 50.01, 7.0, False), (3, 53.0, 7.0, True), (4, None, None, True)], "store_id long, lat double, lon double, active boolean")
+    liked = spark.createDataFrame([(u, s) for u in (1, 2, 9, None) for s in (1, 2, 3, 4, 9)], "user_id long, store_id long")
+    found = relational.pairs_out_of_radius(liked, users, stores)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in liked.collect()} - {(1, 1)} and found.count() == 19
