@@ -24,6 +24,8 @@ BAD_SHARE, AGREEMENT = 0.12, 0.6
 LEAST_REBUILT = 2
 #: Neighbours of a price tag lie in its row or column within so much; a card is at most so wide and high.
 ROW, COLUMN, WIDEST, HIGHEST = 190.0, 230.0, 500.0, 580.0
+#: Tags of a page that are compared within their page's row; those of a page with more meet by bands.
+PAGE_TAGS = 128
 VALUES = ["price", "quantity", "unit", "unit_price"]
 
 
@@ -112,23 +114,35 @@ def strict_pages(offers: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFr
 def card_cells(tags: DataFrame, width: float, height: float) -> DataFrame:
     """(page_key, tag_id, left, top, right, bottom): each price tag's card, cut half-way to the neighbours in its row and column.
 
-    Neighbours meet by bands of rows and of columns, not by all pairs of a page. Tags with null coordinates are left out. Tags of one id are no
-    neighbours of each other, but each has its own.
+    Tags are shuffled by page, once. A page of at most PAGE_TAGS tags is an array; of a larger one neighbours meet by bands of rows and of columns, not by all
+    pairs. Tags with null coordinates are left out. Tags of one id are no neighbours of each other, but each has its own.
     """
     box = ["x0", "y0", "x1", "y1"]
     t = tags.select("page_key", "tag_id", *[F.col(c).cast("double").alias(c) for c in box]).dropna(subset=["page_key", *box])
-    t = t.withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2})
+    t = t.withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2}).withColumn("n", F.count("*").over(Window.partitionBy("page_key")))
+    small, large = t.where(F.col("n") <= PAGE_TAGS).drop("n"), t.where(F.col("n") > PAGE_TAGS).drop("n")
+    own = ["page_key", "tag_id", *box, "cx", "cy"]
+
+    def nearest(along: str, o: Column, low: str, high: str, near: Column) -> tuple[Column, Column]:
+        """The middles between a tag and the nearest of its neighbours before and after along one axis."""
+        middle = (F.col(along) + o) / 2
+        return F.max(F.when(near & (o < F.col(along)), middle)).alias(low), F.min(F.when(near & (o >= F.col(along)), middle)).alias(high)
 
     def limits(along: str, across: str, reach: float, low: str, high: str) -> DataFrame:
-        """The nearest neighbours before and after along one axis, among those within reach across it."""
+        """`nearest` among those within reach across the axis."""
         band = F.floor(F.col(across) / reach)
-        near = t.select("page_key", F.col("tag_id").alias("other_id"), F.col(along).alias("o"), F.col(across).alias("oa"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-        met = t.withColumn("band", band).join(near, ["page_key", "band"]).where((F.col("tag_id") != F.col("other_id")) & (F.abs(F.col("oa") - F.col(across)) <= reach))
-        middle = (F.col(along) + F.col("o")) / 2
-        return met.groupBy("page_key", "tag_id", *box).agg(F.max(F.when(F.col("o") < F.col(along), middle)).alias(low), F.min(F.when(F.col("o") >= F.col(along), middle)).alias(high))
-
+        near = large.select("page_key", F.col("tag_id").alias("other_id"), F.col(along).alias("o"), F.col(across).alias("oa"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+        met = large.withColumn("band", band).join(near, ["page_key", "band"]).where((F.col("tag_id") != F.col("other_id")) & (F.abs(F.col("oa") - F.col(across)) <= reach))
+        return met.groupBy("page_key", "tag_id", *box).agg(*nearest(along, F.col("o"), low, high, F.lit(True)))
+
+    packed = small.groupBy("page_key").agg(F.collect_list(F.struct(*own[1:])).alias("tags"))
+    pairs = packed.select("page_key", "tags", F.posexplode("tags").alias("at", "a")).select("page_key", "at", "a.*", F.explode("tags").alias("o"))
+    other = F.col("tag_id") != F.col("o.tag_id")
+    row, column = other & (F.abs(F.col("o.cy") - F.col("cy")) <= ROW), other & (F.abs(F.col("o.cx") - F.col("cx")) <= COLUMN)
+    near = pairs.groupBy("at", *own).agg(*nearest("cx", F.col("o.cx"), "l", "r", row), *nearest("cy", F.col("o.cy"), "t", "b", column)).drop("at")
+    far = large.join(limits("cx", "cy", ROW, "l", "r"), ["page_key", "tag_id", *box], "left").join(limits("cy", "cx", COLUMN, "t", "b"), ["page_key", "tag_id", *box], "left")
+    t = near.unionByName(far)
     c = F.col
-    t = t.join(limits("cx", "cy", ROW, "l", "r"), ["page_key", "tag_id", *box], "left").join(limits("cy", "cx", COLUMN, "t", "b"), ["page_key", "tag_id", *box], "left")
     w, h = F.lit(float(width)), F.lit(float(height))
     t = t.withColumns({"l": F.greatest(F.lit(0.0), "l"), "r": F.least(w, "r"), "t": F.greatest(F.lit(0.0), "t"), "b": F.least(h, "b")})
     wide, high = c("r") - c("l") > F.least(w, F.lit(WIDEST)), c("b") - c("t") > F.least(h, F.lit(HIGHEST))

@@ -71,7 +71,7 @@ def m7_names(v: Views) -> DataFrame:
 )
 def m7_cells(v: Views) -> DataFrame:
     k = F.col("l_partkey")
-    rows = v.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    rows = v.table("lineitem").select(F.floor(F.col("l_orderkey") / 4).alias("page_key"), "l_orderkey", "l_linenumber", "l_partkey").repartition("page_key").distinct()
     x, y = (k * 37 % 900).cast("double"), (k * 53 % 1200).cast("double")
-    tags = rows.select(F.floor(F.col("l_orderkey") / 4).alias("page_key"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + k).alias("tag_id"), x.alias("x0"), y.alias("y0"), (x + 60).alias("x1"), (y + 30).alias("y1"))
-    return rebuild.card_cells(tags.distinct(), 1000, 1300)
+    tags = rows.select("page_key", ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + k).alias("tag_id"), x.alias("x0"), y.alias("y0"), (x + 60).alias("x1"), (y + 30).alias("y1"))
+    return rebuild.card_cells(tags, 1000, 1300)

@@ -96,3 +96,17 @@ def test_cards_of_tags_with_one_id(spark):
     got = sorted(tuple(r) for r in rebuild.card_cells(df, 1000, 1300).collect())
     alone = sorted(tuple(r) for one in (0, 1) for r in rebuild.card_cells(df.where(F.col("tag_id") != 7).union(spark.createDataFrame([rows[one]], df.schema)), 1000, 1300).where("tag_id = 7").collect())
     assert [r for r in got if r[1] == 7] == alone and len(got) == 4
+
+
+def test_tags_of_a_page_meet_within_its_row(spark, monkeypatch):
+    """Pages of more tags than an array holds, whose tags meet by bands, have the same cells."""
+    rnd = random.Random(8)
+    rows = [(p, i % 11, x, y, x + 60, y + 30) for p in range(2) for i in range(12 + p) for x, y in [(rnd.uniform(0, 900), rnd.uniform(0, 1200))]]
+    tags = spark.createDataFrame(rows + rows[:1] * 2 + [(0, None, 1.0, 1.0, 5.0, 5.0)], TAG).repartition("page_key")
+    cells = rebuild.card_cells(tags, 1000, 1300)
+    within = sorted(map(str, cells.collect()))
+    assert "posexplode(tags" in cells._jdf.queryExecution().optimizedPlan().toString() and len(within) == 28
+    monkeypatch.setattr(rebuild, "PAGE_TAGS", 12)
+    assert sorted(map(str, rebuild.card_cells(tags, 1000, 1300).collect())) == within
+    monkeypatch.setattr(rebuild, "PAGE_TAGS", 0)
+    assert sorted(map(str, rebuild.card_cells(tags, 1000, 1300).collect())) == within
