@@ -49,10 +49,10 @@ def _agreed(readings: Column) -> Column:
 
 
 def _judged_names(rows: DataFrame, raw: str) -> DataFrame:
-    """`rows` with the cleaned name of column `raw` and whether it is fit; each different text is judged once, as the same few names stand on many pages."""
+    """`rows` with the cleaned name of column `raw` and whether it is fit, null texts being empty; each different text is judged once, as the same few names stand on many pages."""
     text = F.col("raw_text")
     clean, strict = names.trimmed(names.clean_name(text), " -,:;.|/"), F.coalesce(names.strict_name(text), F.lit(False))
-    return R.once_each(rows.withColumn("raw_text", F.coalesce(raw, F.lit(""))), ["raw_text"], clean=clean, strict=strict).drop("raw_text")
+    return R.once_each(rows.withColumn("raw_text", F.coalesce(raw, F.lit(""))).drop(raw), ["raw_text"], clean=clean, strict=strict).withColumnRenamed("raw_text", raw)
 
 
 def _named(cards: DataFrame, *more: Column) -> DataFrame:

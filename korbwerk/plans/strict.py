@@ -14,7 +14,7 @@ from korbwerk.plans.views import Views
 def read_pages(v: Views) -> tuple[DataFrame, DataFrame]:
     """Offers on a store's pages of a year, some with a clipped name, a wrong unit price or none; and the cards of these pages, each with one to three readings of its name."""
     p = F.col("product_id")
-    o = v.offers.join(v.products.select("product_id", "product_name", "grams"), "product_id")
+    o = v.offers_by_product.join(v.products.select("product_id", "product_name", "grams"), "product_id")
     number = F.datediff("valid_from", F.lit("1970-01-01").cast("date"))
     per = half_up(F.col("price") * 100 / F.col("grams"), 2)
     o = o.select(

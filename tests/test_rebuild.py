@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from korbwerk.operators import rebuild
+from korbwerk.plans.views import Views
 
 CARD = "page_key long, card_id string, names array<string>, price double, quantity double, unit string, unit_price double"
 OFFER = "page_key long, offer_id string, name string, price double, quantity double, unit string, unit_price double"
@@ -110,3 +111,13 @@ def test_tags_of_a_page_meet_within_its_row(spark, monkeypatch):
     assert sorted(map(str, rebuild.card_cells(tags, 1000, 1300).collect())) == within
     monkeypatch.setattr(rebuild, "PAGE_TAGS", 0)
     assert sorted(map(str, rebuild.card_cells(tags, 1000, 1300).collect())) == within
+
+
+def test_offers_are_merged_where_their_product_stands(spark, sf_dir):
+    """A join of these offers with products shuffles them once, and a judged name goes along once."""
+    v = Views(spark, sf_dir)
+    plan = v.offers_by_product.join(v.products.hint("merge"), "product_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and v.offers_by_product.exceptAll(v.offers).count() == 0
+    offers = spark.createDataFrame([(1, "a", "Feine Butter", 1.0, None, None, None), (1, "b", None, 1.0, None, None, None)], OFFER)
+    rows = rebuild.judged(offers)
+    assert [(r.offer_id, r.name, r.strict) for r in rows.orderBy("offer_id").collect()] == [("a", "Feine Butter", True), ("b", "", False)]
